@@ -16,7 +16,7 @@ TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Anything but a lower-case ASCII letter, a digit or a non-ASCII character separates alphanumeric words.
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Tokens handled at once by the vectorised helpers; bounds a task's memory whatever the input.
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ class WordHashes(dict):
     """bytes -> 64-bit hash, remembered; emptied when large so that a worker's memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 500_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
