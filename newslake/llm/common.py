@@ -51,7 +51,7 @@ class WordHashes(dict):
     """bytes -> 64-bit hash, remembered; emptied when large so that a worker's memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -61,6 +61,14 @@ def hashes_of(words: list[bytes], seen: WordHashes) -> np.ndarray:
     return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
+def texts_of(column, rows: np.ndarray | None = None):
+    """Texts of an Arrow column (of the given rows), a few at a time, so that one copy of them is not held whole."""
+    import pyarrow as pa
+
+    for i in range(0, len(column) if rows is None else len(rows), 256):
+        yield from (column.slice(i, 256) if rows is None else column.take(pa.array(rows[i : i + 256]))).to_pylist()
+
+
 def chunks(texts, lower: bool, split=bytes.split, most: int = CHUNK_TOKENS):
     """Yields (first row, lists of words by row) so that each yield has about `most` words, or a single longer row."""
     first, held, count = 0, [], 0

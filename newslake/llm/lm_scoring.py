@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newslake.llm.common import WordHashes, chunks, hashes_of, mixed, packed, saved, shards, unpacked
+from newslake.llm.common import WordHashes, chunks, hashes_of, mixed, packed, saved, shards, texts_of, unpacked
 from newslake.llm.elias_fano import TrieShard
 
 #: The end token's hash; no word is empty, so none has the text it stands for.
 END = WordHashes()[b""]
-_BATCH_TOKENS = 1 << 21
+_BATCH_TOKENS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def _batches(docs: DataFrame) -> DataFrame:
         seen, number = WordHashes(), TaskContext.get().partitionId() << 32
         for part in parts:
             ids, held_out = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
-            for first, held in chunks(part.column(2).to_pylist(), lower=True, most=_BATCH_TOKENS):
+            for first, held in chunks(texts_of(part.column(2)), lower=True, most=_BATCH_TOKENS):
                 sizes = np.array([len(w) + 1 for w in held], np.int64)
                 h = np.full(int(sizes.sum()), END, np.uint64)
                 inside = np.ones(len(h), bool)
