@@ -29,7 +29,7 @@ from newslake.llm.elias_fano import TrieShard
 
 #: The end token's hash; no word is empty, so none has the text it stands for.
 END = WordHashes()[b""]
-_BATCH_TOKENS = 1 << 20
+_BATCH_TOKENS = 3 << 19
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ def _batches(docs: DataFrame) -> DataFrame:
                 h[inside] = hashes_of([w for row in held for w in row], seen)
                 words, tokens = np.unique(h, return_inverse=True)
                 rows = slice(first, first + len(held))
-                out = [number, packed(ids[rows]), packed(held_out[rows].astype(np.uint8)), packed(sizes), packed(tokens.astype(np.uint32)), packed(words)]
+                out = [number, packed(ids[rows]), packed(held_out[rows].astype(np.uint8)), packed(sizes), _wide(tokens), _wide(np.diff(words, prepend=np.uint64(0)))]
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=[x.split()[0] for x in _BATCH.split(", ")])
 
@@ -80,7 +80,7 @@ def _batches(docs: DataFrame) -> DataFrame:
 class _Batch:
     def __init__(self, row):
         self.ids, self.held, self.sizes = unpacked(row.ids, np.int64), unpacked(row.held, np.uint8) > 0, unpacked(row.sizes, np.int64)
-        self.tokens, self.words = unpacked(row.tokens, np.uint32), unpacked(row.words, np.uint64)
+        self.tokens, self.words = _narrow(row.tokens).astype(np.uint32), np.cumsum(_narrow(row.words), dtype=np.uint64)
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
     def shard_bounds(self, ways: int) -> list[int]:
