@@ -55,7 +55,7 @@ def _telling_words(sample: DataFrame, names: list[str], rules: Chain) -> list[st
     words = words.groupBy("word").agg(F.count("*").alias("k"), *[F.sum(x).alias(x) for x in names]).where(F.col("k") >= rules.least_rows)
 
     def chi(name: str) -> Column:
-        n, y = float(rows["n"]), float(rows[name] or 0)
+        n, y = max(1.0, float(rows["n"])), float(rows[name] or 0)
         k, a = F.col("k").cast("double"), F.col(name).cast("double")
         expected = k * F.lit(y / n)
         return F.coalesce((a - expected) ** 2 / (expected * F.lit(max(1e-9, 1 - y / n)) * (F.lit(1.0) - k / F.lit(n) + F.lit(1e-9)) + F.lit(1e-9)), F.lit(0.0))
