@@ -68,8 +68,13 @@ def extract_tags(categories: Column, title: Column, source_id: Column) -> Column
 
 
 def categorize(terms: Column) -> Column:
-    found = [F.when(F.exists(terms, lambda t, ks=ks: F.exists(F.array(*map(F.lit, ks)), lambda k: F.contains(F.lower(t), k))), F.lit(slug)) for slug, ks in config.CATEGORY_KEYWORDS.items()]
-    return F.coalesce(*found, F.lit("technology"))
+    """First category, in their fixed order, of which any term contains a keyword as a substring."""
+
+    def found(slug: str, keywords) -> Column:
+        any_keyword = lambda t: F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(t), k))
+        return F.when(F.exists(terms, any_keyword), F.lit(slug))
+
+    return F.coalesce(*[found(slug, keywords) for slug, keywords in config.CATEGORY_KEYWORDS.items()], F.lit("technology"))
 
 
 def read_time(x: Column, cap: int | None = 30) -> Column:
