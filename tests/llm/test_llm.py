@@ -236,3 +236,25 @@ def test_classifiers(spark):
     none = known.where("false")
     assert {r.score for r in quality_classifier.classify(docs, none, F.lit(False)).collect()} == {0.5}
     assert toxicity.classify(docs, none).count() == 300
+
+
+def test_ngram_join_across_components(spark, monkeypatch):
+    """Chains in which only neighbours are near: a hub links few of a list, so most links are found across components."""
+    monkeypatch.setattr(ngram_join, "_BLOCK", 4)
+    r = random.Random(5)
+    rows, group = [], []
+    for g in range(3):
+        words = [f"g{g}w{k}" for k in range(60)]
+        for step in range(25):
+            rows.append(" ".join(words))
+            group.append(g)
+            words[(step * 7) % 60] = f"g{g}s{step}"
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    rows, group = [rows[k] for k in order], [group[k] for k in order]
+    sets = [{tuple(w[k : k + 5]) for k in range(56)} for w in map(tokens, rows)]
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert sum(near(a, b) for a, b in itertools.combinations(range(len(rows)), 2)) < 3 * 25 * 3
+    for frequent in (1, 8, 100):
+        got = ngram_join.similar_groups(frame(spark, rows), ngram_join.Join(frequent=frequent)).collect()
+        assert {(x.doc_id, x.component_id) for x in got} == {(k, group.index(g)) for k, g in enumerate(group)}
