@@ -255,6 +255,6 @@ def test_ngram_join_across_components(spark, monkeypatch):
     sets = [{tuple(w[k : k + 5]) for k in range(56)} for w in map(tokens, rows)]
     near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
     assert sum(near(a, b) for a, b in itertools.combinations(range(len(rows)), 2)) < 3 * 25 * 3
-    for frequent in (1, 8, 100):
+    for frequent in (1, 100):
         got = ngram_join.similar_groups(frame(spark, rows), ngram_join.Join(frequent=frequent)).collect()
         assert {(x.doc_id, x.component_id) for x in got} == {(k, group.index(g)) for k, g in enumerate(group)}
