@@ -19,17 +19,26 @@ ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CHUNK_TOKENS = 1 << 19
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, cut from its lineage by a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
     Only where the session names no folder (as in tests) one is made under the machine's temporary folder.
+    The shuffle files that led to it go once it is written, as a lost executor's part is read from the checkpoint.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan takes the setting when it is made
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def shards(spark: SparkSession) -> int:
