@@ -12,7 +12,8 @@ batches send their nodes' token hashes, packed, to shards; a shard keeps the tok
 has a node counts it), and sends them back by batch. Tokens of one node only can match nothing: they only lengthen the prefix, and a node with enough of
 them is out of the join. Links inside a list of equal signatures are found by comparing its members with one hub, then,
 across components that are still apart, each node with its nearest candidate, then all candidates that are left, in
-tasks that merge components as they find links; so no list is expanded into all pairs.
+tasks that merge components as they find links; so no list is expanded into all pairs. Every link is inside a component,
+so links are then counted by comparing all nodes of each component, in tasks that return one sum a node.
 
 Defined results: null, empty and blank texts have no shingles and no links; fewer words than five make one shingle;
 equal rows are one component; ties in a hub go to the smallest node. Rows with equal ids and different texts are
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslake.llm.common import WordHashes, chunks, components, hashes_of, mixed, packed, private, saved, shards, texts_of, unpacked, windows
@@ -155,6 +156,8 @@ _BLOCK = 1500
 _LIST = ["sign", "i", "j"]
 #: Candidates that are verified together; a link found among them spares the rest of its component.
 _AT_ONCE = 32
+#: Of a component whose links are counted: nodes and tokens of a block, so that two blocks fit a task's memory.
+_COUNT_NODES, _COUNT_TOKENS = 500, 1 << 21
 
 
 def _signatures(shared: DataFrame, rules: Join) -> DataFrame:
@@ -186,9 +189,9 @@ def _bitmap(key: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _dealt(members: DataFrame, tasks: int) -> DataFrame:
+def _dealt(members: DataFrame, tasks: int, blocks: Column | None = None) -> DataFrame:
     """Rows of lists (sign, n members, node, ...) by pairs of blocks i, j of a list, each pair in a task."""
-    blocks = F.ceil(F.col("n") / _BLOCK).cast("long")
+    blocks = F.ceil(F.col("n") / _BLOCK).cast("long") if blocks is None else blocks
     rows = members.withColumn("block", F.pmod("node", blocks)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
     return rows.withColumn("task", F.pmod(F.xxhash64("sign", "i", "j"), F.lit(tasks)))
@@ -378,13 +381,72 @@ def _apart(posted: DataFrame, group: DataFrame, bitmaps: DataFrame) -> DataFrame
     return label.join(apart.select("sign"), "sign", "left_semi").drop("hub").join(bitmaps, "node")
 
 
-def similar_groups(docs: DataFrame, rules: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (of the
-    links that were verified to join the component; copies of a text count none)."""
+def _linked_rows(sets: list[np.ndarray], size: np.ndarray, copies: np.ndarray, side: np.ndarray | None, rules: Join) -> np.ndarray:
+    """For each of the sets, the copies of the others that it is linked to; with sides, of those of the other side only.
+
+    Sets are compared by their common tokens alone: each one's tokens call up all later holders of the same tokens.
+    """
+    n, out = len(sets), np.zeros(len(sets), np.int64)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in sets])
+    key = np.concatenate(sets)
+    order = np.argsort(key, kind="stable")  # of one token, holders ascend
+    key, holder = key[order], owner[order]
+    ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+    last = np.repeat(ends, np.diff(np.r_[0, ends]))
+    place = np.empty(len(key), np.int64)
+    place[order] = np.arange(len(key))
+    stop = last[place]
+    bounds = np.r_[0, np.cumsum([len(x) for x in sets])]
+    for x in range(n - 1):
+        a, b = place[bounds[x] : bounds[x + 1]] + 1, stop[bounds[x] : bounds[x + 1]]
+        runs = b - a
+        total = int(runs.sum())
+        if total:
+            at = np.repeat(a - np.r_[0, np.cumsum(runs)[:-1]], runs) + np.arange(total)
+            common = np.bincount(holder[at], minlength=n)
+            hit = (common > 0) & (100 * common >= rules.percent * (size + size[x] - common))
+            if side is not None:
+                hit &= side != side[x]
+            out[x] += copies[hit].sum()
+            out[hit] += copies[x]
+    return out
+
+
+def _counted(group: DataFrame, able: DataFrame, copies: DataFrame, rules: Join, tasks: int) -> DataFrame:
+    """(node, linked): the rows of other nodes that a node's rows are linked to, of (node, component).
+
+    Components are dealt by pairs of blocks of their nodes, so that a large one is spread over tasks. The two nodes of a
+    component of two are linked, so these are not compared.
+    """
+
+    def counted(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([*_LIST, "node"], kind="stable")
+        sign, i, j, size, node, rows, block = (part[c].to_numpy() for c in ("sign", "i", "j", "size", "node", "copies", "block"))
+        edge = np.flatnonzero(np.r_[True, (sign[1:] != sign[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(part) else []
+        linked = np.zeros(len(part), np.int64)
+        data = part.tokens.to_numpy()
+        for a, b in zip(edge, np.r_[edge[1:], len(part)].astype(np.int64), strict=True):
+            sets = [_delta_keys(x) for x in data[a:b]]
+            linked[a:b] = _linked_rows(sets, size[a:b], rows[a:b], None if i[a] == j[a] else block[a:b], rules)
+        return pd.DataFrame({"node": node, "linked": linked})
+
+    rows = group.join(able, "node").join(copies, "node").withColumnRenamed("component", "sign")
+    sums = group.join(able.select("node", "size"), "node").join(copies, "node").groupBy("component")
+    sums = sums.agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.sum("copies").alias("held")).withColumnRenamed("component", "sign")
+    pairs = group.join(copies, "node").withColumnRenamed("component", "sign").join(sums.where("n = 2"), "sign").select("node", (F.col("held") - F.col("copies")).alias("linked"))
+    blocks = F.greatest(F.ceil(F.col("n") / _COUNT_NODES), F.ceil(F.col("all") / _COUNT_TOKENS)).cast("long")
+    large = _dealt(rows.join(sums.where("n > 2").select("sign", "n", "all"), "sign").drop("own", "bits"), tasks, blocks)
+    found = large.groupBy("task").applyInPandas(counted, "node long, linked long")
+    return pairs.union(found).groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def _grouped(docs: DataFrame, rules: Join, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, node); their nodes (node, size, component: a node, least doc_id, copies); components of nodes with
+    links; and the sets of nodes that can have links."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     members = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    nodes = members.groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = members.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     signed = saved(_signatures(_shared_tokens(_messages(members, rules, 2 * shards(spark))), rules))
     sizes = signed.groupBy("node").agg(F.first("size").alias("size"))
     # a node that several batches have comes from each of them, alike
@@ -398,13 +460,21 @@ def similar_groups(docs: DataFrame, rules: Join = Join(), id_col: str = "doc_id"
     links = saved(links.union(_verified(_nearest(_apart(posted, components(links), bitmaps), rules, tasks), able, rules)))
     links = saved(links.union(_across(_apart(posted, components(links), bitmaps), able, rules, tasks)).distinct())
     group = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    # a component's label is the smallest doc_id of its nodes; empty sets (size 0) stay apart, each row its own
-    flat = nodes.select("node", "least").join(sizes, "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    flat = flat.join(degree, "node", "left")
+    # empty sets (size 0) stay apart
+    flat = nodes.join(sizes, "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return members.select("doc_id", "node"), flat, group, able
+
+
+def similar_groups(docs: DataFrame, rules: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (the
+    number of other rows that the row is linked to, those of its own text among them; 0 without shingles)."""
+    members, flat, group, able = _grouped(docs, rules, id_col, text_col)
+    degree = saved(_counted(group, able, flat.select("node", "copies"), rules, 4 * shards(docs.sparkSession)))
+    # a component's label is the smallest doc_id of its nodes; of empty sets, each row its own
     smallest = flat.groupBy("component").agg(F.min("least").alias("component_id"))
-    flat = flat.join(smallest, "component").select("node", "size", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-    rows = members.select("doc_id", "node").join(flat, "node")
+    flat = flat.join(smallest, "component").join(degree, "node", "left")
+    count = F.when(F.col("size") == 0, 0).otherwise(F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long")
+    rows = members.join(flat.select("node", "size", "component_id", count.alias("n_links")), "node")
     own = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), "n_links")
 

@@ -258,3 +258,22 @@ def test_ngram_join_across_components(spark, monkeypatch):
     for frequent in (1, 100):
         got = ngram_join.similar_groups(frame(spark, rows), ngram_join.Join(frequent=frequent)).collect()
         assert {(x.doc_id, x.component_id) for x in got} == {(k, group.index(g)) for k, g in enumerate(group)}
+
+
+@pytest.mark.parametrize("at_once", [4, 500])
+def test_ngram_join_counts_links(spark, monkeypatch, at_once):
+    """n_links is the number of other rows at the threshold: inside groups that are all alike, in chains, and of copies."""
+    monkeypatch.setattr(ngram_join, "_COUNT_NODES", at_once)
+    rows, words = texts(9), [f"c{k}" for k in range(60)]
+    for step in range(12):
+        rows.append(" ".join(words))
+        words[(step * 7) % 60] = f"s{step}"
+    alike = [f"a{k}" for k in range(50)]
+    rows += [" ".join(alike + [f"z{k}"]) for k in range(9)]
+    rows += [rows[-1]] * 2 + [rows[-1].upper()] + ["p q", "P q", "lone pair of two words here", "lone pair of two words here"]
+    sets = []
+    for t in rows:
+        w = tokens(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    want = {i: sum(j != i and 100 * len(s & o) >= 75 * len(s | o) for j, o in enumerate(sets)) if s else 0 for i, s in enumerate(sets)}
+    assert {r.doc_id: r.n_links for r in ngram_join.similar_groups(frame(spark, rows)).collect()} == want
