@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,20 +77,23 @@ def retry_plan(log: DataFrame, as_of: Column, limit: int = 50) -> DataFrame:
 def cooldown(candidates: DataFrame, seconds: int = 3600) -> DataFrame:
     """Of candidates (key, ts, ...), those that a greedy fold sends: none within `seconds` of the last sent of its key.
 
-    Candidates are first reduced to the best of each 15-minute window, so that a key's fold is short.
+    Every candidate is folded, in order of time; a task reads its keys sorted and holds only the last sent time.
+    Candidates without a time are not sent.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("epoch")
-        last, keep = None, []
-        for t in group.epoch:
-            ok = last is None or t - last >= seconds
-            keep.append(ok)
-            last = t if ok else last
-        return group[keep]
-
-    best = candidates.groupBy("key", F.window("ts", "15 minutes").alias("w")).agg(F.min(F.unix_timestamp("ts")).alias("epoch")).select("key", "epoch")
-    return best.groupBy("key").applyInPandas(fold, "key long, epoch long")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = (), 0  # no key is ()
+        for part in batches:
+            keep = []
+            for key, at in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                keep.append(key != held or at - last >= seconds * 1_000_000)
+                if keep[-1]:
+                    held, last = key, at
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    rows = candidates.where("ts is not null").select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    sent = rows.repartition("key").sortWithinPartitions("key", "at").mapInArrow(fold, rows.schema)
+    return sent.select("key", F.floor(F.col("at") / 1_000_000).alias("epoch"))
 
 
 def send_summary(results: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,20 @@ def test_cooldown_is_greedy(spark):
     assert sorted(r.epoch - start for r in notify.cooldown(df).collect()) == [0, 3600, 7200]
 
 
+def test_cooldown_folds_every_candidate(spark):
+    """Several candidates of a quarter of an hour, a hot key and a null key, against a plain fold."""
+    r = random.Random(4)
+    at = [(1, s) for s in (840, 3660, 4470)] + [(2, r.randrange(40_000)) for _ in range(3000)] + [(None, r.randrange(20_000)) for _ in range(50)]
+    want, last = [], {}
+    for key, s in sorted(at, key=lambda x: x[1]):
+        if key not in last or s - last[key] >= 3600:
+            want.append((key, s))
+            last[key] = s
+    df = spark.createDataFrame([(k, NOW + dt.timedelta(seconds=s)) for k, s in at], "key long, ts timestamp")
+    start = int(NOW.replace(tzinfo=dt.timezone.utc).timestamp())
+    assert (1, 4470) in want and sorted(((x.key, x.epoch - start) for x in notify.cooldown(df).collect()), key=str) == sorted(want, key=str)
+
+
 def test_pages_clamp():
     assert feeds.clamp_page(0, 1000) == (1, 50) and feeds.clamp_page(3, 0) == (3, 20)
 
