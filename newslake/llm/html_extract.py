@@ -4,8 +4,10 @@ A page becomes a row of text blocks. A linear classifier over a block's tags, cl
 the cost of each label, which are the terminal capacities; blocks that follow each other, and blocks of one parent
 element, are tied by smoothness edges. The minimum cut labels the blocks; content blocks are joined in page order.
 
-Null and empty html gives an empty text. Pages are read whole. Unclosed tags, comments and scripts are taken to the
-page's end. Each row is extracted by itself, so repeated rows need no rule; equal costs are settled as content.
+Null and empty html gives an empty text. Pages are read whole. Unclosed comments, scripts and other raw elements are taken
+to the page's end, as browsers do. What a head can hold has no text but its raw elements', and other text or elements end
+it, so head tags need no rule. Buttons, selects, objects and drawings are left out; one without its end tag is left out up
+to the next block's tag. Each row is extracted by itself, so repeated rows need no rule; equal costs are settled as content.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from newslake.llm.common import private
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|object|title|head|button)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
@@ -33,6 +35,9 @@ _BLOCK = frozenset(
     " header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_LEFT_OUT = frozenset("button object select svg".split())
+#: A slash at a start tag's end that belongs to an unquoted value.
+_VALUE = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _BAD_TAGS = frozenset("nav aside footer form menu dialog".split())
 _BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification"
@@ -66,12 +71,44 @@ class _Element:
         self.good = bool(at and at.good) or bool(words & _GOOD_WORDS)
 
 
+def _ends(tags: list[re.Match]) -> dict[int, int]:
+    """Of the start tags of elements that are left out: the place in tags of their end tags, -1 where there is none.
+
+    An element without an end tag ends where a block around it does. A drawing's start tag that ends it is its end tag.
+    """
+    found: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    held: dict[str, int] = {}
+    for k, m in enumerate(tags):
+        name = (m["name"] or "").lower()
+        if name not in _LEFT_OUT and (name not in _BLOCK or name in _VOID):
+            continue
+        if m["close"]:
+            while held.get(name):
+                top, at = stack.pop()
+                held[top] -= 1
+                if top == name:
+                    if name in _LEFT_OUT:
+                        found[at] = k
+                    break
+        elif name == "svg" and m["attrs"].endswith("/") and not _VALUE.search(m["attrs"]):
+            found[k] = k
+        else:
+            stack.append((name, k))
+            held[name] = held.get(name, 0) + 1
+            if name in _LEFT_OUT:
+                found[k] = -1
+    return found
+
+
 def blocks_of(page: str) -> list[tuple[str, int, _Element]]:
     """(text, its characters inside links, innermost element) of each block with text."""
     top = at = _Element("", None, "", 0)
     out: list[tuple[str, int, _Element]] = []
     text: list[str] = []
     owner, linked, links, count, last = top, 0, 0, 0, 0
+    tags = list(_TAG.finditer(page))
+    ends, skipped, left_out = _ends(tags), -1, False
 
     def flush() -> None:
         nonlocal linked
@@ -83,13 +120,16 @@ def blocks_of(page: str) -> list[tuple[str, int, _Element]]:
 
     def take(piece: str) -> None:
         nonlocal owner, linked
-        if piece:
+        if piece and not left_out:
             if not text:
                 owner = at
             text.append(piece)
             linked += len(piece) if links else 0
 
-    for m in _TAG.finditer(page):
+    for k, m in enumerate(tags):
+        if k <= skipped:
+            last = m.end()
+            continue
         take(page[last : m.start()])
         last = m.end()
         name = (m["name"] or "").lower()
@@ -97,8 +137,14 @@ def blocks_of(page: str) -> list[tuple[str, int, _Element]]:
             if m[0].startswith("<![CDATA["):
                 take(html.escape(m[0][9:].removesuffix("]]>")))
             continue
+        if name == "head":
+            continue
+        if k in ends:
+            skipped, left_out = ends[k], left_out or ends[k] < 0
+            continue
         block = name in _BLOCK
         if block:
+            left_out = False
             flush()
         if m["close"]:
             if name == "a":

@@ -113,6 +113,17 @@ def test_html(spark):
     assert got == {1: ("u", want, len(want)), 2: ("v", "", 0), 3: ("w", "", 0), 4: (None, "", 0)}
 
 
+def test_html_elements_without_end_tags():
+    story = "<article><h1>Title here</h1><p>First text of the story.{}<p>Second text of the story.</article>"
+    want = "Title here First text of the story. Second text of the story."
+    for x in ("", '<svg viewBox="0 0 1 1"/>', "<svg/>", "<svg><path d='m'/><text>x</text></svg>", "<button>Share", "<button><div>Share</div></button>", "<select><option>One<option>Two", "<object data=x>", "<svg><path>"):
+        assert html_extract.main_text(f"<html><head><title>T</title></head><body>{story.format(x)}</body></html>") == want, x
+        assert html_extract.main_text(f"<html><head><title>T</title><meta charset=utf-8><body>{story.format(x)}") == want, x
+        assert html_extract.main_text(f"<!doctype html><head><title>T</title><link rel=x href=/y/>\n{story.format(x)}<footer><button>Go</button></footer>") == want, x
+    assert html_extract.main_text("<head><title>T</title>" + "Text of a page that has no tags of its own. " * 9).startswith("Text of a page")
+    assert html_extract.main_text(story.format("<button>Share") + "<footer></button>") == want
+
+
 def test_min_cut_is_minimal():
     r = random.Random(1)
     for _ in range(100):
