@@ -480,15 +480,16 @@ def similar_groups(docs: DataFrame, rules: Join = Join(), id_col: str = "doc_id"
 
 
 def keep_one(docs: DataFrame, rules: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id (of rows with one id, the first by text stays).
-    Rows without shingles all stay. Columns unchanged."""
-    name, first = private("id"), private("first")
-    groups = similar_groups(docs, rules, id_col, text_col)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    out = docs.join(kept, docs[id_col] == kept[name], "left_semi")
-    key = F.struct(F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    # rows that repeat an id: few, so the tie is settled by a window over the id
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(key["h"]))
-    return out.withColumn(first, rank).where(F.col(first) == 1).drop(first)
+    """docs with one row of each component: that of the smallest id (nulls last), and of its texts the one of least hash.
+
+    Rows are told apart by id and text, so equal ids and null ids lose nothing else; of rows with equal id and text any one
+    stays. Rows without shingles all stay. Columns unchanged.
+    """
+    name, label = private("node"), private("id")
+    _, flat, _, _ = _grouped(docs, rules, id_col, text_col)
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("m")
+    kept = flat.where("size > 0").groupBy("component").agg(best).select(F.col("m.node").alias(name), F.col("m.least").alias(label))
+    blank = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(~blank).withColumn(name, F.xxhash64(F.col(text_col))).join(kept, name)
+    rows = rows.where(F.col(id_col).eqNullSafe(F.col(label))).dropDuplicates([name])
+    return rows.select(*docs.columns).union(docs.where(blank))

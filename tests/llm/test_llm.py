@@ -288,3 +288,15 @@ def test_ngram_join_counts_links(spark, monkeypatch, at_once):
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
     want = {i: sum(j != i and 100 * len(s & o) >= 75 * len(s | o) for j, o in enumerate(sets)) if s else 0 for i, s in enumerate(sets)}
     assert {r.doc_id: r.n_links for r in ngram_join.similar_groups(frame(spark, rows)).collect()} == want
+
+
+def test_keep_one_tells_rows_apart(spark):
+    """Null ids, ids of several texts, empty rows of one id: only near copies go, and one row of each group stays."""
+    r = random.Random(11)
+    prose = lambda tag: " ".join(f"{tag}{r.randrange(10**6)}" for _ in range(50))
+    x, y, z, b, c = (prose(k) for k in "xyzbc")
+    rows = [(3, x), (5, x + " tail"), (5, b), (None, y), (None, z), (None, z), (None, c + " tail"), (7, c), (7, c), (8, ""), (8, None), (8, " \n"), (None, None), (9, b + " tail")]
+    df = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, score string, n_words int")
+    got = [(k.doc_id, k.text) for k in ngram_join.keep_one(df).collect()]
+    want = [(3, x), (5, b), (None, y), (None, z), (7, c), (8, ""), (8, None), (8, " \n"), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
