@@ -70,14 +70,19 @@ def distinct_titles(docs: DataFrame) -> DataFrame:
     return docs.groupBy("title").agg(F.min("article_id").alias("id"), F.count("*").alias("n"))
 
 
-def candidate_pairs(titles: DataFrame, least: float = 0.3) -> DataFrame:
-    """(a, b, jaccard) of distinct titles, a < b, where b's bucket is one that a probes: its own, or one of its first
-    three space-split words longer than three characters. Only a probes."""
+def probed(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """titles (title, id, ...) by each bucket that they probe (a, ta, bucket), and by their own (b, tb, bucket)."""
     bucket = text.bucket_key(F.col("title"), config.CLUSTER_BUCKET_STOPS)
     near = F.filter(F.slice(F.split(F.lower("title"), " "), 1, 3), lambda w: F.length(w) > 3)
     rows = titles.select("id", "title", bucket.alias("bucket"), F.array_distinct(F.concat(F.array(bucket), near)).alias("probes"), F.array_distinct(text.tokens(F.col("title"))).alias("t"))
     a = rows.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.explode("probes").alias("bucket"))
-    b = rows.select(F.col("id").alias("b"), F.col("t").alias("tb"), "bucket")
+    return a, rows.select(F.col("id").alias("b"), F.col("t").alias("tb"), "bucket")
+
+
+def candidate_pairs(titles: DataFrame, least: float = 0.3) -> DataFrame:
+    """(a, b, jaccard) of distinct titles, a < b, where b's bucket is one that a probes: its own, or one of its first
+    three space-split words longer than three characters. Only a probes."""
+    a, b = probed(titles)
     pairs = a.join(b, "bucket").where("a < b").withColumn("jaccard", text.jaccard(F.col("ta"), F.col("tb")))
     return pairs.where(F.col("jaccard") >= least).select("a", "b", "jaccard").distinct()
 
@@ -164,22 +169,35 @@ def canonical(members: DataFrame) -> DataFrame:
 
 
 def duplicate_decisions(batch: DataFrame, store: DataFrame, rules: config.Clustering = config.Clustering()) -> DataFrame:
-    """(article_id, action, score, matched_id): skip for a stored URL; else by the best combined title similarity."""
-    key = lambda df: df.withColumn("url_key", urls.url_key(F.col("source_url"), params=()))
+    """(article_id, action, score, matched_id): skip for a stored URL; else by the best combined similarity to a stored
+    article whose bucket the new title probes: title cosine, or 0.7 of it and 0.3 of the content's where it is at most
+    0.9 and both contents are long. Terms weigh by the stored articles."""
+    key = lambda df: df.withColumn("url_key", urls.url_key(F.col("source_url"), params=())).withColumn("body", F.coalesce("content", F.lit("")))
     batch, store = key(batch), key(store)
     seen = store.groupBy("url_key").agg(F.min("article_id").alias("url_id"))
-    both = batch.select("article_id", "title").withColumn("new", F.lit(1)).union(store.select("article_id", "title").withColumn("new", F.lit(0)))
-    titles = both.groupBy("title").agg(F.min("article_id").alias("id"), F.max("new").alias("new"), F.min("new").alias("old"))
-    pairs = candidate_pairs(titles, rules.min_jaccard)
-    pairs = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
-    scored = cosine(pairs, title_vectors(titles.selectExpr("id article_id", "title")), "score")
-    stored = store.groupBy("title").agg(F.min("article_id").alias("store_id")).join(titles.select("title", F.col("id").alias("b")), "title")
-    best = scored.join(stored.select("b", "store_id"), "b").groupBy("a").agg(F.max(F.struct("score", (-F.col("store_id")).alias("i"))).alias("m"))
-    same = stored.select(F.col("b").alias("a"), F.col("store_id").alias("same_id"))
-    mine = batch.join(titles.select("title", F.col("id").alias("a")), "title").join(best, "a", "left").join(same, "a", "left").join(seen, "url_key", "left")
-    has = F.size(text.tokens(F.col("title"))) > 0
-    score = F.when(F.col("url_id").isNotNull(), 1.0).when(F.col("same_id").isNotNull() & has, 1.0).otherwise(F.coalesce(F.col("m.score"), F.lit(0.0)))
-    matched = F.coalesce("url_id", F.when(has, F.col("same_id")), -F.col("m.i"))
+    titles = lambda df: df.groupBy("title").agg(F.min("article_id").alias("first")).withColumn("id", F.col("title"))
+    a, b = probed(titles(batch))[0], probed(titles(store))[1]
+    pairs = a.join(b, "bucket").where((F.col("a") != F.col("b")) & (text.jaccard(F.col("ta"), F.col("tb")) >= rules.min_jaccard)).select("a", "b").distinct()
+    vectors = title_vectors(batch.select("title").union(store.select("title")).distinct().selectExpr("title article_id", "title"))
+    scored = reliable(cosine(pairs, vectors, "title_cosine"))
+    best = F.max(F.struct("score", (-F.col("store_id")).alias("i")))
+    sure = scored.where("title_cosine > 0.9").join(titles(store).selectExpr("title b", "first store_id"), "b").withColumn("score", F.col("title_cosine"))
+    sure = sure.groupBy(F.col("a").alias("title")).agg(best.alias("m1"))
+    # the rest is decided by content, once for each different text of a title
+    texts = lambda df, side: df.groupBy("title", "body").agg(F.min("article_id").alias("id")).withColumn("x", F.concat(F.lit(side), F.col("id").cast("string")))
+    new, old = texts(batch, "n"), texts(store, "s")
+    members = scored.where("title_cosine <= 0.9").join(new.selectExpr("title a", "x xa", "length(body) la"), "a").join(old.selectExpr("title b", "x xb", "id store_id", "length(body) lb"), "b")
+    members = reliable(members.select(F.col("xa").alias("a"), F.col("xb").alias("b"), "store_id", "title_cosine", ((F.col("la") > 100) & (F.col("lb") > 100)).alias("long")))
+    need = members.where("long").select(F.explode(F.array("a", "b")).alias("article_id")).distinct()
+    docs = new.union(old).selectExpr("x article_id", "body content").join(need, "article_id", "left_semi")
+    compared = cosine(members.where("long"), content_vectors(docs, idf_table(store), store.agg(F.count("*").alias("docs"))), "content_cosine")
+    compared = compared.select("a", "store_id", (0.7 * F.col("title_cosine") + 0.3 * F.col("content_cosine")).alias("score"))
+    rest = compared.union(members.where("not long").select("a", "store_id", "title_cosine")).groupBy(F.col("a").alias("x")).agg(best.alias("m2"))
+    same = titles(store).where(F.size(text.tokens(F.col("title"))) > 0).select("title", F.col("first").alias("same_id"))
+    mine = batch.join(new.select("title", "body", "x").where("title is not null"), ["title", "body"], "left")
+    mine = mine.join(sure, "title", "left").join(rest, "x", "left").join(same, "title", "left").join(seen, "url_key", "left").withColumn("m", F.greatest("m1", "m2"))
+    score = F.when(F.col("url_id").isNotNull() | F.col("same_id").isNotNull(), 1.0).otherwise(F.coalesce(F.col("m.score"), F.lit(0.0)))
+    matched = F.coalesce("url_id", "same_id", -F.col("m.i"))
     action = F.when(score >= rules.exact, "skip").when(score >= rules.same_story, "add_to_cluster").otherwise("store_new")
     return mine.select("article_id", action.alias("action"), score.alias("score"), F.when(action != "store_new", matched).alias("matched_id"))
 

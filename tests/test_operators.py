@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,46 @@ def test_clusters_find_same_titles_and_near_titles(spark):
     assert len(best) == 1 and best[0].canonical_id == 1
 
 
+def test_duplicate_decisions_read_contents(spark):
+    """Against the reference's rules row by row; new ids on both sides of the stored ones."""
+    stop = set(config.STOP_WORDS)
+    toks = lambda s: [w for w in re.sub(r"[^\w\s']", " ", s.lower()).split() if 2 < len(w) < 30 and w not in stop and not w.isdigit()]
+    boost = lambda w: 1.5 if w in config.BOOST_TERMS else 1.0
+    body = lambda k: " ".join(f"{k}word{i}" for i in range(30))
+    stored = [(10, "Quantum chips beat older chips today", body("one")), (11, "Quantum maker ships seven fast parts", body("two")), (12, "Rivers flood northern towns again", "short"), (13, "Seven Quantum lanterns glow outside", body("four"))]
+    new = [
+        (1, "Quantum maker ships seven fast boats", body("two")), (20, "Quantum maker ships seven fast boats", body("nine")), (21, "Quantum maker ships seven fast trains", body("two") + " more"),
+        (2, "Rivers flood northern towns", body("two")), (22, "Rivers flood northern villages", body("five")), (3, "Nothing like it anywhere", body("one")), (23, "Quantum chips beat older chips today", ""),
+        (4, "Lanterns quantum seven glow", body("four")), (24, "Glow quantum Seven lanterns", body("four")), (5, None, None),
+    ]
+    df = lambda rows, k: spark.createDataFrame([(i, t, c, f"https://{k}.com/{i}") for i, t, c in rows], "article_id long, title string, content string, source_url string")
+    docs = [set(toks(t + " " + c[:500])) for _, t, c in stored]
+    idf = lambda w: math.log((len(docs) + 1) / ((sum(w in d for d in docs) or 1) + 1)) + 1
+
+    def vector(words, weigh):
+        return {w: (1 + math.log(words.count(w))) * boost(w) * weigh(w) for w in set(words)}
+
+    def cos(x, y):
+        norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / norm if norm else 0.0
+
+    first = lambda t: next((w for w in re.sub(r"[^\w\s]", "", t.lower()).split() if len(w) > 2 and w not in config.CLUSTER_BUCKET_STOPS), t[:5].lower())
+    want = {}
+    for i, t, c in new:
+        best = (0.0, None)
+        for j, u, d in stored if t else ():
+            x, y = set(toks(t)), set(toks(u))
+            if first(u) in {first(t), *(w for w in t.lower().split(" ")[:3] if len(w) > 3)} and len(x & y) / len(x | y) >= 0.3:
+                s = cos(vector(toks(t), lambda w: 2), vector(toks(u), lambda w: 2))
+                if s <= 0.9 and len(c) > 100 and len(d) > 100:
+                    s = 0.7 * s + 0.3 * cos(vector(toks(c), idf), vector(toks(d), idf))
+                best = max(best, (s, -j), key=lambda z: z[0])
+        action = "skip" if best[0] > 0.9499 else "add_to_cluster" if best[0] >= 0.8 else "store_new"
+        want[i] = (action, round(best[0], 6), None if action == "store_new" else -best[1])
+    got = {r.article_id: (r.action, round(r.score, 6), r.matched_id) for r in similarity.duplicate_decisions(df(new, "n"), df(stored, "s")).collect()}
+    assert got == want and want[1][0] == "add_to_cluster" and want[20][0] == "store_new" and want[23] == ("skip", 1.0, 10)
+
+
 def test_breaking(spark):
     df = spark.createDataFrame([(1, "OpenAI launches GPT breakthrough AI", "X", NOW - dt.timedelta(hours=1), 80.0, 0, 0), (2, "Calm", "X", NOW, 30.0, 0, 0)], "article_id long, title string, source_name string, published_at timestamp, score double, view_count long, bookmark_count long")
     got = {r.article_id: (r.breaking_score, r.is_breaking) for r in notify.breaking_scores(df, now()).collect()}
