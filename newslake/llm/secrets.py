@@ -109,8 +109,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", rules: Threshold =
     )
     random = docs.select(F.explode(values).alias("value"))
     random = random.distinct().orderBy(F.xxhash64("value"), "value").limit(rules.samples).select("value", F.lit(1).alias("label"))
-    some = docs.where(F.length(text) > 0).select(text.alias("t")).orderBy(F.xxhash64("t"), "t").limit(max(1, rules.samples // 20))
-    words = some.select(F.explode(F.split(F.col("t"), r"[^A-Za-z_]+")).alias("value")).where("length(value) >= 4").distinct()
+    words = docs.select(F.explode(F.split(text, r"[^A-Za-z_]+")).alias("value")).where("length(value) >= 4").distinct()
     words = words.orderBy(F.xxhash64("value"), "value").limit(rules.samples).select("value", F.lit(0).alias("label"))
     return random.union(words)
 
