@@ -66,8 +66,9 @@ def cosine(pairs: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
 
 
 def distinct_titles(docs: DataFrame) -> DataFrame:
-    """One row per title: (title, id: its smallest article, n). Titles repeat, so pairs are made of distinct ones."""
-    return docs.groupBy("title").agg(F.min("article_id").alias("id"), F.count("*").alias("n"))
+    """One row per title: (title, id and last: its smallest and greatest article, n). Titles repeat, so pairs are made of
+    distinct ones."""
+    return docs.groupBy("title").agg(F.min("article_id").alias("id"), F.max("article_id").alias("last"), F.count("*").alias("n"))
 
 
 def probed(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,10 +82,11 @@ def probed(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def candidate_pairs(titles: DataFrame, least: float = 0.3) -> DataFrame:
     """(a, b, jaccard) of distinct titles, a < b, where b's bucket is one that a probes: its own, or one of its first
-    three space-split words longer than three characters. Only a probes."""
+    three space-split words longer than three characters; or the reverse. An article probes only greater ones, so a title
+    probes those whose greatest article is above its smallest."""
     a, b = probed(titles)
-    pairs = a.join(b, "bucket").where("a < b").withColumn("jaccard", text.jaccard(F.col("ta"), F.col("tb")))
-    return pairs.where(F.col("jaccard") >= least).select("a", "b", "jaccard").distinct()
+    pairs = a.join(b, "bucket").join(titles.selectExpr("id b", "last"), "b").where("a <> b and a < last").withColumn("jaccard", text.jaccard(F.col("ta"), F.col("tb")))
+    return pairs.where(F.col("jaccard") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

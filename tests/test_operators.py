@@ -108,6 +108,15 @@ def test_clusters_find_same_titles_and_near_titles(spark):
     assert len(best) == 1 and best[0].canonical_id == 1
 
 
+def test_candidates_of_a_later_copy(spark):
+    """Article 2 probes 'quantum' as its second word; of that bucket's title only the copy 3 is greater."""
+    rows = [(1, "Quantum chips ship"), (2, "Seven quantum chips ship"), (3, "Quantum chips ship")]
+    titles = similarity.distinct_titles(spark.createDataFrame(rows, "article_id long, title string"))
+    assert [(r.a, r.b) for r in similarity.candidate_pairs(titles).collect()] == [(1, 2)]
+    once = similarity.distinct_titles(spark.createDataFrame(rows[:2], "article_id long, title string"))
+    assert similarity.candidate_pairs(once).count() == 0
+
+
 def test_duplicate_decisions_read_contents(spark):
     """Against the reference's rules row by row; new ids on both sides of the stored ones."""
     stop = set(config.STOP_WORDS)
