@@ -1,21 +1,32 @@
 """Main text of HTML pages by a minimum cut between content and boilerplate.
 
-A page becomes a row of text blocks. A linear classifier over a block's tags, class and id words, links and length gives
-the cost of each label, which are the terminal capacities; blocks that follow each other, and blocks of one parent
-element, are tied by smoothness edges. The minimum cut labels the blocks; content blocks are joined in page order.
+A page becomes a row of text blocks. A block's terminal capacities are the costs of its two labels, in nats: what its
+elements say for sure (article, navigation, class and id words, ...) and the log-odds of a logistic classifier over its
+length, links, punctuation and kind. The classifier is trained on the blocks that elements do mark, without seeing those
+marks, so it can judge blocks and pages that have none. Blocks that follow each other, the closer in the element tree
+the more, and blocks of one parent element are tied by smoothness edges. The minimum cut labels the blocks; content
+blocks are joined in page order.
+
+The classifier is fitted on a bounded sample, about `Costs.sample` pages of least hash; of these only counts of blocks by
+cell of features (a few hundred) leave a task. Without marked blocks of both labels its weights are 0.
 
 Null and empty html gives an empty text. Pages are read whole. Unclosed comments, scripts and other raw elements are taken
 to the page's end, as browsers do. What a head can hold has no text but its raw elements', and other text or elements end
 it, so head tags need no rule. Buttons, selects, objects and drawings are left out; one without its end tag is left out up
 to the next block's tag. Each row is extracted by itself, so repeated rows need no rule; equal costs are settled as content.
+An empty table gives no rows. Extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import deque
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +52,24 @@ _VALUE = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _BAD_TAGS = frozenset("nav aside footer form menu dialog".split())
 _BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification"
-    " alert nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer foot header masthead comment comments respond reply replies disqus share sharing"
+    " alert nav navbar navigation menu breadcrumb breadcrumbs sidebar footer foot header masthead comment comments respond reply replies disqus share sharing"
     " social related recommended newsletter subscribe subscription signup login search pagination pager widget popup modal overlay paywall toolbar copyright legal"
     " contentinfo complementary disclaimer form".split()
 )
 _GOOD_WORDS = frozenset("article content post entry story main body text".split())
-#: Weights of the block classifier, in units of cost; positive speaks for content.
-_W = {"article": 6, "good": 3, "bad_tag": -14, "bad_word": -14, "page_header": -14, "linked": -8, "list": -1, "heading": 1, "outside": -6}
-_NEAR, _SIBLING = 0.5, 0.5
+
+
+@dataclass(frozen=True)
+class Costs:
+    """All in nats. sure: of what elements mark; most: bound of the classifier's log-odds; near, sibling: edges between
+    blocks in a row and of one parent; sample: pages that the classifier learns from."""
+
+    sure: float = 12.0
+    most: float = 3.0
+    near: float = 1.0
+    sibling: float = 0.5
+    ridge: float = 1.0
+    sample: int = 5_000
 
 
 class _Element:
@@ -172,13 +193,48 @@ def blocks_of(page: str) -> list[tuple[str, int, _Element]]:
     return out
 
 
-def content_evidence(text: str, linked: int, e: _Element) -> float:
-    """Cost of calling the block boilerplate less that of calling it content."""
-    score = min(len(text), 400) / 100
-    score += _W["article"] * e.article + _W["good"] * e.good + _W["bad_tag"] * (e.bad > 0) + _W["page_header"] * e.page_header
+#: Feature cells: upper ends of text lengths and of shares of linked characters.
+_LENGTHS, _LINKED = (20, 60, 150, 400), (0.05, 0.5)
+_CELL = (len(_LENGTHS) + 1, len(_LINKED) + 1, 2, 2, 2, 2)
+_ENDS = tuple(".!?:;\"”»…。")
+
+
+def cell_of(text: str, linked: int, e: _Element) -> int:
+    """The number of the block's cell: length, link share, list item, heading, ends like a sentence, copyright sign."""
     share = linked / max(1, len(text))
-    score += _W["linked"] * share * share if not e.article else 0
-    return score + _W["list"] * (e.name == "li" and not e.article) + _W["heading"] * (e.name[:1] == "h" and e.name[1:].isdigit())
+    item = e.name in ("li", "dt", "dd", "option")
+    heading = e.name[:1] == "h" and e.name[1:].isdigit()
+    parts = (bisect.bisect_left(_LENGTHS, len(text)), bisect.bisect_left(_LINKED, share), item, heading, text.endswith(_ENDS), "\u00a9" in text)
+    return int(np.ravel_multi_index([int(x) for x in parts], _CELL))
+
+
+def _features() -> np.ndarray:
+    """A row of indicators for each cell, intercept last."""
+    parts = np.stack(np.unravel_index(np.arange(np.prod(_CELL)), _CELL), 1)
+    return np.concatenate([parts[:, [k]] == np.arange(1, n) for k, n in enumerate(_CELL)] + [np.ones((len(parts), 1))], axis=1).astype(float)
+
+
+def marks(blocks: list[tuple[str, int, _Element]]) -> list[int]:
+    """1 for blocks that elements mark as content, -1 as boilerplate, 0 for the others."""
+    article = any(e.article and not e.bad for _, _, e in blocks)
+    return [-1 if e.bad or e.page_header else 1 if e.article else -1 if article else int(e.good) for _, _, e in blocks]
+
+
+def log_odds(counts: np.ndarray, ridge: float = Costs.ridge) -> np.ndarray:
+    """Log-odds of content by cell: a ridge logistic regression on (cell, label) counts, both labels weighted alike."""
+    x, total = _features(), counts.sum(axis=0)
+    if not total.all():
+        return np.zeros(len(x))
+    weight = counts * (total.sum() / 2 / total)
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        n = weight.sum(axis=1)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight[:, 1] - n * p) - penalty * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return x @ w
 
 
 def min_cut(evidence: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -236,32 +292,67 @@ def min_cut(evidence: list[float], edges: list[tuple[int, int, float]]) -> list[
     return label
 
 
-def main_text(page: str) -> str:
-    blocks = blocks_of(page)
-    article = any(e.article for _, _, e in blocks)
-    evidence = [content_evidence(*b) + (_W["outside"] if article and not b[2].article else 0) for b in blocks]
-    edges, last = [], {}
-    for i, (_, _, e) in enumerate(blocks):
-        same_side = i and (e.bad > 0 or e.page_header) == (blocks[i - 1][2].bad > 0 or blocks[i - 1][2].page_header)
-        if i:
-            edges.append((i - 1, i, _NEAR if same_side else _NEAR / 5))
+def labelled(blocks: list[tuple[str, int, _Element]], sure: list[int], odds: np.ndarray, costs: Costs = Costs()) -> list[bool]:
+    """True by block that the minimum cut calls content."""
+    evidence, edges, last = [], [], {}
+    for i, ((text, linked, e), mark) in enumerate(zip(blocks, sure, strict=True)):
+        evidence.append(costs.sure * mark + min(costs.most, max(-costs.most, float(odds[cell_of(text, linked, e)]))))
         parent = e.parent.n if e.parent else 0
+        if i:
+            before = blocks[i - 1][2]
+            other = before.parent.n if before.parent else 0
+            edges.append((i - 1, i, costs.near if parent == other else costs.near / 2 if before.n == parent or other == e.n else costs.near / 4))
         if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, _SIBLING))
+            edges.append((last[parent], i, costs.sibling))
         last[parent] = i
-    return " ".join(b[0] for b, good in zip(blocks, min_cut(evidence, edges), strict=True) if good)
+    return min_cut(evidence, edges)
+
+
+#: Of no training: every cell alike.
+NO_ODDS = np.zeros(int(np.prod(_CELL)))
+
+
+def main_text(page: str, odds: np.ndarray = NO_ODDS, costs: Costs = Costs()) -> str:
+    blocks = blocks_of(page)
+    return " ".join(b[0] for b, good in zip(blocks, labelled(blocks, marks(blocks), odds, costs), strict=True) if good)
+
+
+def train(pages: DataFrame, html_col: str = "html", costs: Costs = Costs()) -> np.ndarray:
+    """Log-odds of content by cell, from the marked blocks of a sample of pages."""
+    cells = int(np.prod(_CELL))
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((cells, 2), np.int64)
+        for part in parts:
+            for page in part.iloc[:, 0]:
+                blocks = blocks_of(page) if isinstance(page, str) else []
+                for (text, linked, e), mark in zip(blocks, marks(blocks), strict=True):
+                    if mark:
+                        seen[cell_of(text, linked, e), int(mark > 0)] += 1
+        cell, label = np.nonzero(seen)
+        yield pd.DataFrame({"cell": cell, "label": label, "n": seen[cell, label]})
+
+    share = min(1.0, costs.sample / max(1, pages.count()))
+    page = F.col(html_col)
+    some = pages.select(page).where((F.xxhash64(page).bitwiseAND(F.lit((1 << 53) - 1))) <= int(share * (1 << 53)))
+    counts = np.zeros((cells, 2))
+    for r in some.mapInPandas(count, "cell long, label long, n long").groupBy("cell", "label").agg(F.sum("n").alias("n")).collect():
+        counts[r["cell"], r["label"]] = r["n"]
+    return log_odds(counts, costs.ridge)
 
 
-def extracted(page: Column) -> Column:
+def extracted(page: Column, odds: np.ndarray, costs: Costs = Costs()) -> Column:
     @F.pandas_udf("string")
     def text(pages: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p) if isinstance(p, str) else "" for p in pages], dtype=object)
+        return pd.Series([main_text(p, odds, costs) if isinstance(p, str) else "" for p in pages], dtype=object)
 
     return text.asNondeterministic()(page)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of pages: page_id, url, text, n_chars."""
-    name = private("text")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), extracted(F.col(html_col)).alias(name))
+def extract(
+    pages: DataFrame, odds: np.ndarray | None = None, costs: Costs = Costs(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
+    """One row per row of pages: page_id, url, text, n_chars. Without odds, they are trained on the pages."""
+    odds, name = train(pages, html_col, costs) if odds is None else odds, private("text")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), extracted(F.col(html_col), odds, costs).alias(name))
     return rows.select("page_id", "url", F.col(name).alias("text"), F.length(name).cast("long").alias("n_chars"))
