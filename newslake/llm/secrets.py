@@ -2,20 +2,25 @@
 
 One model is of random strings, one of ordinary identifiers; both are trained from labelled samples by counting
 character pairs. A candidate token is a secret when the log-likelihood ratio of the models, per character pair, is
-above a threshold. Positions are in code points, ends exclusive.
+above a threshold, which is set on a fifth of the identifiers that training does not see. Positions are in code points,
+ends exclusive.
 
-Null and empty texts have no spans. Very long texts are scanned whole. Rows are judged one by one, so repeated rows
-and ties need no rule. Extra columns are not touched.
+The samples are bounded: random strings (label 1) are digests of a range in seven alphabets, and the values of the fixed
+patterns in a sample of texts; identifiers (label 0) are the words of these texts in several cases, alone, numbered and
+joined. Everything else covers all rows.
+
+Null and empty texts have no spans. Very long texts are scanned whole. Rows are judged one by one, so repeated rows,
+equal ids and ties need no rule. An empty table gives no rows. Extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newslake.llm.common import private
+from newslake.llm.common import private, saved
 
 #: Kinds in their order, with pattern and least length; group 0 counts, for assign group 2.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,10 +33,21 @@ _SIZE = 128  # ASCII
 
 @dataclass(frozen=True)
 class Threshold:
-    """Least mean log-likelihood ratio per pair, and least length; samples: most labelled strings that are learnt from."""
+    """samples: most strings of each label that are learnt from; texts: about how many texts (those of least hash) give
+    them; alarms: the share of held-out identifiers that may pass the threshold; least: its smallest value."""
 
-    ratio: float = 0.5
     samples: int = 20_000
+    texts: int = 20_000
+    alarms: float = 0.0005
+    least: float = 0.25
+
+
+@dataclass(frozen=True)
+class Models:
+    """ratios: log-likelihood ratio of random over identifier by character pair; threshold: of a token's mean."""
+
+    ratios: tuple[float, ...]
+    threshold: float
 
 
 def _zipped(text: Column, pattern: str) -> Column:
@@ -76,15 +92,25 @@ def _pairs(value: Column) -> Column:
     return F.zip_with(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))), F.slice(codes, 2, F.greatest(F.size(codes), F.lit(1))), lambda a, b: a * _SIZE + b)
 
 
-def train(samples: DataFrame) -> list[float]:
-    """samples (value, label 1 random / 0 identifier) -> log-likelihood ratio by pair, of random over identifier.
+def _mean_ratio(value: Column, ratios: tuple[float, ...]) -> Column:
+    """Mean log-likelihood ratio of a value's pairs."""
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
+    return F.get(F.transform(F.array(_pairs(value)), lambda p: F.aggregate(p, F.lit(0.0), lambda acc, x: acc + F.get(table, x)) / F.greatest(F.size(p), F.lit(1))), F.lit(0))
+
 
-    Pair counts with add-one smoothing; the table has 128 * 128 entries whatever the input.
+def train(samples: DataFrame, rules: Threshold = Threshold()) -> Models:
+    """Models from samples (value, label 1 random / 0 identifier).
+
+    Pair counts with add-one smoothing; the table has 128 * 128 entries whatever the input. Identifiers whose hash is a
+    multiple of 5 are held out for the threshold.
     """
-    counts = samples.select("label", F.explode(_pairs(F.col("value"))).alias("pair")).where(f"pair between 0 and {_SIZE * _SIZE - 1}").groupBy("label", "pair").count()
-    rows = {(int(r["label"]), int(r["pair"])): int(r["count"]) for r in counts.collect()}
     import math
 
+    held = (F.col("label") == 0) & (F.pmod(F.xxhash64("value"), F.lit(5)) == 0)
+    samples = saved(samples.select("value", "label", held.alias("held")))
+    counts = samples.where("not held").select("label", F.explode(_pairs(F.col("value"))).alias("pair")).where(f"pair between 0 and {_SIZE * _SIZE - 1}").groupBy("label", "pair").count()
+    rows = {(int(r["label"]), int(r["pair"])): int(r["count"]) for r in counts.collect()}
+
     def logs(label: int) -> list[float]:
         out = []
         for a in range(_SIZE):
@@ -93,51 +119,72 @@ def train(samples: DataFrame) -> list[float]:
             out += [math.log((c + 1) / total) for c in row]
         return out
 
-    return [r - i for r, i in zip(logs(1), logs(0), strict=True)]
+    ratios = tuple(r - i for r, i in zip(logs(1), logs(0), strict=True))
+    found = samples.where("held and length(value) >= 16").agg(F.percentile(_mean_ratio(F.col("value"), ratios), 1 - rules.alarms)).first()[0]
+    return Models(ratios, max(rules.least, found or 0.0))
+
+
+def _random_strings(spark: SparkSession, n: int) -> DataFrame:
+    """n random strings of 16 to 48 characters: base64, its letters and digits, its file-name form, hex in both cases,
+    lower-case letters and digits, and letters."""
+    digest = F.sha2(F.col("id").cast("string"), 512)
+    base64 = F.base64(F.unhex(digest))
+    letters = F.regexp_replace(base64, "[^A-Za-z]", "")
+    alphabets = (base64, F.regexp_replace(base64, "[+/=]", ""), F.translate(base64, "+/=", "-_"), digest, F.upper(digest), F.lower(F.regexp_replace(base64, "[+/=]", "")), letters)
+    value = F.get(F.array(*alphabets), (F.col("id") % len(alphabets)).cast("int"))
+    return spark.range(n).select(F.substring(value, F.lit(1), (F.lit(16) + F.pmod(F.xxhash64("id"), F.lit(33))).cast("int")).alias("value"))
 
 
 def labelled_samples(docs: DataFrame, text_col: str = "text", rules: Threshold = Threshold()) -> DataFrame:
-    """(value, label) from docs: values of the fixed patterns are random strings (1), long plain words identifiers (0).
+    """(value, label): at most rules.samples random strings and as many identifiers, from about rules.texts texts of docs.
 
-    A classifier's sample: at most rules.samples strings of each label, those of least hash.
+    Copies of a text share its hash, so they are in the sample together or not at all, and count once.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    share = min(1.0, rules.texts / max(1, docs.count()))
+    some = docs.select(text.alias("text")).where(F.xxhash64("text").bitwiseAND(F.lit((1 << 53) - 1)) <= int(share * (1 << 53)))
+    t = F.col("text")
     values = F.concat(
-        F.transform(F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), lambda m: m),
-        F.regexp_extract_all(text, F.lit(HEX), F.lit(0)),
-        F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda m: F.length(m) >= 12),
+        F.regexp_extract_all(t, F.lit(ACCESS), F.lit(0)),
+        F.regexp_extract_all(t, F.lit(HEX), F.lit(0)),
+        F.filter(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda m: F.length(m) >= 12),
     )
-    random = docs.select(F.explode(values).alias("value"))
-    random = random.distinct().orderBy(F.xxhash64("value"), "value").limit(rules.samples).select("value", F.lit(1).alias("label"))
-    words = docs.select(F.explode(F.split(text, r"[^A-Za-z_]+")).alias("value")).where("length(value) >= 4").distinct()
-    words = words.orderBy(F.xxhash64("value"), "value").limit(rules.samples).select("value", F.lit(0).alias("label"))
-    return random.union(words)
-
-
-def model_spans(text: Column, ratios: list[float], rules: Threshold = Threshold()) -> Column:
-    """array<struct<s, k, e, m>> of candidate tokens with letters and digits that the models call random."""
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
+    least = lambda rows, n: rows.orderBy(F.xxhash64("value"), "value").limit(n)
+    secret = least(some.select(F.explode(values).alias("value")).distinct(), rules.samples // 2)
+    random = _random_strings(docs.sparkSession, rules.samples - rules.samples // 2).union(secret)
+    words = some.select(F.explode(F.split("text", r"[^A-Za-z0-9_]+")).alias("value")).where("length(value) between 3 and 40").distinct()
+    words = saved(least(words.join(secret, "value", "left_anti"), max(1, rules.samples // 4)))
+    # each word is followed by the one of the next hash, for joined identifiers; the sample is bounded
+    after = Window.orderBy(F.xxhash64("value"), "value")
+    w, x, y = F.col("value"), F.col("x"), F.col("y")
+    pairs = words.select("value", F.coalesce(F.lead("value").over(after), w).alias("x"), F.coalesce(F.lead("value", 2).over(after), w).alias("y"))
+    number = F.pmod(F.xxhash64("value"), F.lit(1000)).cast("string")
+    joined = F.get(
+        F.array(F.concat_ws("_", w, x, y), F.concat_ws("-", w, x, y), F.concat(w, F.initcap(x), F.initcap(y)), F.concat_ws("/", w, x, y), F.upper(F.concat_ws("_", w, x)), F.concat(w, x, number)),
+        F.pmod(F.xxhash64("value", F.lit(1)), F.lit(6)).cast("int"),
+    )
+    cased = F.get(F.array(F.upper(w), F.lower(w), F.initcap(w), F.concat(w, number)), F.pmod(F.xxhash64("value", F.lit(2)), F.lit(4)).cast("int"))
+    names = pairs.select(F.explode(F.array(w, cased, joined, F.concat(joined, F.lit("_"), number))).alias("value")).distinct()
+    return random.select("value", F.lit(1).alias("label")).union(names.select("value", F.lit(0).alias("label")))
 
-    def is_random(x: Column) -> Column:
-        pairs = _pairs(x["m"])
-        total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.get(table, p))
-        return x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & (total >= rules.ratio * F.size(pairs))
 
-    return _kind(F.filter(_zipped(text, CANDIDATE), is_random), "random")
+def model_spans(text: Column, models: Models) -> Column:
+    """array<struct<s, k, e, m>> of candidate tokens that the models call random."""
+    return _kind(F.filter(_zipped(text, CANDIDATE), lambda x: _mean_ratio(x["m"], models.ratios) > models.threshold), "random")
 
 
-def all_spans(text: Column, ratios: list[float], rules: Threshold = Threshold()) -> tuple[dict[str, Column], Column]:
+def all_spans(text: Column, models: Models) -> tuple[dict[str, Column], Column]:
     """Base spans by kind, and the models' spans that no base span overlaps."""
     base = base_spans(text)
     flat = F.concat(*base.values())
-    extra = F.filter(model_spans(text, ratios, rules), lambda x: ~F.exists(flat, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    extra = F.filter(model_spans(text, models), lambda x: ~F.exists(flat, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return base, extra
 
 
-def scan(docs: DataFrame, ratios: list[float] | None = None, rules: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, models: Models | None = None, rules: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_assign, n_access, n_hex, base_sha256, spans, found array<struct<s, k, e, m>>."""
-    ratios = train(labelled_samples(docs, text_col, rules)) if ratios is None else ratios
-    base, extra = all_spans(F.coalesce(F.col(text_col), F.lit("")), ratios, rules)
+    models = train(labelled_samples(docs, text_col, rules), rules) if models is None else models
+    base, extra = all_spans(F.coalesce(F.col(text_col), F.lit("")), models)
     names = {k: private(k) for k in (*base, "extra")}
     rows = docs.select(F.col(id_col), *[v.alias(names[k]) for k, v in base.items()], extra.alias(names["extra"]))
     flat = F.concat(*[F.col(names[k]) for k in base])
@@ -150,11 +197,11 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, rules: Threshold =
     )
 
 
-def redact(docs: DataFrame, ratios: list[float] | None = None, rules: Threshold = Threshold(), text_col: str = "text", count_col: str | None = "n_chars", mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, models: Models | None = None, rules: Threshold = Threshold(), text_col: str = "text", count_col: str | None = "n_chars", mask: str = "[SECRET]") -> DataFrame:
     """docs with every span's text replaced by mask (overlapping spans by one) and count_col brought up to date."""
-    ratios = train(labelled_samples(docs, text_col, rules)) if ratios is None else ratios
+    models = train(labelled_samples(docs, text_col, rules), rules) if models is None else models
     name = private("spans")
-    base, extra = all_spans(F.coalesce(F.col(text_col), F.lit("")), ratios, rules)
+    base, extra = all_spans(F.coalesce(F.col(text_col), F.lit("")), models)
     text = F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:

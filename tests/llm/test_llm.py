@@ -300,10 +300,3 @@ def test_keep_one_tells_rows_apart(spark):
     got = [(k.doc_id, k.text) for k in ngram_join.keep_one(df).collect()]
     want = [(3, x), (5, b), (None, y), (None, z), (7, c), (8, ""), (8, None), (8, " \n"), (None, None)]
     assert sorted(got, key=str) == sorted(want, key=str)
-
-
-def test_secret_samples_cover_all_texts(spark):
-    """The words of least hash come from all rows, however many copies of one text there are."""
-    rows = [" ".join(f"word{chr(97 + k)}{chr(97 + j)}" for j in range(20)) for k in range(20)] + ["copies of one text"] * 50
-    got = secrets.labelled_samples(frame(spark, rows), rules=secrets.Threshold(samples=500)).where("label = 0")
-    assert {r.value for r in got.collect()} == {w for t in rows for w in t.split() if len(w) >= 4}
