@@ -1,18 +1,19 @@
 """Toxicity by a classifier chain: linear models of the categories in order, each given the earlier ones' probabilities.
 
 While training, an earlier category's probability of a row comes from a model that did not see the row's fold (out of
-fold); while scoring, from the model of all folds. Features are the presence of the words that tell the classes apart
-best by chi-square over the sample.
-
-The classifier is fitted on a bounded sample: of the labelled rows, those of least hash, at most `sample`. Everything
-else covers all rows. Null and empty texts have no words and get the chain's score for none. Texts are read whole. Rows
-repeating a doc_id are scored each for itself; null labels are left out of the sample. Without labels of both kinds a
-category's probability is its share. Extra columns are not touched.
+fold); while scoring, from the model of all folds. The last category is the one that is reported, so every earlier link
+reaches it. Features are the presence of the words that tell some category apart best by chi-square over the sample.
+
+The classifier is fitted on a bounded sample: of the labelled ids, those of least hash, at most `sample`, each with one
+text (of equal ids, the one of least hash) and one label (of repeated ones, the least). Everything else covers all rows.
+Null and empty texts have no words and get the chain's score for none. Very long texts are read whole. Repeated rows and
+rows of equal or null ids are scored each for itself; null labels are left out of the sample, ties of words go by the
+word. Without labels of both kinds a category's probability is its share, without any label 0.5 or less. An empty table
+gives no rows. Extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,12 +28,14 @@ _GAPS = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in
 
 @dataclass(frozen=True)
 class Chain:
-    """categories: (name, condition on the labels) in the chain's order; sample: most labelled rows that are learnt from;
-    words: features; folds; ridge: of the weights; threshold: of the first category."""
+    """categories: (name, condition on the labels) in the chain's order, the reported one last; known: condition on the
+    labels of a row that is learnt from; sample: most labelled ids that are learnt from; words: features by category;
+    folds; ridge: of the weights; threshold: of the last category."""
 
-    categories: tuple[tuple[str, str], ...] = (("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 and quality = 0"))
+    categories: tuple[tuple[str, str], ...] = (("low_quality", "quality = 0"), ("toxic_low_quality", "toxic = 1 and quality = 0"), ("toxic", "toxic = 1"))
+    known: str = "toxic is not null"
     sample: int = 20_000
-    words: int = 200
+    words: int = 100
     least_rows: int = 5
     folds: int = 5
     ridge: float = 1.0
@@ -44,7 +47,7 @@ def word_set(text: str | None) -> set[bytes]:
 
 
 def _telling_words(sample: DataFrame, names: list[str], rules: Chain) -> list[str]:
-    """Words of the greatest chi-square against any category; ties by word."""
+    """Of each category the words of the greatest chi-square against it; ties by word."""
 
     @F.pandas_udf("array<string>")
     def distinct(texts: pd.Series) -> pd.Series:
@@ -60,8 +63,9 @@ def _telling_words(sample: DataFrame, names: list[str], rules: Chain) -> list[st
         expected = k * F.lit(y / n)
         return F.coalesce((a - expected) ** 2 / (expected * F.lit(max(1e-9, 1 - y / n)) * (F.lit(1.0) - k / F.lit(n) + F.lit(1e-9)) + F.lit(1e-9)), F.lit(0.0))
 
-    best = words.select("word", F.greatest(*[chi(x) for x in names], F.lit(0.0)).alias("chi"))
-    return [r["word"] for r in best.orderBy(F.desc("chi"), "word").limit(rules.words).collect()]
+    words = saved(words)
+    best = [words.orderBy(F.desc(chi(x)), "word").limit(rules.words).select("word").collect() for x in names]
+    return sorted({r["word"] for rows in best for r in rows})
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
@@ -104,10 +108,11 @@ def fit_chain(x: np.ndarray, ys: np.ndarray, fold: np.ndarray, rules: Chain) ->
 def train(docs: DataFrame, labels: DataFrame, rules: Chain, id_col: str, text_col: str) -> tuple[list[str], list[np.ndarray]]:
     names = [private(f"y{i}") for i in range(len(rules.categories))]
     marks = [F.coalesce(F.expr(condition).cast("int"), F.lit(0)).alias(n) for (_, condition), n in zip(rules.categories, names, strict=True)]
-    first = re.match(r"\w+", rules.categories[0][1])[0]
-    known = labels.where(F.col(first).isNotNull()).select(F.col(id_col).alias("id"), *marks)
+    known = labels.where(rules.known).select(F.col(id_col).alias("id"), *marks).groupBy("id").agg(*[F.min(n).alias(n) for n in names])
     known = known.orderBy(F.xxhash64("id"), "id").limit(rules.sample)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    # at most rules.sample rows, so the broadcast is bounded
+    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "id")
+    sample = sample.groupBy("id", *names).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = saved(sample)
     words = _telling_words(sample, names, rules)
     place = {w.encode(): i for i, w in enumerate(words)}
@@ -116,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, rules: Chain, id_col: str, text_co
     def present(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted(place[w] for w in place.keys() & word_set(t)) for t in texts])
 
-    rows = sample.select("id", present.asNondeterministic()("text").alias("at"), *names).orderBy("id").limit(2 * rules.sample).collect()
+    rows = sample.select("id", present.asNondeterministic()("text").alias("at"), *names).orderBy("id").collect()
     x, ys = np.zeros((len(rows), len(words))), np.zeros((len(rows), len(names)))
     for i, r in enumerate(rows):
         x[i, r["at"]] = 1
@@ -126,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, rules: Chain, id_col: str, text_co
 
 
 def score(docs: DataFrame, words: list[str], models: list[np.ndarray], rules: Chain = Chain(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, p_<category> for each, toxic (first probability at least the threshold)."""
+    """One row per row of docs: doc_id, p_<category> for each, toxic (the last one's probability at least the threshold)."""
     place, found = {w.encode(): i for i, w in enumerate(words)}, private("p")
     fields = [f"p_{name}" for name, _ in rules.categories]
 
@@ -142,7 +147,7 @@ def score(docs: DataFrame, words: list[str], models: list[np.ndarray], rules: Ch
         return pd.DataFrame(out)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), chain.asNondeterministic()(F.col(text_col)).alias(found)).select("doc_id", f"{found}.*")
-    return rows.withColumn("toxic", F.col(fields[0]) >= rules.threshold)
+    return rows.withColumn("toxic", F.col(fields[-1]) >= rules.threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, rules: Chain = Chain(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
