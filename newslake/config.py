@@ -57,6 +57,7 @@ NON_TECH = (
     "makeup", "skincare", "real estate", "mortgage", "housing market", "travel", "vacation", "tourism", "hotel", "weather forecast", "horoscope", "astrology", "politics", "election",
     "senate", "congress", "president",
 )
+# Sources whose articles count as tech.
 TECH_SOURCES = ("hackernews", "github-trending", "techcrunch", "theverge", "arstechnica", "wired")
 
 # Stop words and boosted terms of the term vectors.
@@ -101,6 +102,7 @@ CATEGORY_KEYWORDS = {
     "hardware": ("hardware", "chip", "processor", "gpu", "nvidia", "amd", "intel", "quantum"),
     "opensource": ("github", "opensource", "open source", "linux"),
 }
+# Parts of image URLs that stand for no image.
 PLACEHOLDER_IMAGES = ("placeholder", "default", "no-image", "empty", "1x1", "spacer")
 # Title keywords and sources of the breaking-news score; keywords of the summary's closing sentence.
 BREAKING_KEYWORDS = (
@@ -114,6 +116,32 @@ SUMMARY_KEYWORDS = (
 )
 
 
+# The category dimension as first loaded (slug, name, description, icon, colour, order).
+CATEGORY_SEEDS = (
+    ("ai", "AI", "Artificial Intelligence & Machine Learning", "smart_toy", "#8B5CF6", 1),
+    ("startups", "Startups", "Startup news and funding rounds", "rocket_launch", "#F59E0B", 2),
+    ("security", "Security", "Cybersecurity and privacy", "security", "#EF4444", 3),
+    ("devtools", "DevTools", "Developer tools and frameworks", "code", "#10B981", 4),
+    ("tech", "Tech", "General technology news", "devices", "#3B82F6", 5),
+)
+# Icon and colour of a category that ingest adds, with the defaults of any other.
+CATEGORY_ICONS = {"ai": "🤖", "programming": "💻", "cloud": "☁️", "security": "🔒", "startups": "🚀", "mobile": "📱", "blockchain": "⛓️", "hardware": "🔧", "opensource": "🐙", "technology": "⚡"}
+CATEGORY_COLORS = {
+    "ai": "#8B5CF6", "programming": "#3B82F6", "cloud": "#06B6D4", "security": "#EF4444", "startups": "#F59E0B", "mobile": "#10B981", "blockchain": "#6366F1", "hardware": "#F97316",
+    "opensource": "#22C55E", "technology": "#6B7280",
+}
+CATEGORY_DEFAULT = ("📰", "#6B7280", 99)
+# Delivery channel by notification type, and send errors that make a token invalid.
+CHANNELS = {"breaking_news": "breaking_news_channel", "daily_digest": "digest_channel", "topic_alert": "topic_alert_channel"}
+CHANNEL_DEFAULT = "default_channel"
+INVALID_TOKEN_ERRORS = ("messaging/invalid-registration-token", "messaging/registration-token-not-registered", "messaging/invalid-argument")
+# Prices per input and output token by model.
+MODEL_PRICES = {
+    "gpt-4o-mini": (0.00015 / 1000, 0.0006 / 1000), "gpt-4o": (0.005 / 1000, 0.015 / 1000),
+    "claude-3-haiku-20240307": (0.00025 / 1000, 0.00125 / 1000), "claude-3-5-sonnet-20241022": (0.003 / 1000, 0.015 / 1000),
+}
+
+
 @dataclass(frozen=True)
 class Ranking:
     """Weights must add up to 1 within a thousandth."""

@@ -165,6 +165,31 @@ def extractive_summary(content: Column) -> Column:
     return F.when(text == "", "Summary not available.").otherwise(text)
 
 
+def keyword_fingerprint(docs, content: str = "content", id_col: str = "article_id"):
+    """(id, keyword_fp) of a DataFrame's rows: its 20 most frequent words over three characters (ties by first place), sorted."""
+    words = F.split(F.regexp_replace(F.lower(content), r"[^a-z0-9\s]", ""), r"\s+")
+    w = docs.select(id_col, F.posexplode(words).alias("pos", "word")).where((F.length("word") > 3) & ~F.col("word").isin(*config.FINGERPRINT_STOPS))
+    c = w.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    top = c.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "word"))), 1, 20).alias("t"))
+    joined = F.array_join(F.array_sort(F.transform("t", lambda x: x["word"])), "|")
+    return docs.select(id_col).join(top, id_col, "left").select(id_col, F.substring(F.sha2(F.coalesce(joined, F.lit("")), 256), 1, 32).alias("keyword_fp"))
+
+
+def tech_relevance(title: Column, summary: Column, content: Column, source: Column, extra_high=()) -> Column:
+    """struct<score, is_tech, keywords>: hits of each keyword class by weight, less those against, 5 more for a tech source,
+    over 30 and between 0 and 1; tech from 0.15 on; keywords: the first ten distinct ones that were hit for it."""
+    x, name = F.lower(F.concat_ws(" ", title, summary, content)), F.lower(source)
+    high = (*config.TECH_HIGH, *extra_high)
+    trusted = F.lit(False)
+    for s in config.TECH_SOURCES:
+        trusted = trusted | F.contains(name, F.lit(s))
+    raw = weighted_hits(x, dict.fromkeys(high, 3.0)) + weighted_hits(x, dict.fromkeys(config.TECH_MEDIUM, 2.0)) + weighted_hits(x, dict.fromkeys(config.TECH_LOW, 1.0))
+    raw = raw - weighted_hits(x, dict.fromkeys(config.NON_TECH, 2.0)) + F.when(trusted, 5.0).otherwise(0.0)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw / 30))
+    found = F.slice(F.array_distinct(keyword_hits(x, (*high, *config.TECH_MEDIUM, *config.TECH_LOW))), 1, 10)
+    return F.struct(score.alias("score"), (score >= 0.15).alias("is_tech"), found.alias("keywords"))
+
+
 def why_it_matters(content: Column) -> Column:
     found = F.slice(keyword_hits(F.lower(content), config.SUMMARY_KEYWORDS), 1, 3)
     return F.when(F.size(found) > 0, F.concat(F.lit("This relates to "), F.array_join(found, ", "), F.lit(" in tech."))).otherwise("This is a notable development in the tech industry.")
@@ -177,3 +202,19 @@ def summary_title(title: Column) -> Column:
 
 def capitalized(x: Column) -> Column:
     return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
+
+
+def two_sentences(content: Column) -> Column:
+    """The shorter fallback: the first two sentences over 20 characters, 500 characters at most."""
+    parts = F.filter(F.split(F.regexp_replace(content, r"\s+", " "), r"(?<=[.!?])\s+"), lambda s: F.length(s) > 20)
+    return F.substring(F.array_join(F.slice(parts, 1, 2), " "), 1, 500)
+
+
+def reply_fields(reply: Column) -> Column:
+    """struct<title, summary, why_it_matters> of a model's reply: its text from the first to the last brace as JSON, null
+    where that is none; blank fields take their defaults."""
+    x = F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")), "title string, summary string, why_it_matters string, whyItMatters string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    filled = lambda c, default: F.when(F.trim(c) != "", F.trim(c)).otherwise(default)
+    why = F.coalesce(F.when(x["why_it_matters"] != "", x["why_it_matters"]), x["whyItMatters"])
+    out = F.struct(filled(x["title"], "Untitled").alias("title"), filled(x["summary"], "").alias("summary"), filled(why, "").alias("why_it_matters"))
+    return F.when(x.isNotNull() & x["_bad"].isNull(), out)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newslake.config import Ranking
+from newslake.operators.ranking import rank_scores, window_scan
+
 
 def clamp_page(page: int, limit: int, most: int = 50, default: int = 20) -> tuple[int, int]:
     limit = limit if limit and limit > 0 else default
@@ -43,38 +48,60 @@ def article_filter(df: DataFrame, category: str | None = None, since: Column | N
     return df
 
 
-def with_category(df: DataFrame, categories: DataFrame) -> DataFrame:
-    """Left join with the category dimension (a handful of rows); the name defaults to ''."""
-    c = F.broadcast(categories.select(F.col("slug").alias("category_slug"), F.col("name").alias("category_name")).limit(10_000))
-    return df.join(c, "category_slug", "left").withColumn("category_name", F.coalesce("category_name", F.lit("")))
+def with_category(df: DataFrame, categories: DataFrame, most: int = 100_000) -> DataFrame:
+    """Left join with the category dimension; the name defaults to ''. Broadcast only if it has at most `most` rows."""
+    c = categories.select(F.col("slug").alias("category_slug"), F.col("name").alias("category_name"))
+    small = c.limit(most + 1).count() <= most
+    return df.join(F.broadcast(c) if small else c, "category_slug", "left").withColumn("category_name", F.coalesce("category_name", F.lit("")))
 
 
-FEED = ["article_id", "title", "source_name", "category_slug", "source_url", "published_at", "view_count", "bookmark_count"]
+def latest_feed(df: DataFrame, page: int = 1, limit: int = 20, category: str | None = None) -> DataFrame:
+    """Newest first, then by score (0 if there is none)."""
+    score = F.desc(F.coalesce("score", F.lit(0.0))) if "score" in df.columns else F.lit(0)
+    return offset_page(article_filter(df, category=category), [F.desc("published_at"), score, F.col("article_id")], page, limit)
 
 
-def latest_feed(df: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
-    return offset_page(df.select(*FEED), [F.desc("published_at"), F.desc("view_count"), F.col("article_id")], page, limit)
+def top_feed(df: DataFrame, limit: int = 10, most: int = 20, score: str = "score") -> DataFrame:
+    return df.orderBy(F.desc(score), F.desc("published_at"), "article_id").limit(clamp_page(1, limit, most, 10)[1])
 
 
-def top_feed(scored: DataFrame, limit: int = 10) -> DataFrame:
-    return scored.orderBy(F.desc("final_score"), F.desc("published_at"), "article_id").limit(min(limit, 50))
+def top_rescored(df: DataFrame, as_of: Column, limit: int = 10, config: Ranking = Ranking()) -> DataFrame:
+    """The top of the window by stored score, in that order, scored afresh (clusters play no part)."""
+    best = top_feed(window_scan(df, as_of, int(config.max_age_hours)), limit, 50)
+    fresh = rank_scores(best.drop("cluster_id", "related_count"), as_of, config)
+    return fresh.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("published_at"), "article_id")))
 
 
 def today_feed(df: DataFrame, as_of: Column) -> DataFrame:
     return df.where(F.col("published_at") >= as_of - F.expr("INTERVAL 24 HOURS"))
 
 
+def today_by_score(df: DataFrame, as_of: Column, page: int = 1, limit: int = 20) -> DataFrame:
+    return offset_page(today_feed(df, as_of), [F.desc("score"), F.col("article_id")], page, limit)
+
+
+#: Weights of the searched fields.
+SEARCH_WEIGHTS = {"title": 10, "summary": 5, "tags": 3}
+
+
 def search(df: DataFrame, query: str, weights: dict[str, int] | None = None) -> DataFrame:
-    """(article_id, text_score): sum over fields of weight * occurrences of the query's terms. Any term matches."""
-    terms = [t for t in query.lower().split() if t]
-    weights = weights or {"title": 10, "content": 1}
+    """(article_id, published_at, text_score): sum over fields of weight * occurrences of the query's terms. Any term
+    matches; a blank query matches nothing."""
+    terms = [t for t in re.split(r"[^a-z0-9]+", query.lower()) if t]
     if not terms:
-        return df.select("article_id", F.lit(0).cast("long").alias("text_score")).where(F.lit(False))
-    hits = F.lit(0).cast("long")
-    for field, weight in weights.items():
-        found = F.filter(F.split(F.lower(F.coalesce(field, F.lit(""))), r"[^a-z0-9]+"), lambda t: t.isin(*terms))
+        return df.select("article_id", "published_at", F.lit(0).cast("long").alias("text_score")).where(F.lit(False))
+    hits, kinds = F.lit(0).cast("long"), dict(df.dtypes)
+    for field, weight in (weights or SEARCH_WEIGHTS).items():
+        words = F.array_join(field, " ") if kinds[field].startswith("array") else F.coalesce(field, F.lit(""))
+        found = F.filter(F.split(F.lower(words), r"[^a-z0-9]+"), lambda t: t.isin(*terms))
         hits = hits + F.size(found) * weight
-    return df.select("article_id", hits.alias("text_score"), "published_at").where("text_score > 0").select("article_id", "text_score")
+    return df.select("article_id", "published_at", hits.alias("text_score")).where("text_score > 0")
+
+
+def search_page(df: DataFrame, query: str, page: int = 1, limit: int = 20, by_date: bool = False) -> DataFrame:
+    """A page of the best matches: by text score and then newest first, or newest first alone."""
+    order = [F.desc("published_at"), F.col("article_id")]
+    return offset_page(search(df, query), order if by_date else [F.desc("text_score"), *order], page, limit)
 
 
 def counts_by(df: DataFrame, key: str) -> DataFrame:
@@ -93,3 +120,18 @@ def category_refresh(categories: DataFrame, df: DataFrame) -> DataFrame:
 def ids_in_order(lists: DataFrame, df: DataFrame, ids: str, key: list[str]) -> DataFrame:
     """Articles of each row's id list in list order; ids without an article are dropped."""
     return lists.select(*key, F.posexplode(ids).alias("pos", "article_id")).join(df, "article_id").select(*key, "pos", *df.columns)
+
+
+def deleted_before(df: DataFrame, cutoff: Column, column: str = "published_at") -> DataFrame:
+    """(kept, deleted) of a retention run."""
+    keep = F.coalesce(F.col(column) >= cutoff, F.lit(False))
+    return df.agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("deleted"))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) by table."""
+    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out

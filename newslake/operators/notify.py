@@ -39,26 +39,99 @@ def breaking_best(articles: DataFrame, as_of: Column, candidates: int = 20) -> D
     return breaking_scores(newest, as_of).orderBy(F.desc("breaking_score"), F.desc("published_at"), "article_id").limit(1)
 
 
-def payload(articles: DataFrame, scheme: str = "app") -> DataFrame:
-    """Title, body (150 characters at most) and data map of an article's notification."""
+def shortened(body: Column) -> Column:
+    return F.when(F.length(body) > 150, F.concat(F.substring(body, 1, 147), F.lit("..."))).otherwise(body)
+
+
+def payload(articles: DataFrame, kind: str = "breaking_news", scheme: str = "app", as_of: Column | None = None) -> DataFrame:
+    """(article_id, category_slug, type, title, body, image_url, priority, data) of each article's notification. Title and
+    body are the model's summary's where it has them (ai_summary struct<title, summary, ...>), else the article's."""
     have = set(articles.columns)
-    body = F.coalesce("ai_summary", "summary") if "ai_summary" in have else F.col("summary")
+    filled = lambda c: F.when(c != "", c)
+    of = lambda field: F.coalesce(filled(F.col(f"ai_summary.{field}")), F.col(field)) if "ai_summary" in have else F.col(field)
+    key = F.col("article_id").cast("string")
+    data = {"type": F.lit(kind), "articleId": key, "category": F.col("category_slug"), "deepLink": F.concat(F.lit(f"{scheme}://article/"), key)}
+    data |= {"timestamp": F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'")} if as_of is not None else {}
     return articles.select(
-        "article_id", "title", F.when(F.length(body) > 150, F.concat(F.substring(body, 1, 147), F.lit("..."))).otherwise(body).alias("body"),
-        F.create_map(F.lit("article_id"), F.col("article_id").cast("string"), F.lit("link"), F.concat(F.lit(f"{scheme}://article/"), F.col("article_id"))).alias("data"),
+        "article_id", "category_slug", F.lit(kind).alias("type"), of("title").alias("title"), shortened(of("summary")).alias("body"),
+        (F.col("image_url") if "image_url" in have else F.lit(None).cast("string")).alias("image_url"), F.lit("high" if kind == "breaking_news" else "normal").alias("priority"),
+        F.create_map(*[x for k, v in data.items() for x in (F.lit(k), v)]).alias("data"),
     )
 
 
-def digest(scored: DataFrame, as_of: Column, n: int = 10) -> DataFrame:
-    """One row: the day's top articles, their ids and categories, and the digest's text."""
-    top = scored.where(F.col("published_at") >= as_of - F.expr("INTERVAL 24 HOURS")).orderBy(F.desc("final_score"), "article_id").limit(n)
-    rows = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("final_score")).alias("s"), "article_id", "title", "category_slug"))).alias("r"))
-    text = F.concat(F.size("r").cast("string"), F.lit(" top stories today: "), F.coalesce(F.get("r", F.lit(0))["title"], F.lit("")))
+def channel(kind: Column) -> Column:
+    out = F.lit(config.CHANNEL_DEFAULT)
+    for k, v in config.CHANNELS.items():
+        out = F.when(kind == k, v).otherwise(out)
+    return out
+
+
+def digest(articles: DataFrame, as_of: Column, n: int = 10, score: str = "final_score", bounded: bool = True, scheme: str = "app") -> DataFrame:
+    """One row, or none without articles: the top articles (of the last day), their ids and categories in order, and the
+    digest's text. Articles with an ai_summary column count only where it is set."""
+    rows = articles.where(F.col("published_at") >= as_of - F.expr("INTERVAL 24 HOURS")) if bounded else articles
+    rows = rows.where("ai_summary is not null") if "ai_summary" in articles.columns else rows
+    image = F.col("image_url") if "image_url" in articles.columns else F.lit(None).cast("string")
+    top = rows.orderBy(F.desc(score), "article_id").limit(n).withColumn("image_url", image)
+    rows = top.agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), "article_id", "title", "category_slug", "image_url"))).alias("r")).where(F.size("r") > 0)
+    first = F.get("r", F.lit(0))
+    text = F.concat(F.size("r").cast("string"), F.lit(" top stories today: "), first["title"], F.when(F.size("r") > 1, " and more").otherwise(""))
     return rows.select(
         F.array_join(F.transform("r", lambda x: x["article_id"].cast("string")), ",").alias("article_ids"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("r", lambda x: x["category_slug"]))), ",").alias("categories"),
-        F.when(F.length(text) > 150, F.concat(F.substring(text, 1, 147), F.lit("..."))).otherwise(text).alias("body"),
-    )
+        F.array_join(F.array_distinct(F.transform("r", lambda x: x["category_slug"])), ",").alias("categories"),
+        F.lit("Your Daily Tech Digest").alias("title"), F.substring(text, 1, 150).alias("body"), first["image_url"].alias("image_url"), F.lit(f"{scheme}://digest").alias("deep_link"),
+    )
+
+
+def breaking_outbox(articles: DataFrame, as_of: Column, threshold: float = 85) -> DataFrame:
+    """Payloads of the articles that are breaking news. Recipients are the same for all: recipients(users, as_of, "all")."""
+    return payload(breaking_scores(articles, as_of, threshold).where("is_breaking"), "breaking_news", as_of=as_of)
+
+
+def topic_outbox(articles: DataFrame, as_of: Column, least: float = 70) -> DataFrame:
+    """Payloads of the articles whose score is high enough for a topic alert."""
+    return payload(articles.where(F.coalesce("score", F.lit(0.0)) >= least), "topic_alert", as_of=as_of)
+
+
+def older_outbox(articles: DataFrame) -> DataFrame:
+    """The older breaking form: no score gate, the article's title as body."""
+    return articles.select("article_id", F.lit("🚨 Breaking Tech News").alias("title"), F.col("title").alias("body"))
+
+
+def addressed(outbox: DataFrame, tokens: DataFrame) -> DataFrame:
+    """outbox (..., category_slug) with the number of distinct tokens of its category's audience; rows without an audience
+    are left out. tokens (category, token); the pairs of article and token are not made, a category's tokens are one list."""
+    n = tokens.distinct().groupBy(F.col("category").alias("category_slug")).agg(F.count("*").alias("n_tokens"))
+    return outbox.join(n, "category_slug")
+
+
+def recorded(outbox: DataFrame, results: DataFrame) -> DataFrame:
+    """outbox (notification_id, ...) with the results' success_count, failure_count, invalid_tokens and status."""
+    n = send_summary(results, "notification_id")
+    none = F.expr("cast(array() as array<string>)")
+    out = outbox.join(n, "notification_id", "left").withColumns({"success_count": F.coalesce("successes", F.lit(0)), "failure_count": F.coalesce("failures", F.lit(0)), "invalid_tokens": F.coalesce("invalid_tokens", none)})
+    return out.drop("successes", "failures").withColumn("status", F.when(F.col("success_count") > 0, "sent").otherwise("failed"))
+
+
+def retried(failed: DataFrame, results: DataFrame) -> DataFrame:
+    """Failed notifications (notification_id, device_tokens, success_count, failure_count) after a retry with results
+    (notification_id, token, ok, error): counts are added, invalid tokens go, and the status follows this try's successes.
+    Those without a token stay failed, with a message."""
+    n = send_summary(results, "notification_id")
+    tokens = F.filter("device_tokens", lambda t: F.coalesce(t != "", F.lit(False)))
+    none = F.expr("cast(array() as array<string>)")
+    out = failed.withColumn("_t", tokens).join(n, "notification_id", "left")
+    tried, good, bad = F.size("_t") > 0, F.coalesce("successes", F.lit(0)), F.coalesce("failures", F.lit(0))
+    return out.select(
+        "notification_id", F.when(tried & (good > 0), "sent").otherwise("failed").alias("status"), (F.col("success_count") + F.when(tried, good).otherwise(0)).alias("success_count"),
+        (F.col("failure_count") + F.when(tried, bad).otherwise(0)).alias("failure_count"), F.when(tried, F.array_except("_t", F.coalesce("invalid_tokens", none))).otherwise(F.col("device_tokens")).alias("device_tokens"),
+        F.when(~tried, "No valid tokens remaining").alias("error_message"), tried.alias("retried"),
+    )
+
+
+def sent_to_user(users: DataFrame, user_id) -> DataFrame:
+    """(user_id, token) of one user; none without tokens or with notifications off."""
+    return users.where((F.col("user_id") == user_id) & F.col("notifications_enabled")).select("user_id", F.explode("device_tokens").alias("token"))
 
 
 def notification_stats(log: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -96,8 +169,8 @@ def cooldown(candidates: DataFrame, seconds: int = 3600) -> DataFrame:
     return sent.select("key", F.floor(F.col("at") / 1_000_000).alias("epoch"))
 
 
-def send_summary(results: DataFrame) -> DataFrame:
-    bad = F.col("error").isin("invalid-token", "not-registered", "invalid-argument")
-    return results.agg(F.count_if(F.col("ok")).alias("successes"), F.count_if(~F.col("ok")).alias("failures"), F.array_sort(F.collect_set(F.when(bad, F.col("token")))).alias("invalid_tokens"))
-
-
+def send_summary(results: DataFrame, *by: str) -> DataFrame:
+    """Successes, failures and distinct invalid tokens of results (token, ok, error), over all or by key."""
+    bad = F.col("error").isin(*config.INVALID_TOKEN_ERRORS)
+    invalid = F.array_sort(F.collect_set(F.when(bad, F.col("token")))).alias("invalid_tokens")
+    return results.groupBy(*by).agg(F.count_if(F.col("ok")).alias("successes"), F.count_if(~F.col("ok")).alias("failures"), invalid)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newslake import config
 from newslake.functions import text, urls
 from newslake.operators import dedupe, engagement, feeds, notify, ranking, runs, similarity
-from newslake.views import ARTICLE_SQL, USERS_SQL, articles, as_of, key_number, table, users
+from newslake.views import ARTICLE_SQL, FULL_SQL, USERS_SQL, articles, as_of, bare_articles, full_articles, key_number, table, users
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,31 +115,31 @@ def featured_flag(spark, sf_dir):
 
 
 # ---- feeds ------------------------------------------------------------------------------------------------------
-@query(f"WITH {ARTICLE_SQL} SELECT article_id, title, source_name, {sql_day('published_at')} AS published FROM article ORDER BY published_at DESC, view_count DESC, article_id LIMIT 20 OFFSET 20")
+@query(f"WITH {ARTICLE_SQL}{FULL_SQL} SELECT article_id, title, source_name, {sql_day('published_at')} AS published FROM full_article ORDER BY published_at DESC, score DESC, article_id LIMIT 20 OFFSET 20")
 def latest_feed_page2(spark, sf_dir):
-    return feeds.latest_feed(articles(spark, sf_dir), 2, 20).select("article_id", "title", "source_name", day("published_at").alias("published"))
+    return feeds.latest_feed(full_articles(spark, sf_dir, bare_articles(spark, sf_dir)), 2, 20).select("article_id", "title", "source_name", day("published_at").alias("published"))
 
 
 @query(f"WITH {ARTICLE_SQL} SELECT article_id, {sql_day('published_at')} AS published FROM article WHERE category_slug = 'fr' AND published_at >= {NOW} - INTERVAL 48 HOUR")
 def category_feed(spark, sf_dir):
-    rows = feeds.article_filter(articles(spark, sf_dir), category="fr", since=as_of() - F.expr("INTERVAL 48 HOURS"))
+    rows = feeds.article_filter(bare_articles(spark, sf_dir), category="fr", since=as_of() - F.expr("INTERVAL 48 HOURS"))
     return rows.select("article_id", day("published_at").alias("published"))
 
 
 @query(f"WITH {ARTICLE_SQL} SELECT article_id, title FROM article WHERE published_at >= {NOW} - INTERVAL 24 HOUR")
 def today_feed(spark, sf_dir):
-    return feeds.today_feed(articles(spark, sf_dir), as_of()).select("article_id", "title")
+    return feeds.today_feed(bare_articles(spark, sf_dir), as_of()).select("article_id", "title")
 
 
 @query(f"WITH {ARTICLE_SQL} SELECT article_id, {sql_day('published_at')} AS published FROM article WHERE published_at < {NOW} - INTERVAL 10 HOUR OR (published_at = {NOW} - INTERVAL 10 HOUR AND article_id < 500) ORDER BY published_at DESC, article_id DESC LIMIT 21")
 def keyset_page(spark, sf_dir):
     at = as_of() - F.expr("INTERVAL 10 HOURS")
-    return feeds.keyset_page(articles(spark, sf_dir), "published_at", at, 500, 20).select("article_id", day("published_at").alias("published"))
+    return feeds.keyset_page(bare_articles(spark, sf_dir), "published_at", at, 500, 20).select("article_id", day("published_at").alias("published"))
 
 
 @query(f"WITH {ARTICLE_SQL} SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages, 150 < count(*) AS has_more, TRUE AS has_previous FROM article")
 def page_info(spark, sf_dir):
-    return feeds.page_info(articles(spark, sf_dir), 3, 50)
+    return feeds.page_info(bare_articles(spark, sf_dir), 3, 50)
 
 
 @query(f"""WITH {ARTICLE_SQL}, w AS (
@@ -147,44 +147,37 @@ def page_info(spark, sf_dir):
   SELECT article_id, 1, unnest(regexp_split_to_array(lower(content), '[^a-z0-9]+')) FROM article)
 SELECT article_id, CAST(sum(weight) AS BIGINT) AS text_score FROM w WHERE t IN ('tion', 'ing', 'with') GROUP BY article_id""")
 def search_weighted(spark, sf_dir):
-    return feeds.search(articles(spark, sf_dir), "tion ing with")
+    return feeds.search(bare_articles(spark, sf_dir), "tion ing with", {"title": 10, "content": 1}).select("article_id", "text_score")
 
 
 @query("SELECT source AS source_name, count(*) AS n FROM documents GROUP BY 1")
 def source_counts(spark, sf_dir):
-    return feeds.counts_by(articles(spark, sf_dir), "source_name")
+    return feeds.counts_by(bare_articles(spark, sf_dir), "source_name")
 
 
 @query("SELECT lang AS category_slug, count(*) AS n FROM documents GROUP BY 1")
 def category_counts(spark, sf_dir):
-    return feeds.counts_by(articles(spark, sf_dir), "category_slug")
+    return feeds.counts_by(bare_articles(spark, sf_dir), "category_slug")
 
 
 @query(f"WITH {ARTICLE_SQL} SELECT source_name, min(article_id) AS article_id, arg_min(title, article_id) AS title FROM article GROUP BY 1")
 def source_sample(spark, sf_dir):
-    return feeds.sample_by(articles(spark, sf_dir), "source_name")
+    return feeds.sample_by(bare_articles(spark, sf_dir), "source_name")
 
 
 @query(f"WITH {ARTICLE_SQL}, c(slug) AS (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) SELECT slug, count(article_id) AS article_count FROM c LEFT JOIN article ON category_slug = slug GROUP BY 1")
 def category_refresh(spark, sf_dir):
     c = spark.createDataFrame([(x,) for x in ("en", "fr", "de", "es", "it")], "slug string")
-    return feeds.category_refresh(c, articles(spark, sf_dir))
+    return feeds.category_refresh(c, bare_articles(spark, sf_dir))
 
 
 # ---- text -------------------------------------------------------------------------------------------------------
 @query(f"""WITH {ARTICLE_SQL}, t AS (SELECT article_id, source_name, lower(concat_ws(' ', title, '', content)) AS x FROM article),
-s AS (SELECT article_id, {sql_hits('x', {**dict.fromkeys(config.TECH_HIGH, 3), **{'tion': 3}})} AS high, {sql_hits('x', dict.fromkeys(config.TECH_MEDIUM, 2))} AS medium, {sql_hits('x', dict.fromkeys(config.TECH_LOW, 1))} AS low, {sql_hits('x', dict.fromkeys(config.NON_TECH, 2))} AS non FROM t)
-SELECT article_id, {sql_rounded('greatest(0.0::DOUBLE, least(1.0::DOUBLE, (high + medium + low - non) / 30))')} AS score, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (high + medium + low - non) / 30)) >= 0.15 AS is_tech FROM s""")
+s AS (SELECT article_id, CASE WHEN {' OR '.join(f'contains(lower(source_name), {quoted(x)})' for x in config.TECH_SOURCES)} THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS trust, {sql_hits('x', {**dict.fromkeys(config.TECH_HIGH, 3), **{'tion': 3}})} AS high, {sql_hits('x', dict.fromkeys(config.TECH_MEDIUM, 2))} AS medium, {sql_hits('x', dict.fromkeys(config.TECH_LOW, 1))} AS low, {sql_hits('x', dict.fromkeys(config.NON_TECH, 2))} AS non FROM t)
+SELECT article_id, {sql_rounded('greatest(0.0::DOUBLE, least(1.0::DOUBLE, (high + medium + low - non + trust) / 30))')} AS score, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (high + medium + low - non + trust) / 30)) >= 0.15 AS is_tech FROM s""")
 def tech_filter(spark, sf_dir):
-    x = F.lower(F.concat_ws(" ", "title", F.lit(""), "content"))
-    hits = lambda ks, w: text.weighted_hits(x, dict.fromkeys(ks, w))
-    raw = hits((*config.TECH_HIGH, "tion"), 3) + hits(config.TECH_MEDIUM, 2) + hits(config.TECH_LOW, 1) - hits(config.NON_TECH, 2)
-    name = F.lower("source_name")
-    trusted = F.lit(False)
-    for s in config.TECH_SOURCES:
-        trusted = trusted | F.contains(name, F.lit(s))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (raw + F.when(trusted, 5.0).otherwise(0.0)) / 30))
-    return articles(spark, sf_dir).select("article_id", rounded(score).alias("score"), (score >= 0.15).alias("is_tech"))
+    x = text.tech_relevance(F.col("title"), F.lit(""), F.col("content"), F.col("source_name"), ("tion",))
+    return bare_articles(spark, sf_dir).select("article_id", x.alias("x")).select("article_id", rounded(F.col("x.score")).alias("score"), "x.is_tech")
 
 
 def _sql_chain(x: str, steps) -> str:
@@ -222,7 +215,7 @@ _FINGERPRINT = f"substring(sha256(concat({_PLAIN('title')}, '|', substring({_PLA
 
 @query(f"WITH {ARTICLE_SQL} SELECT article_id, {_FINGERPRINT} AS content_fp FROM article")
 def fingerprints(spark, sf_dir):
-    return articles(spark, sf_dir).select("article_id", text.content_fingerprint(F.col("title"), F.col("content")).alias("content_fp"))
+    return bare_articles(spark, sf_dir).select("article_id", text.content_fingerprint(F.col("title"), F.col("content")).alias("content_fp"))
 
 
 @query(f"""WITH {ARTICLE_SQL}, w AS (SELECT article_id, unnest(a) AS word, generate_subscripts(a, 1) AS pos FROM (SELECT article_id, regexp_split_to_array(regexp_replace(lower(content), '[^a-z0-9\\s]', '', 'g'), '\\s+') AS a FROM article)),
@@ -231,14 +224,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY n DESC, firs
 f AS (SELECT article_id, string_agg(word, '|' ORDER BY word) AS top FROM r WHERE rn <= 20 GROUP BY 1)
 SELECT a.article_id, substring(sha256(coalesce(top, '')), 1, 32) AS keyword_fp FROM article a LEFT JOIN f USING (article_id)""")
 def keyword_fingerprint(spark, sf_dir):
-    rows = articles(spark, sf_dir)
-    words = F.split(F.regexp_replace(F.lower("content"), r"[^a-z0-9\s]", ""), r"\s+")
-    w = rows.select("article_id", F.posexplode(words).alias("pos", "word")).where((F.length("word") > 3) & ~F.col("word").isin(*config.FINGERPRINT_STOPS))
-    c = w.groupBy("article_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    top = c.groupBy("article_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "word"))), 1, 20).alias("t"))
-    joined = F.array_join(F.array_sort(F.transform("t", lambda x: x["word"])), "|")
-    out = rows.select("article_id").join(top, "article_id", "left")
-    return out.select("article_id", F.substring(F.sha2(F.coalesce(joined, F.lit("")), 256), 1, 32).alias("keyword_fp"))
+    return text.keyword_fingerprint(bare_articles(spark, sf_dir))
 
 
 @query(f"""WITH {ARTICLE_SQL}, c AS (SELECT article_id, trim(regexp_replace(regexp_replace(regexp_replace(content, '\\s+', ' ', 'g'), '\\[.*?\\]', '', 'g'), 'https?://\\S+', '', 'g')) AS x FROM article),
@@ -247,13 +233,13 @@ r AS (SELECT article_id, s, pos, row_number() OVER (PARTITION BY article_id ORDE
 f AS (SELECT article_id, substring(string_agg(s, ' ' ORDER BY pos), 1, 300) AS summary FROM r WHERE rn <= 3 GROUP BY 1)
 SELECT a.article_id, coalesce(f.summary, 'Summary not available.') AS summary FROM article a LEFT JOIN f USING (article_id)""")
 def extractive_summary(spark, sf_dir):
-    return articles(spark, sf_dir).select("article_id", text.extractive_summary(F.col("content")).alias("summary"))
+    return bare_articles(spark, sf_dir).select("article_id", text.extractive_summary(F.col("content")).alias("summary"))
 
 
 @query(f"""WITH {ARTICLE_SQL}, t AS (SELECT article_id, trim(content) AS x FROM article)
 SELECT article_id, CASE WHEN length(x) < 100 THEN 'too short' WHEN length(x) < 200 THEN 'brief' WHEN len(regexp_split_to_array(x, '\\s+')) < 30 THEN 'too few words' ELSE 'ok' END AS reason FROM t""")
 def summarizable(spark, sf_dir):
-    return articles(spark, sf_dir).select("article_id", text.summarizable(F.col("content"))["reason"].alias("reason"))
+    return bare_articles(spark, sf_dir).select("article_id", text.summarizable(F.col("content"))["reason"].alias("reason"))
 
 
 @query("SELECT role, count(*) AS turns, CAST(sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
@@ -327,12 +313,12 @@ idf AS (SELECT term, df, ln((docs + 1) / (df + 1)::DOUBLE) + 1 AS idf FROM df, n
 
 @query(f"WITH {ARTICLE_SQL}, {_IDF} SELECT term, df, {sql_rounded('idf')} AS idf FROM idf")
 def idf(spark, sf_dir):
-    return similarity.idf_table(articles(spark, sf_dir)).select("term", "df", rounded(F.col("idf")).alias("idf"))
+    return similarity.idf_table(bare_articles(spark, sf_dir)).select("term", "df", rounded(F.col("idf")).alias("idf"))
 
 
 @query(f"WITH {ARTICLE_SQL}, {_IDF} SELECT count(*) AS vocabulary, (SELECT docs FROM n) AS documents FROM df")
 def corpus_stats(spark, sf_dir):
-    return similarity.corpus_stats(articles(spark, sf_dir))
+    return similarity.corpus_stats(bare_articles(spark, sf_dir))
 
 
 _BOOST = f"CASE WHEN t IN ({', '.join(map(quoted, config.BOOST_TERMS))}) THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END"
@@ -340,7 +326,7 @@ _BOOST = f"CASE WHEN t IN ({', '.join(map(quoted, config.BOOST_TERMS))}) THEN 1.
 
 @query(f"WITH {ARTICLE_SQL}, c AS (SELECT article_id, t, count(*) AS n FROM (SELECT article_id, {_sql_tokens('title')} AS t FROM article) WHERE {_KEEP} GROUP BY 1, 2) SELECT article_id, t AS term, {sql_rounded(f'(1 + ln(n)) * {_BOOST} * 2')} AS w FROM c")
 def title_vectors(spark, sf_dir):
-    return similarity.title_vectors(articles(spark, sf_dir)).select("article_id", "term", rounded(F.col("w")).alias("w"))
+    return similarity.title_vectors(bare_articles(spark, sf_dir)).select("article_id", "term", rounded(F.col("w")).alias("w"))
 
 
 _PAIRS = f""", ti AS (SELECT title, min(article_id) AS id FROM article GROUP BY 1),
@@ -356,7 +342,7 @@ jac AS (SELECT a, b, i / (x.n + y.n - i)::DOUBLE AS jaccard FROM inter JOIN tn x
 
 @query(f"WITH {ARTICLE_SQL}{_PAIRS} SELECT a, b, {sql_rounded('jaccard')} AS jaccard FROM jac")
 def pair_jaccard(spark, sf_dir):
-    pairs = similarity.candidate_pairs(similarity.distinct_titles(articles(spark, sf_dir)))
+    pairs = similarity.candidate_pairs(similarity.distinct_titles(bare_articles(spark, sf_dir)))
     return pairs.select("a", "b", rounded(F.col("jaccard")).alias("jaccard"))
 
 
@@ -366,7 +352,7 @@ cos AS (SELECT j.a, j.b, sum(x.w * y.w) / (any_value(m.norm) * any_value(n2.norm
 
 @query(f"WITH {ARTICLE_SQL}{_PAIRS}{_COSINE} SELECT a, b, {sql_rounded('cosine')} AS cosine FROM cos")
 def pair_cosine(spark, sf_dir):
-    titles = similarity.distinct_titles(articles(spark, sf_dir))
+    titles = similarity.distinct_titles(bare_articles(spark, sf_dir))
     pairs = similarity.cosine(similarity.candidate_pairs(titles), similarity.title_vectors(titles.selectExpr("id article_id", "title")), "cosine")
     return pairs.select("a", "b", rounded(F.col("cosine")).alias("cosine"))
 
@@ -376,7 +362,7 @@ _NGRAMS = ", g AS (SELECT DISTINCT id, substring(x, i, 3) AS g FROM (SELECT id,
 
 @query(f"WITH {ARTICLE_SQL}{_PAIRS}{_NGRAMS}, i AS (SELECT j.a, j.b, count(y.g) AS i FROM jac j JOIN g x ON x.id = j.a LEFT JOIN g y ON y.id = j.b AND y.g = x.g GROUP BY 1, 2) SELECT a, b, {sql_rounded('i / (m.n + k.n - i)::DOUBLE')} AS ngram FROM i JOIN gn m ON m.id = a JOIN gn k ON k.id = b")
 def pair_ngram(spark, sf_dir):
-    titles = similarity.distinct_titles(articles(spark, sf_dir))
+    titles = similarity.distinct_titles(bare_articles(spark, sf_dir))
     g = titles.select("id", text.char_ngrams(F.col("title")).alias("g"))
     pairs = similarity.candidate_pairs(titles).join(g.selectExpr("id a", "g ga"), "a").join(g.selectExpr("id b", "g gb"), "b")
     return pairs.select("a", "b", rounded(text.jaccard(F.col("ga"), F.col("gb"))).alias("ngram"))
@@ -466,7 +452,7 @@ def distinct_tokens(spark, sf_dir):
 
 @query(f"WITH {USERS_SQL}, {ARTICLE_SQL}, n AS (SELECT category, count(*) AS n FROM app_user WHERE is_active AND notifications_enabled GROUP BY 1) SELECT article_id, coalesce(n, 0) AS audience FROM article LEFT JOIN n ON category = category_slug")
 def topic_audience(spark, sf_dir):
-    return engagement.topic_audience(articles(spark, sf_dir), users(spark, sf_dir), as_of())
+    return engagement.topic_audience(bare_articles(spark, sf_dir), users(spark, sf_dir), as_of())
 
 
 @query(f"WITH {USERS_SQL}, t AS (SELECT t1 AS t FROM app_user UNION SELECT t2 FROM app_user), n AS (SELECT count(*) AS n FROM t), w AS (SELECT unnest(generate_series(0, (n - 1) // 500)) AS wave, n FROM n) SELECT CAST(wave AS BIGINT) AS wave, CAST(least(500, n - wave * 500) AS BIGINT) AS tokens FROM w")
@@ -502,10 +488,11 @@ def breaking_cooldown(spark, sf_dir):
 
 
 @query(f"""WITH {ARTICLE_SQL}{SCORED_SQL}, t AS (SELECT * FROM scored WHERE published_at >= {NOW} - INTERVAL 24 HOUR ORDER BY final_score DESC, article_id LIMIT 10),
-d AS (SELECT string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY final_score DESC, article_id) AS article_ids, string_agg(DISTINCT category_slug, ',' ORDER BY category_slug) AS categories, concat(count(*), ' top stories today: ', arg_min(title, struct_pack(a := -final_score, b := article_id))) AS x FROM t)
-SELECT article_ids, categories, CASE WHEN length(x) > 150 THEN concat(substring(x, 1, 147), '...') ELSE x END AS body FROM d""")
+d AS (SELECT string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY final_score DESC, article_id) AS article_ids, concat(count(*), ' top stories today: ', arg_min(title, struct_pack(a := -final_score, b := article_id)), CASE WHEN count(*) > 1 THEN ' and more' ELSE '' END) AS x FROM t),
+c AS (SELECT string_agg(category_slug, ',' ORDER BY s DESC, i) AS categories FROM (SELECT category_slug, max(final_score) AS s, arg_min(article_id, struct_pack(a := -final_score, b := article_id)) AS i FROM t GROUP BY 1))
+SELECT article_ids, categories, substring(x, 1, 150) AS body FROM d, c""")
 def digest_payload(spark, sf_dir):
-    return notify.digest(scored(spark, sf_dir), as_of())
+    return notify.digest(scored(spark, sf_dir), as_of()).select("article_ids", "categories", "body")
 
 
 def _log(spark, sf_dir):
@@ -542,7 +529,7 @@ def stage_metrics(spark, sf_dir):
 
 @query("SELECT event_id // 5 AS run_id, count(*) AS stages, count(*) FILTER (value > 25) AS succeeded, CASE WHEN count(*) FILTER (value > 25) = count(*) THEN 'completed' WHEN count(*) FILTER (value > 25) = 0 THEN 'failed' ELSE 'partial' END AS status FROM events GROUP BY 1")
 def run_summary(spark, sf_dir):
-    return runs.run_summary(_runs(spark, sf_dir))
+    return runs.run_summary(_runs(spark, sf_dir)).select("run_id", "stages", "succeeded", "status")
 
 
 @query("WITH l AS (SELECT event_type AS stage, max(event_id) FILTER (value > 25) AS ok FROM events GROUP BY 1), s AS (SELECT stage, count(*) FILTER (ok IS NULL OR event_id > ok) AS streak FROM events JOIN l ON stage = event_type GROUP BY 1) SELECT stage, streak, streak < 3 AS healthy FROM s")
@@ -572,7 +559,7 @@ def daily_quota(spark, sf_dir):
 
 @query(f"WITH {ARTICLE_SQL} SELECT article_id FROM article WHERE published_at >= {NOW} - INTERVAL 2 DAY")
 def retention(spark, sf_dir):
-    return runs.retained(articles(spark, sf_dir), as_of() - F.expr("INTERVAL 2 DAYS")).select("article_id")
+    return runs.retained(bare_articles(spark, sf_dir), as_of() - F.expr("INTERVAL 2 DAYS")).select("article_id")
 
 
 @query(f"SELECT o_orderkey, {sql_day(f"CASE WHEN o_orderdate > {NOW} OR o_orderdate < {NOW} - INTERVAL 365 DAY THEN {NOW} ELSE o_orderdate END")} AS at FROM orders")

@@ -84,3 +84,36 @@ USERS_SQL = """app_user AS (
          c_custkey % 24 AS pref_hour, c_custkey % 3 <> 0 AS notifications_enabled, c_acctbal > 0 AS is_active,
          't' || CAST(c_custkey % 997 AS VARCHAR) AS t1, 't' || CAST(c_custkey % 991 AS VARCHAR) AS t2
   FROM customer)"""
+
+
+def bare_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles without page URLs and counters: one scan, no join."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("article_id"),
+        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 300).alias("title"),
+        F.col("text").alias("content"),
+        F.col("source").alias("source_name"),
+        F.col("lang").alias("category_slug"),
+        F.timestamp_seconds(F.unix_timestamp(as_of()) - 60 * ((F.col("doc_id") * 37) % 5760)).alias("published_at"),
+    )
+
+
+def full_articles(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    """Articles with every stored column; those the test tables lack are derived from the id."""
+    i = F.col("article_id")
+    ai = F.struct(F.concat(F.lit("Brief: "), F.substring("title", 1, 40)).alias("title"), F.when(i % 3 == 1, "").otherwise(F.substring("content", 1, 160)).alias("summary"), F.when(i % 4 == 0, "A major step.").otherwise("").alias("why_it_matters"))
+    return (articles(spark, sf_dir) if base is None else base).withColumns({
+        "summary": F.substring("content", 1, 200), "image_url": F.when(i % 7 != 0, F.concat(F.lit("https://img.example.com/"), i.cast("string"), F.lit(".png"))),
+        "author": F.when(i % 5 != 0, F.concat(F.lit("author"), (i % 17).cast("string"))), "tags": F.array("category_slug", F.concat(F.lit("t"), (i % 9).cast("string"))),
+        "score": ((i * 13) % 101).cast("double"), "read_time": (i % 30 + 1).cast("int"), "is_featured": i % 50 == 0, "ai_summary": F.when(i % 3 != 0, ai),
+        "created_at": F.col("published_at") + F.expr("INTERVAL 1 HOUR"),
+    })
+
+
+FULL_SQL = """, full_article AS (SELECT *, substring(content, 1, 200) AS summary,
+  CASE WHEN article_id % 7 <> 0 THEN 'https://img.example.com/' || CAST(article_id AS VARCHAR) || '.png' END AS image_url,
+  CASE WHEN article_id % 5 <> 0 THEN 'author' || CAST(article_id % 17 AS VARCHAR) END AS author, category_slug || ',t' || CAST(article_id % 9 AS VARCHAR) AS tags,
+  CAST(article_id * 13 % 101 AS DOUBLE) AS score, CAST(article_id % 30 + 1 AS INTEGER) AS read_time, article_id % 50 = 0 AS is_featured,
+  CASE WHEN article_id % 3 <> 0 THEN 'Brief: ' || substring(title, 1, 40) END AS ai_title, CASE WHEN article_id % 3 = 2 THEN substring(content, 1, 160) WHEN article_id % 3 = 1 THEN '' END AS ai_summary,
+  CASE WHEN article_id % 3 <> 0 THEN CASE WHEN article_id % 4 = 0 THEN 'A major step.' ELSE '' END END AS ai_why, published_at + INTERVAL 1 HOUR AS created_at FROM article)"""
