@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslake import config
 from newslake.functions import text, urls
+from newslake.operators.checkpoints import reliable
 from newslake.operators.ranking import lookup
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir; a folder of its own only where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def term_counts(docs: DataFrame, column: str, id_col: str = "article_id") -> DataFrame:
     return docs.select(id_col, F.explode(text.tokens(F.col(column))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
 
