@@ -1,12 +1,14 @@
 """License scans: places of fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a paragraph (lines up to a blank one). A block meets a template when it has at least `percent` of
-the template's distinct words. Template words are ordered by their frequency over all documents, rarest first; a block
-must share a word of the template's prefix (the length filter and the positional bound then pass over most others), and
-the rest is counted exactly. The templates are few and fixed, so their words and frequencies have a fixed size.
-
-Null and empty texts have no words, labels or places; their score is 0. Texts are scanned whole and row by row, so
-repeated rows need no rule; equal frequencies are ordered by the word. Extra columns are not touched.
+A block is a line, or a paragraph (lines up to a blank one), or any run of its words of at most `stretch` percent of a
+template's length in words. A block meets a template when some such run has at least `percent` of the template's distinct
+words. Template words are ordered by their frequency over all documents, rarest first; a block must share a word of the
+template's prefix (the length filter and the positional bound then pass over most others), and the rest is counted
+exactly. The templates are few and fixed, so their words and frequencies have a fixed size.
+
+Null and empty texts have no words, labels or places; their score is 0. Very long texts are scanned whole and row by row,
+so repeated rows and equal ids need no rule; equal frequencies are ordered by the word. An empty table gives no rows.
+Extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,7 +51,10 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Scan:
+    """percent: of a template's distinct words that a run must have; stretch: its length in percent of the template's."""
+
     percent: int = 90
+    stretch: int = 150
     templates: tuple[tuple[str, str], ...] = field(default=TEMPLATES)
 
 
@@ -78,20 +83,20 @@ class TemplateIndex:
         for k, (label, text) in enumerate(rules.templates):
             words = sorted(set(words_of(text)), key=order.__getitem__)
             need = -(-rules.percent * len(words) // 100)
-            self.sets.append((label, frozenset(words), need))
+            self.sets.append((label, frozenset(words), need, -(-rules.stretch * len(words_of(text)) // 100)))
             for at, w in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(w, []).append((k, at, len(words)))
         self.known = frozenset(order)
 
     def matches(self, words: list[bytes]) -> dict[str, float]:
-        """Best containment by label of the templates that a block's words meet."""
+        """Best containment by label of the templates that a run of a block's words meets."""
         block = self.known.intersection(words)
         out: dict[str, float] = {}
         tried = set()
         for w in block.intersection(self.prefix):
             later = None
             for k, at, size in self.prefix[w]:
-                label, template, need = self.sets[k]
+                label, template, need, length = self.sets[k]
                 if k in tried or len(block) < need:
                     continue
                 if later is None:
@@ -100,12 +105,30 @@ class TemplateIndex:
                 if at + min(size - at, later) < need:
                     continue
                 tried.add(k)
-                common = len(block & template)
-                if common >= need:
-                    out[label] = max(out.get(label, 0.0), common / len(template))
+                if len(block & template) >= need:
+                    common = best_run(words, template, length)
+                    if common >= need:
+                        out[label] = max(out.get(label, 0.0), common / len(template))
         return out
 
 
+def best_run(words: list[bytes], template: frozenset[bytes], length: int) -> int:
+    """The most distinct template words in any run of `length` words."""
+    places = [i for i, w in enumerate(words) if w in template]
+    held: dict[bytes, int] = {}
+    best = first = 0
+    for i in places:
+        held[words[i]] = held.get(words[i], 0) + 1
+        while places[first] <= i - length:
+            w = words[places[first]]
+            held[w] -= 1
+            if not held[w]:
+                del held[w]
+            first += 1
+        best = max(best, len(held))
+    return best
+
+
 _FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
