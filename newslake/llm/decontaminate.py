@@ -1,12 +1,13 @@
 """Benchmark decontamination in DataFrame functions only.
 
 Every window of `width` consecutive words of a benchmark item (an item of fewer words is one window of its own length)
-is looked for in every document. A fixed-size bit table of the windows' hashes, a literal in the plan, passes over the
-windows that cannot match; the few that may are verified word for word by a join with the windows themselves, which
-are broadcast only if their number is below `most_broadcast` (else the join shuffles).
+is looked for in every document. A bit table of the windows' hashes, a literal in the plan sized by their number up to
+a fixed bound, passes over the windows that cannot match; the few that may are verified word for word by a join with the
+windows themselves, which are broadcast only if their number is below `most_broadcast` (else the join shuffles).
 
-Null texts have no words. Texts are scanned whole. Repeated rows are judged each for itself (an internal row id keeps
-equal doc_ids apart). An empty benchmark hits nothing. Extra columns are not touched.
+Null texts have no words. Very long texts are scanned whole. Rows are told apart by id and text, so equal and null ids
+keep their own results, and rows repeated whole have one each. An empty benchmark hits nothing; an empty table gives no
+rows. Ties of windows need no rule, as all count. Extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from newslake.llm.common import ALNUM_GAP, lower_ascii, private
 
-#: log2 of the bits in the table: 2^22 bits are 64 K longs, half a megabyte, whatever the benchmark's size.
-TABLE_BITS = 22
+#: log2 of the table's bits: 32 a window, between these; the greatest table is 256 K longs, two megabytes. Beyond half a
+#: million windows it lets more candidates through to the join, and is right all the same.
+LEAST_BITS, MOST_BITS = 12, 24
 
 
 @dataclass(frozen=True)
@@ -62,47 +64,54 @@ def benchmark_windows(items: DataFrame, rules: Decontamination, id_col: str, tex
     return rows.select("item_id", "width", F.array_join("words", " ").alias("window"), probe.alias("probe"))
 
 
-#: A probe's low bits choose a long of the table and its six highest bits the bit.
-_SLOTS = 1 << (TABLE_BITS - 6)
-
-
-def _slot(probe: Column) -> Column:
-    return probe.bitwiseAND(F.lit(_SLOTS - 1)).cast("int")
+def _slot(probe: Column, slots: int) -> Column:
+    """A probe's low bits choose a long of the table, its six highest bits the bit."""
+    return probe.bitwiseAND(F.lit(slots - 1)).cast("int")
 
 
 def _bit(probe: Column) -> Column:
     return F.shiftrightunsigned(probe, 58).cast("int")
 
 
-def _bit_table(windows: DataFrame) -> Column:
-    """array<bigint> literal with a bit set for each probe."""
-    rows = windows.select(_slot(F.col("probe")).alias("i"), F.expr("1L").alias("one"), _bit(F.col("probe")).alias("b"))
+def _bit_table(windows: DataFrame, n: int) -> tuple[Column, int]:
+    """(array<bigint> literal with a bit set for each of the n probes, its size)."""
+    slots = 1 << (min(MOST_BITS, max(LEAST_BITS, (32 * n - 1).bit_length())) - 6)
+    rows = windows.select(_slot(F.col("probe"), slots).alias("i"), F.expr("1L").alias("one"), _bit(F.col("probe")).alias("b"))
     rows = rows.selectExpr("i", "shiftleft(one, b) x").groupBy("i").agg(F.bit_or("x").alias("x")).collect()
-    table = [0] * _SLOTS
+    table = [0] * slots
     for r in rows:
         table[r["i"]] = r["x"]
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>"), slots
 
 
-def _may_match(table: Column, probe: Column) -> Column:
-    return F.call_function("shiftright", F.get(table, _slot(probe)), _bit(probe)).bitwiseAND(F.lit(1)) == 1
+def _may_match(table: tuple[Column, int], probe: Column) -> Column:
+    return F.call_function("shiftright", F.get(table[0], _slot(probe, table[1])), _bit(probe)).bitwiseAND(F.lit(1)) == 1
 
 
 def hits(docs: DataFrame, items: DataFrame, rules: Decontamination = Decontamination(), id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, item_ids (sorted strings), spans array<struct<start, end>> of hit
+    """One row per row of docs: doc_id, n_words, n_hit, item_ids (sorted strings), spans array<struct<start, end>> of hit
     words (0-based, end exclusive, disjoint)."""
+    found = _found(docs, items, rules, id_col, text_col, item_id_col, item_text_col)
+    rows = found.select(F.explode(F.sequence(F.lit(1), F.col("copies"))), "doc_id", "n_words", merged("raw").alias("spans"), "item_ids").drop("col")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]))
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), "item_ids", "spans")
+
+
+def _found(docs: DataFrame, items: DataFrame, rules: Decontamination, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
+    """One row per (doc_id, text_md5): copies (rows that have both), n_words, raw (sorted spans that hit), item_ids."""
     windows = benchmark_windows(items, rules, item_id_col, item_text_col).persist()
     try:
-        widths = sorted(r["width"] for r in windows.select("width").distinct().collect())
-        tables = {w: _bit_table(windows.where(F.col("width") == w)) for w in widths}
-        small = windows.groupBy("width").count().agg(F.sum("count")).first()[0] or 0
+        counts = {r["width"]: r["count"] for r in windows.groupBy("width").count().collect()}
+        widths = sorted(counts)
+        tables = {w: _bit_table(windows.where(F.col("width") == w), counts[w]) for w in widths}
     finally:
         windows.unpersist()
     known = windows.groupBy("window", "width").agg(F.collect_set("item_id").alias("items"))
-    known = F.broadcast(known) if small <= rules.most_broadcast else known
+    known = F.broadcast(known) if sum(counts.values()) <= rules.most_broadcast else known
 
-    row, words, h, found = (private(x) for x in ("row", "words", "hashes", "found"))
-    rows = docs.select(F.monotonically_increasing_id().alias(row), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias(words))
+    words, h, found = (private(x) for x in ("words", "hashes", "found"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text).alias("text_md5"), words_of(text).alias(words))
     rows = rows.withColumn(h, F.transform(words, lambda w: F.xxhash64(w)))
     none = F.expr("cast(array() as array<struct<start:int,width:int,window:string>>)")
 
@@ -111,18 +120,17 @@ def hits(docs: DataFrame, items: DataFrame, rules: Decontamination = Decontamina
         at = F.array_compact(F.transform(probes, lambda p, i: F.when(_may_match(tables[width], p), i)))
         return F.transform(at, lambda i: F.struct(i.alias("start"), F.lit(width).alias("width"), F.array_join(F.slice(F.col(words), i + 1, F.lit(width)), " ").alias("window")))
 
-    rows = rows.select(row, "doc_id", F.size(words).cast("long").alias("n_words"), F.concat(none, *map(candidates, widths)).alias(found))
-    rows = rows.select(row, "doc_id", "n_words", F.explode_outer(found).alias(found)).select(row, "doc_id", "n_words", f"{found}.*")
+    key = ["doc_id", "text_md5"]
+    rows = rows.select(*key, F.size(words).cast("long").alias("n_words"), F.concat(none, *map(candidates, widths)).alias(found))
+    rows = rows.select(*key, "n_words", F.posexplode_outer(found).alias("pos", found)).select(*key, "n_words", "pos", f"{found}.*")
     rows = rows.join(known, ["window", "width"], "left")
     hit = F.when(F.col("items").isNotNull(), F.struct("start", (F.col("start") + F.col("width")).alias("end")))
-    rows = rows.groupBy(row).agg(
-        F.first("doc_id").alias("doc_id"),
+    return rows.groupBy(*key).agg(
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"),
         F.first("n_words").alias("n_words"),
-        F.array_sort(F.collect_list(hit)).alias("raw"),
+        F.array_sort(F.collect_set(hit)).alias("raw"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
     )
-    spans = merged("raw")
-    return rows.select("doc_id", "n_words", F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"])).alias("n_hit"), "item_ids", spans.alias("spans"))
 
 
 def merged(spans: str) -> Column:
@@ -153,7 +161,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, rules: Decontamination = Decontamination(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold any window; columns unchanged. Rows that share an id go together."""
-    name = private("id")
-    bad = hits(docs, items, rules, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad[name]), "left_anti")
+    """docs without the rows that hold any window; columns unchanged. Rows are told apart by id and text."""
+    name, md5 = private("id"), private("md5")
+    found = _found(docs, items, rules, id_col, text_col, "item_id", "text")
+    bad = found.where(F.size("raw") > 0).select(F.col("doc_id").alias(name), F.col("text_md5").alias(md5))
+    same = docs[id_col].eqNullSafe(bad[name]) & (F.md5(F.coalesce(docs[text_col], F.lit(""))) == bad[md5])
+    return docs.join(bad, same, "left_anti")
