@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newslake.operators.checkpoints import reliable
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Anything but a lower-case ASCII letter, a digit or a non-ASCII character separates alphanumeric words.
@@ -19,24 +20,23 @@ ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CHUNK_TOKENS = 1 << 19
 
 
+#: Spark's setting by which an action's shuffle files go once it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def saved(df: DataFrame) -> DataFrame:
     """df, cut from its lineage by a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    Only where the session names no folder (as in tests) one is made under the machine's temporary folder.
-    The shuffle files that led to it go once it is written, as a lost executor's part is read from the checkpoint.
+    The shuffle files that led to it go once it is written, as a lost executor's part is read from the checkpoint; a Spark
+    without that setting keeps them until they are collected.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, None)
+    if before is None:
+        return reliable(df)
     spark.conf.set(_CLEANUP, "true")
     try:
-        return df.select("*").checkpoint()  # a plan takes the setting when it is made
+        return reliable(df.select("*"))  # a plan takes the setting when it is made
     finally:
         spark.conf.set(_CLEANUP, before)
 
@@ -127,34 +127,3 @@ def packed(x: np.ndarray) -> bytes:
 
 def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
-
-
-def components(links: DataFrame) -> DataFrame:
-    """links (a long, b long) -> (node, component): the smallest node reachable. Nodes without links are absent.
-
-    Alternating large-star and small-star rounds; each is two shuffles with map-side minima, so a hub with any
-    number of neighbours never sits in one task, and each round is checkpointed.
-    """
-
-    def star(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
-
-    def size(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = size(edges)
-    while before[0]:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        small = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        small = small.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = saved(small)
-        now = size(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )

@@ -9,8 +9,9 @@ distinct pairs, to shards by key (each key once a batch, so that a hot word is n
 spread over several shards). A shard adds up the counts, builds its memory-mapped levels, answers each batch's pairs by
 context-relative successor search, and the answers go back to the batch.
 
-Null and empty texts are the end token alone. Long texts are scored whole. Repeated rows and ids are scored each for
-itself. With no training row every count is 0. Extra columns are not touched.
+Null and empty texts are the end token alone. Very long texts are scored whole. Repeated rows, and rows of equal or null
+ids, are scored each for itself. With no training row every count is 0; ties need no rule. An empty table gives no rows.
+Extra columns are dropped, whatever their names. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,9 @@ def _batches(docs: DataFrame) -> DataFrame:
 
         seen, number = WordHashes(), TaskContext.get().partitionId() << 32
         for part in parts:
-            ids, held_out = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(part.column(0), 0).to_numpy()
+            # bit 0: held out, bit 1: no id
+            flags = part.column(1).to_numpy(zero_copy_only=False) + 2 * part.column(0).is_null().to_numpy(zero_copy_only=False)
             for first, held in chunks(texts_of(part.column(2)), lower=True, most=_BATCH_TOKENS):
                 sizes = np.array([len(w) + 1 for w in held], np.int64)
                 h = np.full(int(sizes.sum()), END, np.uint64)
@@ -70,7 +74,7 @@ def _batches(docs: DataFrame) -> DataFrame:
                 h[inside] = hashes_of([w for row in held for w in row], seen)
                 words, tokens = np.unique(h, return_inverse=True)
                 rows = slice(first, first + len(held))
-                out = [number, packed(ids[rows]), packed(held_out[rows].astype(np.uint8)), packed(sizes), _wide(tokens), _wide(np.diff(words, prepend=np.uint64(0)))]
+                out = [number, packed(ids[rows]), packed(flags[rows].astype(np.uint8)), packed(sizes), _wide(tokens), _wide(np.diff(words, prepend=np.uint64(0)))]
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=[x.split()[0] for x in _BATCH.split(", ")])
 
@@ -79,7 +83,9 @@ def _batches(docs: DataFrame) -> DataFrame:
 
 class _Batch:
     def __init__(self, row):
-        self.ids, self.held, self.sizes = unpacked(row.ids, np.int64), unpacked(row.held, np.uint8) > 0, unpacked(row.sizes, np.int64)
+        flags = unpacked(row.held, np.uint8)
+        self.ids = pd.arrays.IntegerArray(unpacked(row.ids, np.int64).copy(), flags & 2 > 0)
+        self.held, self.sizes = flags & 1 > 0, unpacked(row.sizes, np.int64)
         self.tokens, self.words = _narrow(row.tokens).astype(np.uint32), np.cumsum(_narrow(row.words), dtype=np.uint64)
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
@@ -214,9 +220,10 @@ _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def lm_scores(docs: DataFrame, held_out: Column, model: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(scores, levels): a row of _SCORE per row of docs, learnt from the rows that held_out does not mark; and the
     trie's levels by shard."""
-    ways = shards(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(held_out, F.lit(False)), F.coalesce(F.col(text_col), F.lit("")))
     batches = saved(_batches(rows))
+    # a shard's part grows with the session's setting or, where that is small, with the batches
+    ways = max(shards(docs.sparkSession), -(-batches.count() // 4))
     words = saved(_word_answers(_word_messages(batches, ways), ways))
     sums = words.where("kind = -1").agg(F.sum("total"), F.sum("types")).first()
     total, types = int(sums[0] or 0), int(sums[1] or 0)

@@ -17,7 +17,8 @@ so links are then counted by comparing all nodes of each component, in tasks tha
 
 Defined results: null, empty and blank texts have no shingles and no links; fewer words than five make one shingle;
 equal rows are one component; ties in a hub go to the smallest node. Rows with equal ids and different texts are
-different documents under one label.
+different documents under one label. Very long texts are compared whole. An empty table gives no rows. Extra columns are
+dropped by similar_groups and kept by keep_one, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newslake.llm.common import WordHashes, chunks, components, hashes_of, mixed, packed, private, saved, shards, texts_of, unpacked, windows
+from newslake.llm.common import WordHashes, chunks, hashes_of, mixed, packed, private, saved, shards, texts_of, unpacked, windows
+
+from newslake.operators.similarity import components
 
 
 @dataclass(frozen=True)
@@ -70,6 +73,9 @@ def shingle_sets(held: list[list[bytes]], width: int, seen: WordHashes) -> tuple
     return row[first], key[first]
 
 
+#: Bytes of text for each shard of tokens, at most.
+_SHARD_BYTES = 16 << 20
+
 _MESSAGE = "shard long, batch long, nodes binary, rows binary, keys binary"
 
 
@@ -447,7 +453,10 @@ def _grouped(docs: DataFrame, rules: Join, id_col: str, text_col: str) -> tuple[
     text = F.coalesce(F.col(text_col), F.lit(""))
     members = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
     nodes = members.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    signed = saved(_signatures(_shared_tokens(_messages(members, rules, 2 * shards(spark))), rules))
+    # a shard's part grows with the session's setting or, where that is small, with the texts
+    size = members.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ways = max(2 * shards(spark), -(-size // _SHARD_BYTES))
+    signed = saved(_signatures(_shared_tokens(_messages(members, rules, ways)), rules))
     sizes = signed.groupBy("node").agg(F.first("size").alias("size"))
     # a node that several batches have comes from each of them, alike
     able = signed.where("tokens is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
