@@ -69,12 +69,10 @@ def extract_tags(categories: Column, title: Column, source_id: Column) -> Column
 
 def categorize(terms: Column) -> Column:
     """First category, in their fixed order, of which any term contains a keyword as a substring."""
-
-    def found(slug: str, keywords) -> Column:
-        any_keyword = lambda t: F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(t), k))
-        return F.when(F.exists(terms, any_keyword), F.lit(slug))
-
-    return F.coalesce(*[found(slug, keywords) for slug, keywords in config.CATEGORY_KEYWORDS.items()], F.lit("technology"))
+    slugs = list(config.CATEGORY_KEYWORDS)
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for i, slug in enumerate(slugs) for k in config.CATEGORY_KEYWORDS[slug]])
+    hit = F.filter(places, lambda p: F.exists(terms, lambda t: F.contains(F.lower(t), p["k"])))
+    return F.coalesce(F.get(F.array(*map(F.lit, slugs)), F.array_min(F.transform(hit, lambda p: p["i"]))), F.lit("technology"))
 
 
 def read_time(x: Column, cap: int | None = 30) -> Column:

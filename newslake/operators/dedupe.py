@@ -23,9 +23,9 @@ def first_per(df: DataFrame, key: str, order: str = "article_id") -> DataFrame:
     return df.groupBy(key).agg(F.min(order).alias("first_id"))
 
 
-def matches_on(df: DataFrame, key: str) -> DataFrame:
-    """(article_id, first_id) of the rows that are not the first with their key."""
-    return df.join(first_per(df, key), key).where("article_id > first_id").select("article_id", "first_id")
+def matches_on(df: DataFrame, key: str, judged: DataFrame | None = None) -> DataFrame:
+    """(article_id, first_id) of the judged rows (of df, by default all) that are not the first of df with their key."""
+    return (df if judged is None else judged).join(first_per(df, key), key).where("article_id > first_id").select("article_id", "first_id")
 
 
 def store_duplicates(batch: DataFrame, store: DataFrame, key: str) -> DataFrame:
@@ -33,12 +33,19 @@ def store_duplicates(batch: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return batch.join(store.select(key).distinct(), key, "left_semi")
 
 
-def new_rows(batch: DataFrame, store: DataFrame, keys=("url_key", "fingerprint")) -> DataFrame:
-    """Batch rows with no key of the store's, first of each key within the batch; key after key."""
+def with_stored_flag(batch: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """batch with is_stored: whether the store has its key."""
+    keys = store.select(F.col(key).alias("_key")).where("_key is not null").distinct().withColumn("_hit", F.lit(True))
+    return batch.join(keys, F.col(key) == F.col("_key"), "left").withColumn("is_stored", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+
+
+def new_rows(batch: DataFrame, store: DataFrame | None, keys=("url_key", "fingerprint"), id_col: str = "article_id") -> DataFrame:
+    """Batch rows with no key of the store's, of each key the row of the smallest id; key after key. Null keys equal none."""
+    columns = batch.columns
     for key in keys:
-        batch = batch.join(store.select(key).distinct(), key, "left_anti")
-        firsts = first_per(batch, key).withColumnRenamed("first_id", "article_id").select("article_id")
-        batch = batch.join(firsts, "article_id", "left_semi")
+        batch = batch.join(store.select(key).distinct(), key, "left_anti") if store is not None else batch
+        firsts = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(id_col).alias("_first"))
+        batch = batch.join(firsts, F.col(key) == F.col("_key"), "left").where(F.col(key).isNull() | (F.col(id_col) == F.col("_first"))).select(*columns)
     return batch
 
 
@@ -46,7 +53,7 @@ def title_pairs(df: DataFrame, least: float = 0.85) -> DataFrame:
     """(a, b, similarity) of titles in one bucket at or above the threshold, a < b; at the level of distinct word sets,
     so that a title that many articles share is one row and is not paired with itself.
 
-    The join key is a word set's bucket with its size band: with J >= 0.85 the sizes differ by less than 18 %.
+    The join key is a word set's bucket and a word of its prefix; the sizes of similar sets are compared before the sets.
     """
     sets = df.where("size(title_words) > 0").groupBy("bucket", F.array_sort("title_words").alias("w")).agg(F.min("article_id").alias("id"))
     # prefix filter: two sets with J >= least share one of their first size - ceil(least * size) + 1 words in order
@@ -58,17 +65,19 @@ def title_pairs(df: DataFrame, least: float = 0.85) -> DataFrame:
     return pairs.select("a", "b", "similarity").distinct()
 
 
-def verdicts(df: DataFrame) -> DataFrame:
-    """(article_id, match_type, matched_id) of every row against the earlier rows: url, then content, then title."""
-    url, content = matches_on(df, "url_key"), matches_on(df, "fingerprint")
+def verdicts(df: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """(article_id, match_type, matched_id) of the judged rows (of df, by default all) against the earlier rows of df: url,
+    then content, then title. Rows are earlier by article_id, of any ordered type."""
+    judged = df if judged is None else judged
+    url, content = matches_on(df, "url_key", judged), matches_on(df, "fingerprint", judged)
     sets = df.where("size(title_words) > 0").withColumn("w", F.array_sort("title_words"))
     own = sets.groupBy("bucket", "w").agg(F.min("article_id").alias("first_id"))
     near = title_pairs(df).groupBy(F.col("b").alias("first_id")).agg(F.min("a").alias("other"))
-    mine = sets.join(own, ["bucket", "w"]).join(near, "first_id", "left")
+    mine = judged.where("size(title_words) > 0").withColumn("w", F.array_sort("title_words")).join(own, ["bucket", "w"]).join(near, "first_id", "left")
     # the earliest row with the same words, or of a similar set
     earliest = F.least("first_id", "other")
     title = mine.where(earliest < F.col("article_id")).select("article_id", earliest.alias("title_id"))
-    out = df.select("article_id").join(url.withColumnRenamed("first_id", "url_id"), "article_id", "left")
+    out = judged.select("article_id").join(url.withColumnRenamed("first_id", "url_id"), "article_id", "left")
     out = out.join(content.withColumnRenamed("first_id", "content_id"), "article_id", "left").join(title, "article_id", "left")
     kind = F.when(F.col("url_id").isNotNull(), "url").when(F.col("content_id").isNotNull(), "content").when(F.col("title_id").isNotNull(), "title").otherwise("none")
     return out.select("article_id", kind.alias("match_type"), F.coalesce("url_id", "content_id", "title_id").alias("matched_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newslake import config
 from newslake.functions import text, urls
 from newslake.operators import dedupe, engagement, feeds, notify, ranking, runs, similarity
+from newslake.operators.checkpoints import reliable
 from newslake.views import ARTICLE_SQL, FULL_SQL, USERS_SQL, articles, as_of, bare_articles, full_articles, key_number, table, users
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -288,7 +289,7 @@ z AS (SELECT article_id, min(article_id) OVER (PARTITION BY u) AS url_id, min(ar
 SELECT article_id, CASE WHEN url_id < article_id THEN 'url' WHEN content_id < article_id THEN 'content' WHEN title_id IS NOT NULL THEN 'title' ELSE 'none' END AS match_type,
 CASE WHEN url_id < article_id THEN url_id WHEN content_id < article_id THEN content_id ELSE coalesce(title_id, -1) END AS matched_id FROM z LEFT JOIN t USING (article_id)""")
 def ingest_verdict(spark, sf_dir):
-    return dedupe.verdicts(dedupe.keyed(articles(spark, sf_dir))).withColumn("matched_id", F.coalesce("matched_id", F.lit(-1)))
+    return dedupe.verdicts(reliable(dedupe.keyed(articles(spark, sf_dir)))).withColumn("matched_id", F.coalesce("matched_id", F.lit(-1)))
 
 
 @query("""WITH k AS (SELECT source AS source_name, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY md5(text)) THEN 'content' ELSE 'none' END AS m FROM documents)

@@ -1,9 +1,16 @@
-"""Structured Streaming forms of the stateful operators; each has a batch twin in operators."""
+"""Structured Streaming forms of the stateful operators; each has a batch twin in operators.
+
+cooldown and read_history keep state by key and need Spark's RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def dedupe(stream: DataFrame, key: str = "fingerprint", ts: str = "published_at", horizon: str = "7 days") -> DataFrame:
@@ -31,7 +38,78 @@ def bookmark_state(stream: DataFrame) -> DataFrame:
 
 
 def token_owner(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("token").agg(F.max_by(F.struct("user_id", "op"), F.struct("ts", "event_id")).alias("last"))
+    """(token, user_id): its last registering user, null once it was unregistered last; in update mode, so that a table
+    of owners drops the tokens whose user becomes null."""
+    last = stream.groupBy("token").agg(F.max_by(F.struct("user_id", "op"), F.struct("ts", "event_id")).alias("last"))
+    return last.select("token", F.when(F.col("last.op") == "register", F.col("last.user_id")).alias("user_id"))
+
+
+class _Cooldown(StatefulProcessor):
+    """Of a key's candidates in order of time, those `seconds` or more after the last sent one. State: that one's time.
+
+    A micro-batch is taken in time order; a candidate older than the last sent one is not sent.
+    """
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sent = handle.getValueState("sent", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = sorted(int(t) for part in rows for t in part["at"])
+        last = self.sent.get()[0] if self.sent.exists() else None
+        out = []
+        for at in times:
+            if last is None or at - last >= self.seconds * 1_000_000:
+                out.append(at)
+                last = at
+        if out:
+            self.sent.update((last,))
+            yield pd.DataFrame({"key": [key[0]] * len(out), "epoch": [at // 1_000_000 for at in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def cooldown(stream: DataFrame, seconds: int = 3600) -> DataFrame:
+    """(key, epoch) of the candidates (key, ts) that are sent; in append mode. The batch twin is notify.cooldown."""
+    rows = stream.where("ts is not null").select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    kind = dict(rows.dtypes)["key"]
+    return rows.groupBy("key").transformWithStateInPandas(_Cooldown(seconds), f"key {kind}, epoch long", "Append", "None")
+
+
+class _History(StatefulProcessor):
+    """A reader's latest read of each article, the `most` newest. State: one row an article."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.reads = handle.getMapState("reads", "article_id long", "read_at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = {k[0]: v[0] for k, v in self.reads.iterator()}
+        for part in rows:
+            for article, at in zip(part["article_id"], part["read_at"], strict=True):
+                held[int(article)] = max(int(at), held.get(int(article), int(at)))
+        kept = sorted(held, key=lambda a: (-held[a], a))[: self.most]
+        for article in set(held) - set(kept):
+            if self.reads.containsKey((article,)):
+                self.reads.removeKey((article,))
+        for article in kept:
+            self.reads.updateValue((article,), (held[article],))
+        yield pd.DataFrame({"user_id": [key[0]] * len(kept), "article_id": kept, "pos": range(1, len(kept) + 1)})
+
+    def close(self) -> None:
+        pass
+
+
+def read_history(stream: DataFrame, most: int = 100) -> DataFrame:
+    """(user_id, article_id, pos) of every reader with new reads (user_id, article_id, read_at timestamp), the whole list
+    each time; in update mode. The batch twin is engagement.read_history."""
+    rows = stream.select("user_id", "article_id", F.unix_micros(F.col("read_at").cast("timestamp")).alias("read_at"))
+    return rows.groupBy("user_id").transformWithStateInPandas(_History(most), "user_id long, article_id long, pos long", "Update", "None")
 
 
 def on_time(stream: DataFrame, as_of, ts: str = "published_at", late: str = "72 hours") -> DataFrame:
@@ -45,3 +123,24 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "up
     """Reads what is there since the last run and stops; offsets in the checkpoint make it incremental."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """The same into Parquet files, each row once; for streams in append mode."""
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def upsert_available(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> None:
+    """The same for streams in update mode: path/<n> holds the table after micro-batch n, the rows of a batch taking the
+    place of those with their keys. A batch that is run again writes the same folder again."""
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, n: int) -> None:
+        rows = batch
+        if n > 0:
+            before = spark.read.schema(batch.schema).parquet(f"{path}/{n - 1}")
+            rows = before.join(batch.select(*keys).distinct(), keys, "left_anti").select(*batch.columns).union(batch)
+        rows.write.mode("overwrite").parquet(f"{path}/{n}")
+
+    stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -206,14 +206,19 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r.title for r in landing.link_items(spark, str(tmp_path / "i.json")).collect()] == ["Untitled"]
     page = '<article><h2><a href="/a/b">b</a></h2><p>Text</p><a href="/a/b/stargazers">1,234,567</a></article>'
     got = landing.repository_pages(spark.createDataFrame([(page,), (None,)], "html string")).collect()
-    assert [(r.name, r.description, r.stars) for r in got] == [("a/b", "Text", 1234567)]
+    assert [(r.author, r.name, r.description, r.stars, r.forks) for r in got] == [("a", "b", "Text", 1234567, 0)]
     (tmp_path / "f.xml").write_text("<rss><channel><item><title>A</title><link>l</link><description>d</description></item></channel></rss>")
     assert [(r.title, r.url) for r in landing.feed(spark, str(tmp_path / "f.xml")).collect()] == [("A", "l")]
-    batch = spark.createDataFrame([("u1", "f1"), ("u1", "f2"), ("u2", "f3")], "source_url string, fingerprint string")
-    sinks.append_new(batch, spark.createDataFrame([("u2", "f9")], batch.schema), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    rows = [(4, "u1", "f2"), (1, "u1", "f1"), (2, "u2", "f3"), (3, None, "f5"), (5, None, None), (6, None, None), (7, "u7", "f1")]
+    batch = spark.createDataFrame(rows, "article_id long, source_url string, fingerprint string")
+    counts = sinks.append_new(batch, spark.createDataFrame([(9, "u2", "f9")], batch.schema), str(tmp_path / "out"))
+    # rows without a key equal none; of equal keys the smallest id stays
+    assert sorted(r.article_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3, 5, 6]
+    assert counts == {"added": 4, "duplicates": 3}
     t = spark.createDataFrame([(1, 0.0), (2, 0.0)], "id long, score double")
     assert {r.id: r.score for r in sinks.updated(t, t.where("id = 2").withColumn("score", F.lit(5.0)), "id", ["score"]).collect()} == {1: 0.0, 2: 5.0}
+    twice = spark.createDataFrame([(2, 7.0), (2, 6.0)], t.schema)
+    assert sorted((r.id, r.score) for r in sinks.updated(t, twice, "id", ["score"]).collect()) == [(1, 0.0), (2, 6.0)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
