@@ -131,11 +131,42 @@ def story_links(docs: DataFrame, rules: config.Clustering = config.Clustering())
     return sure.union(short).union(combined.select("a", "b")).union(chain)
 
 
+#: Ids that are hashed together for a cluster's id.
+_ID_CHUNK = 10_000
+
+
+def cluster_ids(group: DataFrame, chunk: int = _ID_CHUNK) -> DataFrame:
+    """(component, cluster_id) of group (node, component): 16 digits of the md5 of the sorted node ids. A component of more
+    than `chunk` nodes is dealt by hash into parts, and the parts' digests are hashed, so no group gathers all its nodes."""
+    n = group.groupBy("component").agg(F.ceil(F.count("*") / chunk).alias("_parts"))
+    rows = group.join(n, "component").withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
+    digest = lambda x: F.md5(F.array_join(F.array_sort(x), "|"))
+    parts = rows.groupBy("component", "_part").agg(digest(F.collect_list(F.col("node").cast("string"))).alias("d"))
+    whole = parts.groupBy("component").agg(F.collect_list("d").alias("d"))
+    return whole.select("component", F.substring(F.when(F.size("d") == 1, F.get("d", F.lit(0))).otherwise(digest(F.col("d"))), 1, 16).alias("cluster_id"))
+
+
 def clusters(docs: DataFrame, rules: config.Clustering = config.Clustering()) -> DataFrame:
     """(article_id, cluster_id, root) of articles in clusters of two or more."""
     group = components(story_links(docs, rules))
-    ids = group.groupBy("component").agg(F.substring(F.md5(F.array_join(F.array_sort(F.collect_list(F.col("node").cast("string"))), "|")), 1, 16).alias("cluster_id"))
-    return group.join(ids, "component").selectExpr("node article_id", "cluster_id", "component root")
+    return group.join(cluster_ids(group), "component").selectExpr("node article_id", "cluster_id", "component root")
+
+
+def combined_similarity(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b) of articles with similarity: the title cosine above 0.9; else 0.7 of it and 0.3 of the content's where
+    both contents are over 100 characters; else the title cosine. Terms weigh by all of docs."""
+    sizes = docs.select("article_id", F.length(F.coalesce("content", F.lit(""))).alias("chars"))
+    rows = pairs.select("a", "b").distinct()
+    for side in ("a", "b"):
+        rows = rows.join(sizes.select(F.col("article_id").alias(side), F.col("chars").alias(f"n_{side}")), side)
+    members = rows.select(F.explode(F.array("a", "b")).alias("article_id")).distinct()
+    titles = reliable(cosine(rows, title_vectors(docs.join(members, "article_id", "left_semi")), "title_cosine"))
+    open_ = titles.where("title_cosine <= 0.9 and n_a > 100 and n_b > 100")
+    need = open_.select(F.explode(F.array("a", "b")).alias("article_id")).distinct()
+    vectors = content_vectors(docs.join(need, "article_id", "left_semi"), idf_table(docs), docs.agg(F.count("*").alias("docs")))
+    compared = cosine(open_.select("a", "b"), vectors, "content_cosine")
+    out = titles.join(compared, ["a", "b"], "left")
+    return out.select("a", "b", F.when(F.col("content_cosine").isNotNull(), 0.7 * F.col("title_cosine") + 0.3 * F.col("content_cosine")).otherwise(F.col("title_cosine")).alias("similarity"))
 
 
 def quality(members: DataFrame) -> DataFrame:
@@ -153,14 +184,39 @@ def quality(members: DataFrame) -> DataFrame:
 
 
 def canonical(members: DataFrame) -> DataFrame:
-    """(cluster_id, canonical_id, size, first_published, last_published, sources) by cluster."""
+    """(cluster_id, canonical_id, size, first_published, last_published, sources, average_score) by cluster; size counts
+    members, sources are distinct, and a missing score counts as 0."""
     best = F.max_by("article_id", F.struct(text.half_up(F.col("quality"), 6), -F.col("article_id")))
+    score = F.coalesce("score", F.lit(0.0)) if "score" in members.columns else F.lit(0.0)
     return quality(members).groupBy("cluster_id").agg(
         best.alias("canonical_id"), F.count("*").alias("size"), F.min("published_at").alias("first_published"), F.max("published_at").alias("last_published"),
-        F.array_join(F.array_sort(F.collect_set("source_name")), ",").alias("sources"),
+        F.array_join(F.array_sort(F.collect_set("source_name")), ",").alias("sources"), F.avg(score).alias("average_score"),
     )
 
 
+def cluster_members(members: DataFrame, best: DataFrame, docs: DataFrame) -> DataFrame:
+    """members (cluster_id, article_id, ...) with canonical_id of best and similarity_to_canonical, 1 for the canonical."""
+    rows = members.join(best.select("cluster_id", "canonical_id"), "cluster_id")
+    pairs = rows.where("article_id <> canonical_id").selectExpr("article_id a", "canonical_id b")
+    found = combined_similarity(pairs, docs).selectExpr("a article_id", "similarity")
+    own = F.when(F.col("article_id") == F.col("canonical_id"), 1.0).otherwise(F.col("similarity"))
+    return rows.join(found, "article_id", "left").withColumn("similarity_to_canonical", own).drop("similarity")
+
+
+def cluster_run(docs: DataFrame, group: DataFrame) -> DataFrame:
+    """One row: articles, those in clusters, clusters, and duplicates (members beyond the first of each)."""
+    n = group.agg(F.count("*").alias("assigned"), F.countDistinct("cluster_id").alias("clusters"))
+    total = docs.count()
+    return n.select(F.lit(total).cast("long").alias("articles"), "assigned", "clusters", (F.col("assigned") - F.col("clusters")).alias("duplicates"))
+
+
+def with_clusters(df: DataFrame, group: DataFrame) -> DataFrame:
+    """df with the cluster_id of group; others keep theirs, as a run clears none."""
+    new = group.select("article_id", F.col("cluster_id").alias("_new"))
+    old = F.col("cluster_id") if "cluster_id" in df.columns else F.lit(None).cast("string")
+    return df.join(new, "article_id", "left").withColumn("cluster_id", F.coalesce("_new", old)).drop("_new")
+
+
 def duplicate_decisions(batch: DataFrame, store: DataFrame, rules: config.Clustering = config.Clustering()) -> DataFrame:
     """(article_id, action, score, matched_id): skip for a stored URL; else by the best combined similarity to a stored
     article whose bucket the new title probes: title cosine, or 0.7 of it and 0.3 of the content's where it is at most
@@ -196,4 +252,11 @@ def duplicate_decisions(batch: DataFrame, store: DataFrame, rules: config.Cluste
 
 
 def merged_sources(members: DataFrame) -> DataFrame:
-    return members.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("published_at", "article_id")))
+    """Sources of a cluster's members in order of publication, repeated ones included, with their rank. Ranks inside a day
+    are offset by the members of the days before, so a cluster is no single task unless it is one day's."""
+    rows = members.withColumn("_day", F.to_date("published_at"))
+    n = rows.groupBy("cluster_id", "_day").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("cluster_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = n.select("cluster_id", "_day", before.alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("cluster_id", "_day").orderBy("published_at", "article_id"))
+    return rows.withColumn("rank", inside).join(base, ["cluster_id", "_day"]).withColumn("rank", F.col("rank") + F.col("_base")).drop("_day", "_base")

@@ -330,13 +330,13 @@ def title_vectors(spark, sf_dir):
     return similarity.title_vectors(bare_articles(spark, sf_dir)).select("article_id", "term", rounded(F.col("w")).alias("w"))
 
 
-_PAIRS = f""", ti AS (SELECT title, min(article_id) AS id FROM article GROUP BY 1),
+_PAIRS = f""", ti AS (SELECT title, min(article_id) AS id, max(article_id) AS last FROM article GROUP BY 1),
 tt AS (SELECT DISTINCT id, t FROM (SELECT id, {_sql_tokens('title')} AS t FROM ti) WHERE {_KEEP}), tn AS (SELECT id, count(*) AS n FROM tt GROUP BY 1),
 bw AS (SELECT id, unnest(a) AS x, generate_subscripts(a, 1) AS pos FROM (SELECT id, regexp_split_to_array(trim(regexp_replace(lower(title), '[^\\w\\s]', '', 'g')), '\\s+') AS a FROM ti)),
 b1 AS (SELECT id, arg_min(x, pos) AS b FROM bw WHERE length(x) > 2 AND x NOT IN ({', '.join(map(quoted, config.CLUSTER_BUCKET_STOPS))}) GROUP BY 1),
 bu AS (SELECT ti.id, coalesce(b, lower(substring(title, 1, 5))) AS b FROM ti LEFT JOIN b1 USING (id)),
 pr AS (SELECT id, b FROM bu UNION SELECT id, x FROM (SELECT id, unnest(a) AS x, generate_subscripts(a, 1) AS pos FROM (SELECT id, string_split(lower(title), ' ') AS a FROM ti)) WHERE pos <= 3 AND length(x) > 3),
-cand AS (SELECT DISTINCT pr.id AS a, bu.id AS b FROM pr JOIN bu ON pr.b = bu.b AND pr.id < bu.id),
+cand AS (SELECT DISTINCT least(pr.id, bu.id) AS a, greatest(pr.id, bu.id) AS b FROM pr JOIN bu ON pr.b = bu.b AND pr.id <> bu.id JOIN ti l ON l.id = bu.id WHERE pr.id < l.last),
 inter AS (SELECT c.a, c.b, count(*) AS i FROM cand c JOIN tt x ON x.id = c.a JOIN tt y ON y.id = c.b AND y.t = x.t GROUP BY 1, 2),
 jac AS (SELECT a, b, i / (x.n + y.n - i)::DOUBLE AS jaccard FROM inter JOIN tn x ON x.id = a JOIN tn y ON y.id = b WHERE i / (x.n + y.n - i)::DOUBLE >= 0.3)"""
 
@@ -369,29 +369,6 @@ def pair_ngram(spark, sf_dir):
     return pairs.select("a", "b", rounded(text.jaccard(F.col("ga"), F.col("gb"))).alias("ngram"))
 
 
-def _recent(spark, sf_dir):
-    return ranking.window_scan(articles(spark, sf_dir), as_of())
-
-
-@query()
-def clusters(spark, sf_dir):
-    return similarity.clusters(_recent(spark, sf_dir)).select("article_id", "cluster_id")
-
-
-@query()
-def canonical(spark, sf_dir):
-    rows = _recent(spark, sf_dir)
-    members = rows.join(similarity.clusters(rows), "article_id")
-    return similarity.canonical(members).select("cluster_id", "canonical_id", "size", day("first_published").alias("first_published"), day("last_published").alias("last_published"), "sources")
-
-
-@query()
-def dup_decision(spark, sf_dir):
-    rows = articles(spark, sf_dir)
-    batch, store = rows.where("published_at >= timestamp'2024-01-30 12:00:00'"), rows.where("published_at < timestamp'2024-01-30 12:00:00'")
-    return similarity.duplicate_decisions(batch, store).select("article_id", "action", rounded(F.col("score")).alias("score"), "matched_id")
-
-
 # ---- engagement -------------------------------------------------------------------------------------------------
 _K = "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)"
 
@@ -482,12 +459,6 @@ def breaking_best(spark, sf_dir):
     return notify.breaking_best(_breaking(spark, sf_dir), as_of()).select("article_id", "breaking_score")
 
 
-@query()
-def breaking_cooldown(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    return notify.cooldown(e.select(F.col("user_id").alias("key"), "ts"))
-
-
 @query(f"""WITH {ARTICLE_SQL}{SCORED_SQL}, t AS (SELECT * FROM scored WHERE published_at >= {NOW} - INTERVAL 24 HOUR ORDER BY final_score DESC, article_id LIMIT 10),
 d AS (SELECT string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY final_score DESC, article_id) AS article_ids, concat(count(*), ' top stories today: ', arg_min(title, struct_pack(a := -final_score, b := article_id)), CASE WHEN count(*) > 1 THEN ' and more' ELSE '' END) AS x FROM t),
 c AS (SELECT string_agg(category_slug, ',' ORDER BY s DESC, i) AS categories FROM (SELECT category_slug, max(final_score) AS s, arg_min(article_id, struct_pack(a := -final_score, b := article_id)) AS i FROM t GROUP BY 1))
