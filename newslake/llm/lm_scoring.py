@@ -52,11 +52,12 @@ def _narrow(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(unpacked(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-_BATCH = "batch long, ids binary, held binary, sizes binary, tokens binary, words binary"
+_BATCH = "batch long, ids binary, held binary, sizes binary, tokens binary, words binary, counts binary"
 
 
 def _batches(docs: DataFrame) -> DataFrame:
-    """Documents by batches: tokens as indices of the batch's ascending distinct word hashes."""
+    """Documents by batches: tokens as ranks of the batch's distinct words by frequency (so that most are small numbers and
+    pack tightly); the words' hashes ascending, and their counts, which give the ranks."""
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -73,20 +74,29 @@ def _batches(docs: DataFrame) -> DataFrame:
                 inside[np.cumsum(sizes) - 1] = False
                 h[inside] = hashes_of([w for row in held for w in row], seen)
                 words, tokens = np.unique(h, return_inverse=True)
+                counts = np.bincount(tokens, minlength=len(words))
+                rank = np.empty(len(words), np.int64)
+                rank[_by_frequency(counts)] = np.arange(len(words))
                 rows = slice(first, first + len(held))
-                out = [number, packed(ids[rows]), packed(flags[rows].astype(np.uint8)), packed(sizes), _wide(tokens), _wide(np.diff(words, prepend=np.uint64(0)))]
+                out = [number, packed(ids[rows]), packed(flags[rows].astype(np.uint8)), packed(sizes), _wide(rank[tokens]), _wide(np.diff(words, prepend=np.uint64(0))), _wide(counts)]
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=[x.split()[0] for x in _BATCH.split(", ")])
 
     return docs.mapInArrow(gather, _BATCH)
 
 
+def _by_frequency(counts: np.ndarray) -> np.ndarray:
+    """Places of words, the most frequent first, ties in their order."""
+    return np.argsort(-counts, kind="stable")
+
+
 class _Batch:
     def __init__(self, row):
         flags = unpacked(row.held, np.uint8)
         self.ids = pd.arrays.IntegerArray(unpacked(row.ids, np.int64).copy(), flags & 2 > 0)
         self.held, self.sizes = flags & 1 > 0, unpacked(row.sizes, np.int64)
-        self.tokens, self.words = _narrow(row.tokens).astype(np.uint32), np.cumsum(_narrow(row.words), dtype=np.uint64)
+        self.words = np.cumsum(_narrow(row.words), dtype=np.uint64)
+        self.tokens = _by_frequency(_narrow(row.counts).astype(np.int64)).astype(np.uint32)[_narrow(row.tokens)]
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
     def shard_bounds(self, ways: int) -> list[int]:
@@ -133,7 +143,8 @@ _ANSWER = "batch long, kind long, shard long, x binary, y binary, total long, ty
 
 
 def _word_answers(messages: DataFrame, ways: int) -> DataFrame:
-    """By batch and shard: dense ids and training counts of the batch's words; kind -1 has a shard's totals."""
+    """By batch and shard: places (ascending, as differences) of the batch's words among the shard's, and their training
+    counts; kind -1 has a shard's totals."""
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(_narrow(x), dtype=np.uint64) for x in group.x]
@@ -143,7 +154,7 @@ def _word_answers(messages: DataFrame, ways: int) -> DataFrame:
         shard, at, out = int(group.shard.iloc[0]), 0, []
         for batch, k in zip(group.batch, keys, strict=True):
             mine = place[at : at + len(k)]
-            out.append((batch, 0, shard, _wide(mine * ways + shard), _wide(total[mine]), 0, 0))
+            out.append((batch, 0, shard, _wide(np.diff(mine, prepend=0)), _wide(total[mine]), 0, 0))
             at += len(k)
         out.append((-1, -1, shard, b"", b"", int(total.sum()), int(np.count_nonzero(total))))
         return _rows(out, _ANSWER)
@@ -151,10 +162,11 @@ def _word_answers(messages: DataFrame, ways: int) -> DataFrame:
     return messages.groupBy("shard").applyInPandas(answer, _ANSWER)
 
 
-def _known(answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of a batch's words in their order."""
+def _known(answers: pd.DataFrame, ways: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dense ids (place * ways + shard) and counts of a batch's words in their order."""
     rows = answers[answers.kind == 0].sort_values("shard")
-    return np.concatenate([_narrow(x) for x in rows.x]), np.concatenate([_narrow(x) for x in rows.y]).astype(np.int64)
+    ids = [np.cumsum(_narrow(x), dtype=np.uint64) * np.uint64(ways) + np.uint64(s) for x, s in zip(rows.x, rows.shard, strict=True)]
+    return np.concatenate(ids), np.concatenate([_narrow(x) for x in rows.y]).astype(np.int64)
 
 
 def _shard_of(v: np.ndarray, w: np.ndarray, ways: int, spread: int) -> np.ndarray:
@@ -164,7 +176,7 @@ def _shard_of(v: np.ndarray, w: np.ndarray, ways: int, spread: int) -> np.ndarra
 def _pair_messages(batches: DataFrame, answers: DataFrame, ways: int, model: Model) -> DataFrame:
     def send(batch: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         b = _Batch(batch.iloc[0])
-        ids, counts = _known(words)
+        ids, counts = _known(words, ways)
         pairs, _, n = b.pairs()
         v, w = (pairs // np.uint64(len(b.words))).astype(np.int64), (pairs % np.uint64(len(b.words))).astype(np.int64)
         order, cut = _dealt(ids[v], ids[w], ways, model)
@@ -232,7 +244,7 @@ def lm_scores(docs: DataFrame, held_out: Column, model: Model = Model(), id_col:
 
     def score(batch: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         b = _Batch(batch.iloc[0])
-        ids, counts = _known(found)
+        ids, counts = _known(found, ways)
         pairs, place, _ = b.pairs()
         v, w = (pairs // np.uint64(len(b.words))).astype(np.int64), (pairs % np.uint64(len(b.words))).astype(np.int64)
         order, _ = _dealt(ids[v], ids[w], ways, model)
