@@ -35,10 +35,10 @@ def token_owner(events: DataFrame) -> DataFrame:
 
 def recipients(users: DataFrame, as_of: Column, kind: str = "digest", category: str | None = None) -> DataFrame:
     """Active users with notifications on and a token; digests within an hour of their preferred hour (no midnight wrap,
-    an unparsable hour passes), topic alerts for their category."""
+    an unparsable hour passes), topic alerts where `categories` has the category."""
     df = users.where("is_active and notifications_enabled and size(device_tokens) > 0")
     if kind == "topic":
-        return df.where(F.col("category") == category)
+        return df.where(F.array_contains("categories", category))
     hour = F.expr("try_cast(split(notification_time, ':')[0] as int)")
     return df.where(hour.isNull() | (F.abs(hour - F.hour(as_of)) <= 1)) if kind == "digest" else df
 
@@ -55,17 +55,25 @@ def without_tokens(users: DataFrame, invalid: DataFrame) -> DataFrame:
     return users.join(lists, "user_id", "left").withColumn("device_tokens", F.coalesce("_t", empty)).drop("_t")
 
 
-def send_waves(tokens: DataFrame, size: int = 500, buckets: int = 64) -> DataFrame:
-    """(token, wave): waves of at most `size` tokens in token order; ranks are offsets of hashed ranges plus the rank inside
-    one, so no window spans the table."""
+def category_tokens(users: DataFrame) -> DataFrame:
+    """(category, token) of users by each of their categories."""
+    rows = users.select(F.explode("categories").alias("category"), "device_tokens")
+    return rows.select("category", F.explode("device_tokens").alias("token")).distinct()
+
+
+def send_waves(tokens: DataFrame, size: int = 500, per_bucket: int = 100_000) -> DataFrame:
+    """(token, wave): waves of at most `size` tokens, all but the last full. Tokens are dealt by hash into buckets of about
+    `per_bucket`; a rank is a bucket's offset and the rank by token inside it, so no window spans the table."""
+    buckets = max(1, -(-tokens.count() // per_bucket))
     b = tokens.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
     n = b.groupBy("bucket").agg(F.count("*").alias("n"))
+    # one row a bucket
     base = n.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = b.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("token")))
-    return ranked.join(F.broadcast(base.select("bucket", "base")), "bucket").select("token", F.floor((F.col("base") + F.col("k") - 1) / size).alias("wave"))
+    return ranked.join(base.select("bucket", "base"), "bucket").select("token", F.floor((F.col("base") + F.col("k") - 1) / size).alias("wave"))
 
 
 def topic_audience(articles: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
     """Users by article whose category they follow; counted, not listed."""
-    n = recipients(users, as_of, "all").groupBy(F.col("category").alias("category_slug")).agg(F.count("*").alias("audience"))
+    n = recipients(users, as_of, "all").select(F.explode(F.array_distinct("categories")).alias("category_slug")).groupBy("category_slug").agg(F.count("*").alias("audience"))
     return articles.select("article_id", "category_slug").join(n, "category_slug", "left").select("article_id", F.coalesce("audience", F.lit(0)).alias("audience"))

@@ -217,21 +217,18 @@ def with_clusters(df: DataFrame, group: DataFrame) -> DataFrame:
     return df.join(new, "article_id", "left").withColumn("cluster_id", F.coalesce("_new", old)).drop("_new")
 
 
-def duplicate_decisions(batch: DataFrame, store: DataFrame, rules: config.Clustering = config.Clustering()) -> DataFrame:
-    """(article_id, action, score, matched_id): skip for a stored URL; else by the best combined similarity to a stored
-    article whose bucket the new title probes: title cosine, or 0.7 of it and 0.3 of the content's where it is at most
-    0.9 and both contents are long. Terms weigh by the stored articles."""
+def _compared(batch: DataFrame, store: DataFrame, rules: config.Clustering) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """batch with url_key, body and x (one for each different title and body); matches of titles (title, store_id, score) and
+    of texts (x, store_id, score); and store titles (title, same_id). Each stored title or text stands as its smallest id,
+    so that copies are compared once and not listed."""
     key = lambda df: df.withColumn("url_key", urls.url_key(F.col("source_url"), params=())).withColumn("body", F.coalesce("content", F.lit("")))
     batch, store = key(batch), key(store)
-    seen = store.groupBy("url_key").agg(F.min("article_id").alias("url_id"))
     titles = lambda df: df.groupBy("title").agg(F.min("article_id").alias("first")).withColumn("id", F.col("title"))
     a, b = probed(titles(batch))[0], probed(titles(store))[1]
     pairs = a.join(b, "bucket").where((F.col("a") != F.col("b")) & (text.jaccard(F.col("ta"), F.col("tb")) >= rules.min_jaccard)).select("a", "b").distinct()
     vectors = title_vectors(batch.select("title").union(store.select("title")).distinct().selectExpr("title article_id", "title"))
     scored = reliable(cosine(pairs, vectors, "title_cosine"))
-    best = F.max(F.struct("score", (-F.col("store_id")).alias("i")))
-    sure = scored.where("title_cosine > 0.9").join(titles(store).selectExpr("title b", "first store_id"), "b").withColumn("score", F.col("title_cosine"))
-    sure = sure.groupBy(F.col("a").alias("title")).agg(best.alias("m1"))
+    sure = scored.where("title_cosine > 0.9").join(titles(store).selectExpr("title b", "first store_id"), "b").selectExpr("a title", "store_id", "title_cosine score")
     # the rest is decided by content, once for each different text of a title
     texts = lambda df, side: df.groupBy("title", "body").agg(F.min("article_id").alias("id")).withColumn("x", F.concat(F.lit(side), F.col("id").cast("string")))
     new, old = texts(batch, "n"), texts(store, "s")
@@ -240,15 +237,48 @@ def duplicate_decisions(batch: DataFrame, store: DataFrame, rules: config.Cluste
     need = members.where("long").select(F.explode(F.array("a", "b")).alias("article_id")).distinct()
     docs = new.union(old).selectExpr("x article_id", "body content").join(need, "article_id", "left_semi")
     compared = cosine(members.where("long"), content_vectors(docs, idf_table(store), store.agg(F.count("*").alias("docs"))), "content_cosine")
-    compared = compared.select("a", "store_id", (0.7 * F.col("title_cosine") + 0.3 * F.col("content_cosine")).alias("score"))
-    rest = compared.union(members.where("not long").select("a", "store_id", "title_cosine")).groupBy(F.col("a").alias("x")).agg(best.alias("m2"))
+    compared = compared.select(F.col("a").alias("x"), "store_id", (0.7 * F.col("title_cosine") + 0.3 * F.col("content_cosine")).alias("score"))
+    rest = compared.union(members.where("not long").selectExpr("a x", "store_id", "title_cosine"))
     same = titles(store).where(F.size(text.tokens(F.col("title"))) > 0).select("title", F.col("first").alias("same_id"))
-    mine = batch.join(new.select("title", "body", "x").where("title is not null"), ["title", "body"], "left")
-    mine = mine.join(sure, "title", "left").join(rest, "x", "left").join(same, "title", "left").join(seen, "url_key", "left").withColumn("m", F.greatest("m1", "m2"))
+    rows = batch.join(new.select("title", "body", "x").where("title is not null"), ["title", "body"], "left")
+    seen = store.groupBy("url_key").agg(F.min("article_id").alias("url_id"))
+    return rows.join(same, "title", "left").join(seen, "url_key", "left"), sure, rest, store
+
+
+def duplicate_decisions(batch: DataFrame, store: DataFrame, rules: config.Clustering = config.Clustering()) -> DataFrame:
+    """(article_id, action, score, matched_id, match_type): skip for a stored URL; else by the best combined similarity to a
+    stored article whose bucket the new title probes: title cosine, or 0.7 of it and 0.3 of the content's where it is at
+    most 0.9 and both contents are long. Terms weigh by the stored articles. A near match joins its cluster, or makes one
+    where the store has no cluster_id for it."""
+    rows, sure, rest, store = _compared(batch, store, rules)
+    best = F.max(F.struct("score", (-F.col("store_id")).alias("i")))
+    rows = rows.join(sure.groupBy("title").agg(best.alias("m1")), "title", "left").join(rest.groupBy("x").agg(best.alias("m2")), "x", "left").withColumn("m", F.greatest("m1", "m2"))
     score = F.when(F.col("url_id").isNotNull() | F.col("same_id").isNotNull(), 1.0).otherwise(F.coalesce(F.col("m.score"), F.lit(0.0)))
-    matched = F.coalesce("url_id", "same_id", -F.col("m.i"))
-    action = F.when(score >= rules.exact, "skip").when(score >= rules.same_story, "add_to_cluster").otherwise("store_new")
-    return mine.select("article_id", action.alias("action"), score.alias("score"), F.when(action != "store_new", matched).alias("matched_id"))
+    out = rows.select("article_id", score.alias("score"), F.coalesce("url_id", "same_id", -F.col("m.i")).alias("matched_id"))
+    grouped = store.where("cluster_id is not null").selectExpr("article_id matched_id", "cluster_id") if "cluster_id" in store.columns else store.selectExpr("article_id matched_id", "'' cluster_id").where("false")
+    near = F.when(F.col("cluster_id").isNotNull(), "add_to_cluster").otherwise("create_cluster")
+    action = F.when(F.col("score") >= rules.exact, "skip").when(F.col("score") >= rules.same_story, near).otherwise("store_new")
+    out = out.join(grouped, "matched_id", "left").withColumn("action", action)
+    kind = match_type(F.col("score"), rules)
+    return out.select("article_id", "action", "score", F.when(kind.isNotNull(), F.col("matched_id")).alias("matched_id"), kind.alias("match_type"))
+
+
+def match_type(score: Column, rules: config.Clustering = config.Clustering()) -> Column:
+    """exact, near or related; null below."""
+    return F.when(score >= rules.exact, "exact").when(score >= rules.same_story, "near").when(score >= rules.related, "related")
+
+
+def duplicate_matches(batch: DataFrame, store: DataFrame, rules: config.Clustering = config.Clustering()) -> DataFrame:
+    """(article_id, rank, matched_id, score, match_type): each new article's matches from `related` on, the best first, at most
+    `max_comparisons` (the limit is the operator's); a stored URL is the one match. Each stored title or text is listed once."""
+    rows, sure, rest, _ = _compared(batch, store, rules)
+    by_url = rows.where("url_id is not null").selectExpr("article_id", "url_id store_id", "1.0D score")
+    open_ = rows.where("url_id is null")
+    found = by_url.union(open_.where("same_id is not null").selectExpr("article_id", "same_id", "1.0D"))
+    found = found.union(open_.join(sure, "title").select("article_id", "store_id", "score")).union(open_.join(rest, "x").select("article_id", "store_id", "score"))
+    found = found.where(F.col("score") >= rules.related).groupBy("article_id", "store_id").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("score"), "store_id"))).where(F.col("rank") <= rules.max_comparisons)
+    return ranked.select("article_id", "rank", F.col("store_id").alias("matched_id"), "score", match_type(F.col("score"), rules).alias("match_type"))
 
 
 def merged_sources(members: DataFrame) -> DataFrame:

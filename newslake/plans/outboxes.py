@@ -52,7 +52,7 @@ def breaking_reasons(spark, sf_dir):
     return notify.breaking_scores(_breaking(spark, sf_dir), as_of()).select("article_id", "breaking_score", F.array_join("reasons", "; ").alias("reasons"))
 
 
-_AUDIENCE = ", aud AS (SELECT category, t1 AS token FROM app_user WHERE is_active AND notifications_enabled UNION SELECT category, t2 FROM app_user WHERE is_active AND notifications_enabled)"
+_AUDIENCE = ", aud AS (SELECT category, t1 AS token FROM app_user WHERE is_active AND notifications_enabled UNION SELECT category, t2 FROM app_user WHERE is_active AND notifications_enabled UNION SELECT second_category, t1 FROM app_user WHERE is_active AND notifications_enabled AND second_category IS NOT NULL UNION SELECT second_category, t2 FROM app_user WHERE is_active AND notifications_enabled AND second_category IS NOT NULL)"
 
 
 @query(f"{_REASONS}, {USERS_SQL}{_AUDIENCE} SELECT p.*, (SELECT count(DISTINCT token) FROM aud) AS n_tokens FROM ({_payload_sql('br WHERE breaking_score >= 85', 'breaking_news', 'high')}) p")
@@ -65,7 +65,7 @@ def breaking_outbox(spark, sf_dir):
 
 @query(f"WITH {ARTICLE_SQL}{FULL_SQL}, {USERS_SQL}{_AUDIENCE}, n AS (SELECT category AS c, count(*) AS n_tokens FROM aud GROUP BY 1) SELECT p.*, n_tokens FROM ({_payload_sql('full_article WHERE score >= 70', 'topic_alert', 'normal')}) p JOIN n ON n.c = p.category")
 def topic_outbox(spark, sf_dir):
-    tokens = engagement.recipients(users(spark, sf_dir), as_of(), "all").select("category", F.explode("device_tokens").alias("token"))
+    tokens = engagement.category_tokens(engagement.recipients(users(spark, sf_dir), as_of(), "all"))
     out = notify.addressed(notify.topic_outbox(full_articles(spark, sf_dir, bare_articles(spark, sf_dir)), as_of()), tokens)
     return _payload_out(out).join(out.select("article_id", "n_tokens"), "article_id")
 
@@ -132,6 +132,11 @@ def retry_apply(spark, sf_dir):
     return notify.retried(failed, _results(spark, sf_dir)).withColumn("device_tokens", F.array_join("device_tokens", ",")).drop("retried")
 
 
+@query(f"WITH {USERS_SQL} SELECT user_id FROM app_user WHERE is_active AND notifications_enabled AND (category = 'fr' OR second_category = 'fr')")
+def topic_recipients(spark, sf_dir):
+    return engagement.recipients(users(spark, sf_dir), as_of(), "topic", "fr").select("user_id")
+
+
 @query(f"WITH {USERS_SQL} SELECT user_id, t1 AS token FROM app_user WHERE user_id = 5 AND notifications_enabled UNION SELECT user_id, t2 FROM app_user WHERE user_id = 5 AND notifications_enabled")
 def sent_to_user(spark, sf_dir):
     return notify.sent_to_user(users(spark, sf_dir), 5)

@@ -127,6 +127,13 @@ def category_feed(spark, sf_dir):
     return rows.select("article_id", day("published_at").alias("published"))
 
 
+@query(f"WITH {ARTICLE_SQL}{FULL_SQL} SELECT article_id FROM full_article WHERE category_slug = 'en' AND published_at >= {NOW} - INTERVAL 72 HOUR AND published_at <= {NOW} - INTERVAL 2 HOUR AND NOT is_featured AND contains(lower(title), 'th')")
+def filtered_feed(spark, sf_dir):
+    at = lambda h: as_of() - F.expr(f"INTERVAL {h} HOURS")
+    rows = full_articles(spark, sf_dir, bare_articles(spark, sf_dir))
+    return feeds.article_filter(rows, "en", at(72), at(2), False, "TH").select("article_id")
+
+
 @query(f"WITH {ARTICLE_SQL} SELECT article_id, title FROM article WHERE published_at >= {NOW} - INTERVAL 24 HOUR")
 def today_feed(spark, sf_dir):
     return feeds.today_feed(bare_articles(spark, sf_dir), as_of()).select("article_id", "title")
@@ -428,7 +435,7 @@ def distinct_tokens(spark, sf_dir):
     return engagement.distinct_tokens(engagement.recipients(users(spark, sf_dir), as_of()))
 
 
-@query(f"WITH {USERS_SQL}, {ARTICLE_SQL}, n AS (SELECT category, count(*) AS n FROM app_user WHERE is_active AND notifications_enabled GROUP BY 1) SELECT article_id, coalesce(n, 0) AS audience FROM article LEFT JOIN n ON category = category_slug")
+@query(f"WITH {USERS_SQL}, {ARTICLE_SQL}, uc AS (SELECT user_id, category FROM app_user WHERE is_active AND notifications_enabled UNION ALL SELECT user_id, second_category FROM app_user WHERE is_active AND notifications_enabled AND second_category IS NOT NULL), n AS (SELECT category, count(*) AS n FROM uc GROUP BY 1) SELECT article_id, coalesce(n, 0) AS audience FROM article LEFT JOIN n ON category = category_slug")
 def topic_audience(spark, sf_dir):
     return engagement.topic_audience(bare_articles(spark, sf_dir), users(spark, sf_dir), as_of())
 
@@ -524,6 +531,11 @@ def rate_trailing(spark, sf_dir):
     return runs.trailing_rate(table(spark, sf_dir, "events"), 3600).select("event_id", "rate")
 
 
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS rate FROM events")
+def rate_last_minute(spark, sf_dir):
+    return runs.trailing_rate(table(spark, sf_dir, "events")).select("event_id", "rate")
+
+
 @query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def daily_quota(spark, sf_dir):
     return runs.daily(table(spark, sf_dir, "events")).withColumn("day", F.col("day").cast("string"))

@@ -121,11 +121,36 @@ top AS (SELECT a, max(s) AS s FROM sc GROUP BY 1), uk AS (SELECT {_CLUSTER_KEY}
 f AS (SELECT batch.article_id, CASE WHEN uk.id IS NOT NULL OR sm.id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(top.s, 0.0::DOUBLE) END AS s FROM batch LEFT JOIN uk ON uk.u = {_CLUSTER_KEY} LEFT JOIN sm USING (title) LEFT JOIN top ON top.a = batch.article_id)"""
 
 
-@query(f"{_DECIDE} SELECT article_id, CASE WHEN s >= 0.95 THEN 'skip' WHEN s >= 0.8 THEN 'add_to_cluster' ELSE 'store_new' END AS action, {sql_rounded('s')} AS score FROM f")
+@query(f"{_DECIDE} SELECT article_id, CASE WHEN s >= 0.95 THEN 'skip' WHEN s >= 0.8 THEN 'near' ELSE 'store_new' END AS action, {sql_rounded('s')} AS score, CASE WHEN s >= 0.95 THEN 'exact' WHEN s >= 0.8 THEN 'near' WHEN s >= 0.6 THEN 'related' END AS match_type FROM f")
 def dup_decision(spark, sf_dir):
+    """Whether a near match has a cluster depends on which of equal matches stands for it, so both actions read near here;
+    cluster_decisions and the tests tell them apart."""
+    out = similarity.duplicate_decisions(*_parts(spark, sf_dir))
+    return out.select("article_id", F.regexp_replace("action", "add_to_cluster|create_cluster", "near").alias("action"), rounded(F.col("score")).alias("score"), "match_type")
+
+
+def _parts(spark, sf_dir):
     rows = articles(spark, sf_dir)
-    batch, store = rows.where("published_at >= timestamp'2024-01-30 12:00:00'"), rows.where("published_at < timestamp'2024-01-30 12:00:00'")
-    return similarity.duplicate_decisions(batch, store).select("article_id", "action", rounded(F.col("score")).alias("score"))
+    return rows.where("published_at >= timestamp'2024-01-30 12:00:00'"), rows.where("published_at < timestamp'2024-01-30 12:00:00'")
+
+
+@query(f"{_DECIDE} SELECT action, count(*) AS n FROM (SELECT CASE WHEN s >= 0.95 THEN 'skip' WHEN s >= 0.8 THEN 'add_to_cluster' ELSE 'store_new' END AS action FROM f) GROUP BY 1")
+def cluster_decisions(spark, sf_dir):
+    """Every stored article has a cluster here, so near matches join one."""
+    batch, store = _parts(spark, sf_dir)
+    return similarity.duplicate_decisions(batch, store.withColumn("cluster_id", F.lit("c"))).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_DECIDE}, ot AS (SELECT title, content, min(article_id) AS id FROM article GROUP BY 1, 2), oid AS (SELECT title, min(article_id) AS id FROM article GROUP BY 1),
+al AS (SELECT x.article_id, CASE WHEN uk.id IS NOT NULL THEN uk.id END AS url_id, x.title FROM batch x LEFT JOIN uk ON uk.u = {_CLUSTER_KEY}),
+mt AS (SELECT article_id, url_id AS m, 1.0::DOUBLE AS s FROM al WHERE url_id IS NOT NULL UNION ALL SELECT article_id, sm.id, 1.0 FROM al JOIN sm USING (title) WHERE url_id IS NULL
+  UNION ALL SELECT al.article_id, oid.id, cosine FROM al JOIN cs ON cs.a = al.title JOIN oid ON oid.title = cs.b WHERE url_id IS NULL AND cosine > 0.9
+  UNION ALL SELECT al.article_id, sc.b, sc.s FROM al JOIN sc ON sc.a = al.article_id JOIN ot ON ot.id = sc.b JOIN cs ON cs.a = al.title AND cs.b = ot.title WHERE url_id IS NULL AND cosine <= 0.9),
+md AS (SELECT article_id, m, max(s) AS s FROM mt WHERE s >= 0.6 GROUP BY 1, 2)
+SELECT article_id, m AS matched_id, {sql_rounded('s')} AS score, CASE WHEN s >= 0.95 THEN 'exact' WHEN s >= 0.8 THEN 'near' ELSE 'related' END AS match_type FROM md""")
+def dup_matches(spark, sf_dir):
+    out = similarity.duplicate_matches(*_parts(spark, sf_dir))
+    return out.select("article_id", "matched_id", rounded(F.col("score")).alias("score"), "match_type")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id AS key, ts FROM events WHERE event_type = 'purchase'),

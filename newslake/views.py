@@ -67,11 +67,13 @@ LANGS = ("en", "fr", "de", "es")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users from customers: one category by key, a notification hour, and the tokens their sign-ups registered."""
+    """Users from customers: a category by key, a second for every fifth, a notification hour, and the tokens their sign-ups registered."""
     c = table(spark, sf_dir, "customer")
+    lang = lambda k: F.element_at(F.array(*map(F.lit, LANGS)), (k % 4 + 1).cast("int"))
+    more = F.when(F.col("c_custkey") % 5 == 0, F.array(lang(F.col("c_custkey") + 1))).otherwise(F.expr("cast(array() as array<string>)"))
     return c.select(
         F.col("c_custkey").alias("user_id"),
-        F.element_at(F.array(*map(F.lit, LANGS)), (F.col("c_custkey") % 4 + 1).cast("int")).alias("category"),
+        F.concat(F.array(lang(F.col("c_custkey"))), more).alias("categories"), lang(F.col("c_custkey")).alias("category"),
         F.concat((F.col("c_custkey") % 24).cast("string"), F.lit(":00")).alias("notification_time"),
         (F.col("c_custkey") % 3 != 0).alias("notifications_enabled"),
         (F.col("c_acctbal") > 0).alias("is_active"),
@@ -81,6 +83,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 USERS_SQL = """app_user AS (
   SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS category,
+         CASE WHEN c_custkey % 5 = 0 THEN CASE c_custkey % 4 WHEN 3 THEN 'en' WHEN 0 THEN 'fr' WHEN 1 THEN 'de' ELSE 'es' END END AS second_category,
          c_custkey % 24 AS pref_hour, c_custkey % 3 <> 0 AS notifications_enabled, c_acctbal > 0 AS is_active,
          't' || CAST(c_custkey % 997 AS VARCHAR) AS t1, 't' || CAST(c_custkey % 991 AS VARCHAR) AS t2
   FROM customer)"""

@@ -1,13 +1,15 @@
 """Landed feeds, item lists, repositories and pages to raw articles."""
 
 import datetime as dt
+import hashlib
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from newslake.operators import ingest
-from newslake.sources import landing, page_text
+from newslake import config
+from newslake.operators import feeds, ingest, similarity
+from newslake.sources import landing, page_text, sinks
 
 NOW = dt.datetime(2024, 1, 31)
 
@@ -106,3 +108,44 @@ def test_union_of_sources_and_ingest(spark):
     totals = {r.source_name: (r.fetched, r.added, r.duplicates, r.errors) for r in ingest.totals(raw, out).collect()}
     assert totals == {"Blog": (3, 1, 1, 0), "Trending": (2, 0, 1, 1), None: (5, 1, 2, 1)}
     assert re.match("[0-9a-f]{32}$", ingest.added(out).first().fingerprint)
+
+
+def test_daily_feed_log_and_expiry(spark, tmp_path):
+    top = spark.createDataFrame([(1, 0.5), (2, 0.4)], "article_id long, final_score double")
+    feed = str(tmp_path / "feed")
+    for day, rows in (("2024-01-30", top), ("2024-01-31", top), ("2024-01-31", top.where("article_id = 2"))):
+        sinks.write_daily_feed(rows, F.lit(day), feed)
+    got = spark.read.parquet(feed).select("article_id", F.col("feed_date").cast("string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "2024-01-30"), (2, "2024-01-30"), (2, "2024-01-31")]
+    log = str(tmp_path / "log")
+    sinks.append_log(top, log)
+    sinks.append_log(top, log)
+    assert spark.read.parquet(log).count() == 4
+    rows = spark.createDataFrame([(1, NOW), (2, NOW - dt.timedelta(days=31)), (3, None)], "article_id long, published_at timestamp")
+    cut = now() - F.expr("INTERVAL 30 DAYS")
+    assert [r.article_id for r in sinks.expire(rows, cut).collect()] == [1]
+    assert tuple(feeds.deleted_before(rows, cut).first()) == (1, 2)
+
+
+def test_clusters_of_many_nodes_hash_in_parts(spark):
+    group = spark.range(50).selectExpr("id node", "0L component").union(spark.range(60, 63).selectExpr("id", "60L"))
+    ids = {r.component: r.cluster_id for r in similarity.cluster_ids(group, 10).collect()}
+    assert ids[60] == hashlib.md5(b"60|61|62").hexdigest()[:16]
+    assert ids[0] != hashlib.md5("|".join(sorted(map(str, range(50)))).encode()).hexdigest()[:16] and len(ids[0]) == 16
+    again = {r.component: r.cluster_id for r in similarity.cluster_ids(group.repartition(7), 10).collect()}
+    assert again == ids and similarity.cluster_ids(group).where("component = 0").first().cluster_id == hashlib.md5("|".join(sorted(map(str, range(50)))).encode()).hexdigest()[:16]
+
+
+def test_near_match_makes_or_joins_a_cluster(spark):
+    body = "word " * 60
+    rows = [(1, "Google releases quantum chip today", body, "http://a/1", "c1"), (2, "Google releases quantum chip now again", body, "http://a/2", None)]
+    store = spark.createDataFrame(rows, "article_id long, title string, content string, source_url string, cluster_id string")
+    new = [(9, "Google releases quantum chip today ok", body, "http://a/9"), (8, "Google releases quantum chip now", body, "http://a/8"), (7, "Unlike anything", body, "http://a/7"), (6, "x", "y", "http://a/1/")]
+    batch = spark.createDataFrame(new, "article_id long, title string, content string, source_url string")
+    got = {r.article_id: (r.action, r.matched_id) for r in similarity.duplicate_decisions(batch, store).collect()}
+    assert got[6] == ("skip", 1) and got[7] == ("store_new", None)
+    assert {got[9][0], got[8][0]} <= {"skip", "add_to_cluster", "create_cluster"}
+    near = {a: m for a, (action, m) in got.items() if action.endswith("cluster")}
+    assert all(got[a][0] == ("add_to_cluster" if m == 1 else "create_cluster") for a, m in near.items())
+    matches = similarity.duplicate_matches(batch, store, config.Clustering(max_comparisons=1)).collect()
+    assert all(r["rank"] == 1 for r in matches) and len({r.article_id for r in matches}) == len(matches)
