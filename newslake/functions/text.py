@@ -173,19 +173,34 @@ def keyword_fingerprint(docs, content: str = "content", id_col: str = "article_i
     return docs.select(id_col).join(top, id_col, "left").select(id_col, F.substring(F.sha2(F.coalesce(joined, F.lit("")), 256), 1, 32).alias("keyword_fp"))
 
 
-def tech_relevance(title: Column, summary: Column, content: Column, source: Column, extra_high=()) -> Column:
-    """struct<score, is_tech, keywords>: hits of each keyword class by weight, less those against, 5 more for a tech source,
-    over 30 and between 0 and 1; tech from 0.15 on; keywords: the first ten distinct ones that were hit for it."""
-    x, name = F.lower(F.concat_ws(" ", title, summary, content)), F.lower(source)
-    high = (*config.TECH_HIGH, *extra_high)
+def bound(x: Column, f) -> Column:
+    """f(x) with x computed once: the transform of one element binds it, where a filter would else build it for each use."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def tech_score(title: Column, summary: Column, content: Column, source: Column, extra_high=()) -> Column:
+    """Hits of each keyword class by weight, less those against, 5 more for a tech source; over 30, between 0 and 1."""
+    name = F.lower(source)
     trusted = F.lit(False)
     for s in config.TECH_SOURCES:
         trusted = trusted | F.contains(name, F.lit(s))
-    raw = weighted_hits(x, dict.fromkeys(high, 3.0)) + weighted_hits(x, dict.fromkeys(config.TECH_MEDIUM, 2.0)) + weighted_hits(x, dict.fromkeys(config.TECH_LOW, 1.0))
-    raw = raw - weighted_hits(x, dict.fromkeys(config.NON_TECH, 2.0)) + F.when(trusted, 5.0).otherwise(0.0)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw / 30))
-    found = F.slice(F.array_distinct(keyword_hits(x, (*high, *config.TECH_MEDIUM, *config.TECH_LOW))), 1, 10)
-    return F.struct(score.alias("score"), (score >= 0.15).alias("is_tech"), found.alias("keywords"))
+
+    def points(x: Column) -> Column:
+        plus = weighted_hits(x, dict.fromkeys((*config.TECH_HIGH, *extra_high), 3.0)) + weighted_hits(x, dict.fromkeys(config.TECH_MEDIUM, 2.0)) + weighted_hits(x, dict.fromkeys(config.TECH_LOW, 1.0))
+        return plus - weighted_hits(x, dict.fromkeys(config.NON_TECH, 2.0))
+
+    raw = bound(F.lower(F.concat_ws(" ", title, summary, content)), points) + F.when(trusted, 5.0).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw / 30))
+
+
+def is_tech(score: Column) -> Column:
+    return score >= 0.15
+
+
+def tech_keywords(title: Column, summary: Column, content: Column, extra_high=()) -> Column:
+    """The first ten distinct keywords that count for tech."""
+    keywords = tuple(dict.fromkeys((*config.TECH_HIGH, *extra_high, *config.TECH_MEDIUM, *config.TECH_LOW)))
+    return F.slice(bound(F.lower(F.concat_ws(" ", title, summary, content)), lambda x: keyword_hits(x, keywords)), 1, 10)
 
 
 def why_it_matters(content: Column) -> Column:

@@ -28,7 +28,7 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 def tech_only(raw: DataFrame, extra_high=()) -> DataFrame:
     """Rows that the tech filter lets through; sources of ALL_TECH pass unread."""
     name = F.concat_ws(" ", "source_id", "source_name")
-    tech = text.tech_relevance(F.col("title"), F.col("summary"), F.col("content"), name, extra_high)["is_tech"]
+    tech = text.is_tech(text.tech_score(F.col("title"), F.col("summary"), F.col("content"), name, extra_high))
     return raw.where(F.coalesce(F.col("source_id").isin(*ALL_TECH), F.lit(False)) | F.coalesce(tech, F.lit(False)))
 
 
@@ -57,7 +57,8 @@ def ingest(raw: DataFrame, store: DataFrame, as_of: Column, extra_high=()) -> Da
 
     store: article_id, title, content, source_url of the stored articles of the horizon.
     """
-    rows = clean_rows(tech_only(raw, extra_high), as_of)
+    # read several times below, and stored in the end
+    rows = reliable(clean_rows(tech_only(raw, extra_high), as_of))
     broken = (F.coalesce("title", F.lit("")) == "") | (F.coalesce("source_url", F.lit("")) == "")
     order = lambda df, k: df.withColumn("article_id", F.struct(F.lit(k).alias("batch"), F.col("article_id").alias("id")))
     judged = reliable(order(keyed(rows.where(~broken)), 1))

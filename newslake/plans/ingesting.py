@@ -132,8 +132,8 @@ def stored_flags(spark, sf_dir):
 
 @query(f"WITH {ARTICLE_SQL}, h AS (SELECT *, lower(concat_ws(' ', title, '', content)) AS low FROM article) SELECT article_id, array_to_string(list_filter({_LIST((*config.TECH_HIGH, *EXTRA, *config.TECH_MEDIUM, *config.TECH_LOW))}, lambda k: contains(low, k))[1:10], ',') AS keywords FROM h")
 def tech_keywords(spark, sf_dir):
-    x = text.tech_relevance(F.col("title"), F.lit(""), F.col("content"), F.col("source_name"), EXTRA)
-    return bare_articles(spark, sf_dir).select("article_id", F.array_join(x["keywords"], ",").alias("keywords"))
+    x = text.tech_keywords(F.col("title"), F.lit(""), F.col("content"), EXTRA)
+    return bare_articles(spark, sf_dir).select("article_id", F.array_join(x, ",").alias("keywords"))
 
 
 @query(f"WITH {ARTICLE_SQL}, t AS (SELECT article_id, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS t, regexp_replace({_HOST}, '^(.*?)www\\.', '\\1') AS h FROM article) SELECT article_id, substring(sha256(concat(t, '|', h)), 1, 32) AS fp FROM t")

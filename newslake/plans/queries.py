@@ -184,8 +184,8 @@ def category_refresh(spark, sf_dir):
 s AS (SELECT article_id, CASE WHEN {' OR '.join(f'contains(lower(source_name), {quoted(x)})' for x in config.TECH_SOURCES)} THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS trust, {sql_hits('x', {**dict.fromkeys(config.TECH_HIGH, 3), **{'tion': 3}})} AS high, {sql_hits('x', dict.fromkeys(config.TECH_MEDIUM, 2))} AS medium, {sql_hits('x', dict.fromkeys(config.TECH_LOW, 1))} AS low, {sql_hits('x', dict.fromkeys(config.NON_TECH, 2))} AS non FROM t)
 SELECT article_id, {sql_rounded('greatest(0.0::DOUBLE, least(1.0::DOUBLE, (high + medium + low - non + trust) / 30))')} AS score, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (high + medium + low - non + trust) / 30)) >= 0.15 AS is_tech FROM s""")
 def tech_filter(spark, sf_dir):
-    x = text.tech_relevance(F.col("title"), F.lit(""), F.col("content"), F.col("source_name"), ("tion",))
-    return bare_articles(spark, sf_dir).select("article_id", x.alias("x")).select("article_id", rounded(F.col("x.score")).alias("score"), "x.is_tech")
+    x = text.tech_score(F.col("title"), F.lit(""), F.col("content"), F.col("source_name"), ("tion",))
+    return bare_articles(spark, sf_dir).select("article_id", x.alias("x")).select("article_id", rounded(F.col("x")).alias("score"), text.is_tech(F.col("x")).alias("is_tech"))
 
 
 def _sql_chain(x: str, steps) -> str:
