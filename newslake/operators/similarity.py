@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,8 +82,8 @@ def candidate_pairs(titles: DataFrame, least: float = 0.3) -> DataFrame:
     return pairs.where(F.col("jaccard") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable over links (a, b). Large-star and small-star rounds, checkpointed."""
+def components(links: DataFrame, save: Callable[[DataFrame], DataFrame] = reliable) -> DataFrame:
+    """(node, component): smallest node reachable over links (a, b). Large-star and small-star rounds, checkpointed by save."""
 
     def star(e: DataFrame) -> DataFrame:
         return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", F.least("u", "m").alias("m"))
@@ -89,13 +91,13 @@ def components(links: DataFrame) -> DataFrame:
     def size(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    edges = reliable(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = size(edges)
     while before[0]:
         both = edges.selectExpr("a u", "b v").union(edges.selectExpr("b u", "a v"))
         large = star(both).where("v > u").selectExpr("v a", "m b").distinct()
         small = star(large.selectExpr("a u", "b v")).select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
-        edges = reliable(small.where("a <> b").distinct())
+        edges = save(small.where("a <> b").distinct())
         now = size(edges)
         if now == before:
             break
