@@ -466,9 +466,9 @@ def _grouped(docs: DataFrame, rules: Join, id_col: str, text_col: str) -> tuple[
     links = saved(_verified(stars, able, rules))
     # of lists whose members are in several components, first each node's nearest candidate, then all that are left
     tasks = 4 * shards(spark)
-    links = saved(links.union(_verified(_nearest(_apart(posted, components(links), bitmaps), rules, tasks), able, rules)))
-    links = saved(links.union(_across(_apart(posted, components(links), bitmaps), able, rules, tasks)).distinct())
-    group = components(links)
+    links = saved(links.union(_verified(_nearest(_apart(posted, components(links, saved), bitmaps), rules, tasks), able, rules)))
+    links = saved(links.union(_across(_apart(posted, components(links, saved), bitmaps), able, rules, tasks)).distinct())
+    group = components(links, saved)
     # empty sets (size 0) stay apart
     flat = nodes.join(sizes, "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return members.select("doc_id", "node"), flat, group, able
