@@ -151,10 +151,12 @@ def test_duplicate_decisions_read_contents(spark):
                 if s <= 0.9 and len(c) > 100 and len(d) > 100:
                     s = 0.7 * s + 0.3 * cos(vector(toks(c), idf), vector(toks(d), idf))
                 best = max(best, (s, -j), key=lambda z: z[0])
-        action = "skip" if best[0] > 0.9499 else "add_to_cluster" if best[0] >= 0.8 else "store_new"
-        want[i] = (action, round(best[0], 6), None if action == "store_new" else -best[1])
-    got = {r.article_id: (r.action, round(r.score, 6), r.matched_id) for r in similarity.duplicate_decisions(df(new, "n"), df(stored, "s")).collect()}
-    assert got == want and want[1][0] == "add_to_cluster" and want[20][0] == "store_new" and want[23] == ("skip", 1.0, 10)
+        near = "add_to_cluster" if best[1] in (-11, -13) else "create_cluster"
+        action = "skip" if best[0] > 0.9499 else near if best[0] >= 0.8 else "store_new"
+        want[i] = (action, round(best[0], 6), -best[1] if best[0] >= 0.6 else None)
+    store = df(stored, "s").withColumn("cluster_id", F.when(F.col("article_id").isin(11, 13), "c"))
+    got = {r.article_id: (r.action, round(r.score, 6), r.matched_id) for r in similarity.duplicate_decisions(df(new, "n"), store).collect()}
+    assert got == want and want[2][0] == "create_cluster" and want[1][0] == "add_to_cluster" and want[20][0] == "store_new" and want[23] == ("skip", 1.0, 10)
 
 
 def test_breaking(spark):
