@@ -1,8 +1,10 @@
-"""Helpers shared by the corpus operators: reliable checkpoints, batched token hashes, connected components."""
+"""Helpers shared by the corpus operators: reliable checkpoints, batched token hashes."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -24,23 +26,30 @@ CHUNK_TOKENS = 1 << 19
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage by a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    The shuffle files that led to it go once it is written, as a lost executor's part is read from the checkpoint; a Spark
-    without that setting keeps them until they are collected.
-    """
-    spark = df.sparkSession
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, each action's shuffle files go once it has ended; a Spark without that setting keeps them until
+    they are collected. For plans that are made and run inside; what an action leaves must be saved or on the driver."""
     before = spark.conf.get(_CLEANUP, None)
     if before is None:
-        return reliable(df)
+        yield
+        return
     spark.conf.set(_CLEANUP, "true")
     try:
-        return reliable(df.select("*"))  # a plan takes the setting when it is made
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df, cut from its lineage by a reliable checkpoint in the folder that spark.checkpoint.dir names.
+
+    The shuffle files that led to it go once it is written, as a lost executor's part is read from the checkpoint.
+    """
+    with tidy(df.sparkSession):
+        return reliable(df.select("*"))  # a plan takes the setting when it is made
+
+
 def shards(spark: SparkSession) -> int:
     """How many ways exchanged keys are dealt; follows the session's shuffle setting, which is sized to the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newslake.llm.common import WordHashes, chunks, hashes_of, mixed, packed, private, saved, shards, texts_of, unpacked, windows
+from newslake.llm.common import WordHashes, chunks, hashes_of, mixed, packed, private, saved, shards, texts_of, tidy, unpacked, windows
 
 from newslake.operators.similarity import components
 
@@ -418,11 +418,12 @@ def _linked_rows(sets: list[np.ndarray], size: np.ndarray, copies: np.ndarray, s
     return out
 
 
-def _counted(group: DataFrame, able: DataFrame, copies: DataFrame, rules: Join, tasks: int) -> DataFrame:
-    """(node, linked): the rows of other nodes that a node's rows are linked to, of (node, component).
+def _counted(flat: DataFrame, able: DataFrame, rules: Join, tasks: int) -> DataFrame:
+    """(node, linked): the rows of other nodes that a node's rows are linked to, of flat (node, size, component, copies,
+    grouped: whether it has links).
 
-    Components are dealt by pairs of blocks of their nodes, so that a large one is spread over tasks. The two nodes of a
-    component of two are linked, so these are not compared.
+    Components are dealt by pairs of blocks of their nodes, so that a large one is spread over tasks; sets come last, by
+    node. The two nodes of a component of two are linked, so these are not compared.
     """
 
     def counted(part: pd.DataFrame) -> pd.DataFrame:
@@ -436,19 +437,19 @@ def _counted(group: DataFrame, able: DataFrame, copies: DataFrame, rules: Join,
             linked[a:b] = _linked_rows(sets, size[a:b], rows[a:b], None if i[a] == j[a] else block[a:b], rules)
         return pd.DataFrame({"node": node, "linked": linked})
 
-    rows = group.join(able, "node").join(copies, "node").withColumnRenamed("component", "sign")
-    sums = group.join(able.select("node", "size"), "node").join(copies, "node").groupBy("component")
-    sums = sums.agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.sum("copies").alias("held")).withColumnRenamed("component", "sign")
-    pairs = group.join(copies, "node").withColumnRenamed("component", "sign").join(sums.where("n = 2"), "sign").select("node", (F.col("held") - F.col("copies")).alias("linked"))
+    group = flat.where("grouped").select("node", "size", "copies", F.col("component").alias("sign"))
+    sums = group.groupBy("sign").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.sum("copies").alias("held"))
+    rows = saved(group.join(sums, "sign"))
+    pairs = rows.where("n = 2").select("node", (F.col("held") - F.col("copies")).alias("linked"))
     blocks = F.greatest(F.ceil(F.col("n") / _COUNT_NODES), F.ceil(F.col("all") / _COUNT_TOKENS)).cast("long")
-    large = _dealt(rows.join(sums.where("n > 2").select("sign", "n", "all"), "sign").drop("own", "bits"), tasks, blocks)
+    large = _dealt(rows.where("n > 2").drop("held"), tasks, blocks).join(able.select("node", "tokens"), "node")
     found = large.groupBy("task").applyInPandas(counted, "node long, linked long")
     return pairs.union(found).groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def _grouped(docs: DataFrame, rules: Join, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, node); their nodes (node, size, component: a node, least doc_id, copies); components of nodes with
-    links; and the sets of nodes that can have links."""
+def _grouped(docs: DataFrame, rules: Join, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, node); their nodes (node, size, component: a node, least doc_id, copies, grouped: whether they have
+    links); and the sets of nodes that can have links."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     members = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
@@ -470,15 +471,16 @@ def _grouped(docs: DataFrame, rules: Join, id_col: str, text_col: str) -> tuple[
     links = saved(links.union(_across(_apart(posted, components(links, saved), bitmaps), able, rules, tasks)).distinct())
     group = components(links, saved)
     # empty sets (size 0) stay apart
-    flat = nodes.join(sizes, "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return members.select("doc_id", "node"), flat, group, able
+    flat = nodes.join(sizes, "node").join(group, "node", "left").withColumn("grouped", F.col("component").isNotNull())
+    return members.select("doc_id", "node"), saved(flat.withColumn("component", F.coalesce("component", "node"))), able
 
 
 def similar_groups(docs: DataFrame, rules: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (the
     number of other rows that the row is linked to, those of its own text among them; 0 without shingles)."""
-    members, flat, group, able = _grouped(docs, rules, id_col, text_col)
-    degree = saved(_counted(group, able, flat.select("node", "copies"), rules, 4 * shards(docs.sparkSession)))
+    with tidy(docs.sparkSession):
+        members, flat, able = _grouped(docs, rules, id_col, text_col)
+        degree = saved(_counted(flat, able, rules, 4 * shards(docs.sparkSession)))
     # a component's label is the smallest doc_id of its nodes; of empty sets, each row its own
     smallest = flat.groupBy("component").agg(F.min("least").alias("component_id"))
     flat = flat.join(smallest, "component").join(degree, "node", "left")
@@ -495,7 +497,8 @@ def keep_one(docs: DataFrame, rules: Join = Join(), id_col: str = "doc_id", text
     stays. Rows without shingles all stay. Columns unchanged.
     """
     name, label = private("node"), private("id")
-    _, flat, _, _ = _grouped(docs, rules, id_col, text_col)
+    with tidy(docs.sparkSession):
+        _, flat, _ = _grouped(docs, rules, id_col, text_col)
     best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("m")
     kept = flat.where("size > 0").groupBy("component").agg(best).select(F.col("m.node").alias(name), F.col("m.least").alias(label))
     blank = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
