@@ -163,7 +163,7 @@ _LIST = ["sign", "i", "j"]
 #: Candidates that are verified together; a link found among them spares the rest of its component.
 _AT_ONCE = 32
 #: Of a component whose links are counted: nodes and tokens of a block, so that two blocks fit a task's memory.
-_COUNT_NODES, _COUNT_TOKENS = 500, 1 << 21
+_COUNT_NODES, _COUNT_TOKENS = 2000, 1 << 21
 
 
 def _signatures(shared: DataFrame, rules: Join) -> DataFrame:
