@@ -29,3 +29,24 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 OP13 = f"""WITH d AS (SELECT doc_id, sha256({_LOW}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM d WINDOW w AS (PARTITION BY text_sha256)"""
+
+
+def _op11(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Each round: distances of all parts to their codebook's entries, the least (ties by entry), floored means."""
+    floor_mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    sql = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * w + 1 : part * w + w] AS v FROM (SELECT *, CAST(len(x) // {parts} AS BIGINT) AS w FROM k), (SELECT unnest(range({parts})) AS part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v AS c FROM p WHERE r <= {entries})"""
+    nearest = "SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT r, p.part, entry, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{i} USING (part)) GROUP BY 1, 2"
+    for i in range(rounds):
+        sql += f""",
+a{i} AS MATERIALIZED ({nearest.format(i=i)}),
+m{i} AS (SELECT part, entry, list(m ORDER BY j) AS c FROM (SELECT part, entry, j, {floor_mean} AS m FROM (SELECT part, entry, j, sum(v[j]) AS s, count(*) AS n FROM a{i} JOIN p USING (r, part), unnest(range(1, len(v) + 1)) AS t(j) GROUP BY 1, 2, 3)) GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (part, entry))"""
+    return sql + f""",
+f AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM ({nearest.format(i=rounds)}) GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256 FROM f JOIN k USING (r)"""
+
+
+OP11 = _op11()

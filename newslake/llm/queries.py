@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslake.llm import decontaminate, exact_dedup, html_extract, license_scan, lm_scoring, ngram_join, oracles, packing, quality_classifier, quality_rules, secrets, toxicity
+from newslake.llm import decontaminate, exact_dedup, html_extract, license_scan, lm_scoring, ngram_join, oracles, packing, quality_classifier, quality_rules, secrets, toxicity, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"))
 
@@ -82,9 +86,10 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
     "op13_exact_dedup": op13_exact_dedup,
     "pipeline": pipeline,
 }
 
 #: The methods of the others have no SQL; tests/llm compares them with brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": oracles.OP2, "op8_decontamination": oracles.OP8, "op13_exact_dedup": oracles.OP13}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": oracles.OP2, "op8_decontamination": oracles.OP8, "op11_vector_codes": oracles.OP11, "op13_exact_dedup": oracles.OP13}
