@@ -50,3 +50,21 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 OP11 = _op11()
+
+#: CRC-32 of the UTF-8 bytes of column f: the table by its rule (polynomial EDB88320, reflected), then byte by byte.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, i) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i))"
+_CRC = "xor(list_reduce(list_transform(range(1, octet_length(encode(f)) + 1), lambda i: CAST(('0x' || substring(hex(encode(f)), 2 * i - 1, 2)) AS BIGINT)), lambda x, b: xor(x // 256, t[xor(x, b) % 256 + 1]), 4294967295), 4294967295)"
+
+OP12 = f"""WITH {_CRC_TABLE},
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
+df AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(w, list_transform(list_zip(w[1:-2], w[2:]), lambda p: p[1] || ' ' || p[2]))) AS f FROM d) GROUP BY 1, 2),
+bf AS MATERIALIZED (SELECT f, count(*) AS n FROM (SELECT unnest(list_concat(w, list_transform(list_zip(w[1:-2], w[2:]), lambda p: p[1] || ' ' || p[2]))) AS f FROM b) GROUP BY 1),
+k AS MATERIALIZED (SELECT f, {_CRC} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf), crc),
+s AS (SELECT bucket, sum(n) AS s FROM df JOIN k USING (f) GROUP BY 1), t AS (SELECT bucket, sum(n) AS t FROM bf JOIN k USING (f) GROUP BY 1),
+g AS MATERIALIZED (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM df) + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM bf) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM df JOIN k USING (f) JOIN g USING (bucket) GROUP BY 1),
+e AS (SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+  CAST('0x' || substring(sha256('7:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM e),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM o) THEN rank END AS rank FROM r LEFT JOIN o USING (doc_id)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslake.llm import decontaminate, exact_dedup, html_extract, license_scan, lm_scoring, ngram_join, oracles, packing, quality_classifier, quality_rules, secrets, toxicity, vector_codes
+from newslake.llm import decontaminate, exact_dedup, html_extract, importance, license_scan, lm_scoring, ngram_join, oracles, packing, quality_classifier, quality_rules, secrets, toxicity, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"))
 
@@ -87,9 +91,10 @@ QUERIES: dict[str, Query] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
     "op11_vector_codes": op11_vector_codes,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_exact_dedup": op13_exact_dedup,
     "pipeline": pipeline,
 }
 
 #: The methods of the others have no SQL; tests/llm compares them with brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": oracles.OP2, "op8_decontamination": oracles.OP8, "op11_vector_codes": oracles.OP11, "op13_exact_dedup": oracles.OP13}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": oracles.OP2, "op8_decontamination": oracles.OP8, "op11_vector_codes": oracles.OP11, "op12_importance_resampling": oracles.OP12, "op13_exact_dedup": oracles.OP13}
