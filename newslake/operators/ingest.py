@@ -1,7 +1,7 @@
 """The ingest job: union of raw articles, tech filter, cleaning, the duplicate verdict against store and batch, totals.
 
-Duplicates are decided in passes over sets (URL, then content, then title) against every earlier row: those of the store
-come before those of the batch. Content is compared as clean text on both sides.
+Duplicates are decided as a fold over the rows decides them (URL, then content, then title, against the rows that are
+stored before): rows of the store come before those of the batch. Content is compared as clean text on both sides.
 """
 
 from __future__ import annotations
@@ -60,13 +60,9 @@ def ingest(raw: DataFrame, store: DataFrame, as_of: Column, extra_high=()) -> Da
     # read several times below, and stored in the end
     rows = reliable(clean_rows(tech_only(raw, extra_high), as_of))
     broken = (F.coalesce("title", F.lit("")) == "") | (F.coalesce("source_url", F.lit("")) == "")
-    order = lambda df, k: df.withColumn("article_id", F.struct(F.lit(k).alias("batch"), F.col("article_id").alias("id")))
-    judged = reliable(order(keyed(rows.where(~broken)), 1))
-    found = verdicts(reliable(order(keyed(store), 0).union(judged)), judged)
+    found = verdicts(keyed(rows.where(~broken)), keyed(store))
     m = F.col("matched_id")
-    found = found.select(
-        F.col("article_id.id").alias("article_id"), "match_type", F.when(m["batch"] == 0, m["id"]).alias("matched_id"), F.when(m["batch"] == 1, m["id"]).alias("matched_raw_id"),
-    )
+    found = found.select("article_id", "match_type", F.when(~F.col("in_batch"), m).alias("matched_id"), F.when(F.col("in_batch"), m).alias("matched_raw_id"))
     return rows.join(found, "article_id", "left").withColumn("match_type", F.coalesce("match_type", F.lit("error")))
 
 

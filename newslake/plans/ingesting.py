@@ -8,7 +8,7 @@ from newslake import config
 from newslake.functions import text, urls
 from newslake.operators import dedupe, ingest, serving
 from newslake.operators.checkpoints import reliable
-from newslake.plans.queries import _FINGERPRINT, _HOST, _STRIP, _URL_KEY, _sql_chain, day, query, quoted, sql_day, sql_hits
+from newslake.plans.queries import _FINGERPRINT, _HOST, _STRIP, _URL_KEY, _sql_chain, day, query, quoted, sql_day, sql_fold, sql_hits
 from newslake.plans.serving import CATEGORY_SQL, _case
 from newslake.sources import page_text
 from newslake.views import ARTICLE_SQL, articles, as_of, bare_articles, table
@@ -62,9 +62,9 @@ _RAW_SQL = f"""WITH {ARTICLE_SQL}, raw AS (
     'by ' || CAST(article_id AS VARCHAR) AS author, CASE WHEN article_id % 4 <> 0 THEN 'https://img.example.com/' || CAST(article_id AS VARCHAR) END AS image_url, [category_slug] AS cats FROM article WHERE published_at >= TIMESTAMP '{CUT}'
   UNION ALL SELECT {FIRST_PAGE} + page_id, CASE WHEN page_id % 17 <> 0 THEN regexp_extract(html, '<title>(.*?)</title>', 1, 's') END, url, html, 'pages', 'techcrunch-pages', NULL, NULL, NULL, ['Technology'] FROM pages),
 tech AS (SELECT *, lower(concat_ws(' ', title, '', content)) AS low FROM raw),
-hit AS (SELECT *, {sql_hits('low', {**dict.fromkeys(config.TECH_HIGH, 3), **{'tion': 3}})} + {sql_hits('low', dict.fromkeys(config.TECH_MEDIUM, 2))} + {sql_hits('low', dict.fromkeys(config.TECH_LOW, 1))} - ({sql_hits('low', dict.fromkeys(config.NON_TECH, 2))}) + CASE WHEN {_TRUST} THEN 5 ELSE 0 END AS points FROM tech),
+scored AS (SELECT *, {sql_hits('low', {**dict.fromkeys(config.TECH_HIGH, 3), **{'tion': 3}})} + {sql_hits('low', dict.fromkeys(config.TECH_MEDIUM, 2))} + {sql_hits('low', dict.fromkeys(config.TECH_LOW, 1))} - ({sql_hits('low', dict.fromkeys(config.NON_TECH, 2))}) + CASE WHEN {_TRUST} THEN 5 ELSE 0 END AS points FROM tech),
 c1 AS (SELECT raw_id AS article_id, title AS raw_title, substring({_COLLAPSED('title')}, 1, 300) AS title, {_PLAIN_TEXT} AS content, url AS source_url, source_name, source_id, image_url, author, cats,
-  CASE WHEN published_at IS NULL OR published_at > TIMESTAMP '{config.AS_OF}' OR published_at < TIMESTAMP '{config.AS_OF}' - INTERVAL 365 DAY THEN TIMESTAMP '{config.AS_OF}' ELSE published_at END AS published_at FROM hit WHERE greatest(0.0::DOUBLE, least(1.0::DOUBLE, points / 30)) >= 0.15),
+  CASE WHEN published_at IS NULL OR published_at > TIMESTAMP '{config.AS_OF}' OR published_at < TIMESTAMP '{config.AS_OF}' - INTERVAL 365 DAY THEN TIMESTAMP '{config.AS_OF}' ELSE published_at END AS published_at FROM scored WHERE greatest(0.0::DOUBLE, least(1.0::DOUBLE, points / 30)) >= 0.15),
 c2 AS (SELECT *, {_COLLAPSED('content')} AS flat, {_TAGS} AS all_tags FROM c1),
 c3 AS (SELECT *, {_ORDERED('all_tags')}[1:10] AS tags FROM c2), c4 AS (SELECT *, list_concat(cats, tags) AS terms FROM c3),
 clean AS (SELECT article_id, title, {_sql_make_summary('flat')} AS summary, content, source_url, source_name, image_url, author, {_CATEGORY} AS category_slug, array_to_string(tags, ',') AS tags, published_at,
@@ -85,15 +85,13 @@ def clean_rows(spark, sf_dir):
 
 
 _BUCKET_WORDS = "regexp_split_to_array(trim(regexp_replace(lower(title), '[^\\w\\s]', '', 'g')), '\\s+')"
-_VERDICT_SQL = f"""{_RAW_SQL}, good AS (SELECT * FROM clean WHERE coalesce(title, '') <> '' AND coalesce(source_url, '') <> ''),
+_VERDICT_SQL = f"""{_RAW_SQL.replace("WITH", "WITH RECURSIVE", 1)}, good AS (SELECT * FROM clean WHERE coalesce(title, '') <> '' AND coalesce(source_url, '') <> ''),
 every AS (SELECT 0 AS part, article_id, title, content, source_url FROM article WHERE published_at < TIMESTAMP '{CUT}' UNION ALL SELECT 1, article_id, title, content, source_url FROM good),
-k AS (SELECT part, article_id, title, part * 100000000000 + article_id AS ord, {_URL_KEY} AS u, {_FINGERPRINT} AS f, list_sort(list_distinct(list_filter({_BUCKET_WORDS}, lambda x: length(x) > 2))) AS s,
+k AS MATERIALIZED (SELECT part, article_id, title, part * 100000000000 + article_id AS ord, {_URL_KEY} AS u, {_FINGERPRINT} AS f, list_sort(list_distinct(list_filter({_BUCKET_WORDS}, lambda x: length(x) > 2))) AS s,
   coalesce(list_filter({_BUCKET_WORDS}, lambda x: length(x) > 2 AND NOT list_contains({_LIST(config.BUCKET_STOPS)}, x))[1], lower(substring(title, 1, 5))) AS bucket FROM every),
-uf AS (SELECT u, min(ord) AS o FROM k GROUP BY 1), ff AS (SELECT f, min(ord) AS o FROM k GROUP BY 1), sets AS (SELECT bucket, s, min(ord) AS o FROM k WHERE len(s) > 0 GROUP BY 1, 2),
-tt AS (SELECT k.ord, min(x.o) AS o FROM k JOIN sets x ON x.bucket = k.bucket AND x.o < k.ord AND len(list_intersect(k.s, x.s)) / (len(k.s) + len(x.s) - len(list_intersect(k.s, x.s)))::DOUBLE >= 0.85 WHERE part = 1 AND len(k.s) > 0 GROUP BY 1),
-v AS (SELECT k.article_id, CASE WHEN uf.o < k.ord THEN 'url' WHEN ff.o < k.ord THEN 'content' WHEN tt.o IS NOT NULL THEN 'title' ELSE 'none' END AS match_type,
-  CASE WHEN uf.o < k.ord THEN uf.o WHEN ff.o < k.ord THEN ff.o ELSE tt.o END AS o FROM k JOIN uf USING (u) JOIN ff USING (f) LEFT JOIN tt USING (ord) WHERE part = 1),
-ing AS (SELECT clean.*, coalesce(match_type, 'error') AS match_type, CASE WHEN o < 100000000000 THEN o END AS matched_id, CASE WHEN o >= 100000000000 THEN o - 100000000000 END AS matched_raw_id FROM clean LEFT JOIN v USING (article_id))"""
+batch_row AS (SELECT * FROM k WHERE part = 1), store_row AS (SELECT * FROM k WHERE part = 0), {sql_fold('batch_row', 'store_row')},
+judged AS (SELECT article_id, match_type, matched AS o FROM v JOIN batch_row USING (ord)),
+ing AS (SELECT clean.*, coalesce(match_type, 'error') AS match_type, CASE WHEN o < 100000000000 THEN o END AS matched_id, CASE WHEN o >= 100000000000 THEN o - 100000000000 END AS matched_raw_id FROM clean LEFT JOIN judged USING (article_id))"""
 
 
 def ingested(spark, sf_dir):

@@ -289,14 +289,27 @@ def dup_by_title(spark, sf_dir):
     return dedupe.title_pairs(dedupe.keyed(articles(spark, sf_dir))).withColumn("similarity", rounded(F.col("similarity")))
 
 
-@query(f"""WITH {ARTICLE_SQL}{_TITLES}, k AS (SELECT article_id, {_URL_KEY} AS u, {_FINGERPRINT} AS f FROM article),
-own AS (SELECT ws.article_id, coalesce(b, lower(substring(title, 1, 5))) AS bucket, s FROM ws LEFT JOIN bk USING (article_id)),
-t AS (SELECT o.article_id, min(x.id) AS title_id FROM own o JOIN sets x ON x.bucket = o.bucket AND x.id < o.article_id AND len(list_intersect(o.s, x.s)) / (len(o.s) + len(x.s) - len(list_intersect(o.s, x.s)))::DOUBLE >= 0.85 GROUP BY 1),
-z AS (SELECT article_id, min(article_id) OVER (PARTITION BY u) AS url_id, min(article_id) OVER (PARTITION BY f) AS content_id FROM k)
-SELECT article_id, CASE WHEN url_id < article_id THEN 'url' WHEN content_id < article_id THEN 'content' WHEN title_id IS NOT NULL THEN 'title' ELSE 'none' END AS match_type,
-CASE WHEN url_id < article_id THEN url_id WHEN content_id < article_id THEN content_id ELSE coalesce(title_id, -1) END AS matched_id FROM z LEFT JOIN t USING (article_id)""")
+def sql_fold(rows: str, stored: str) -> str:
+    """CTEs that fold over `rows` (ord, u, f, bucket, s; to be judged, in order of ord) one by one: kept is the list of ords
+    stored so far, at first those of `stored`. v has ord, match_type and matched (ord). Rows of `stored` come first."""
+    jac = "len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE >= 0.85"
+    return f"""every_row AS MATERIALIZED (SELECT ord, u, f, bucket, s FROM {stored} UNION ALL SELECT ord, u, f, bucket, s FROM {rows}),
+mu AS (SELECT b.ord, list(a.ord) AS l FROM every_row a JOIN {rows} b ON a.u = b.u AND a.ord < b.ord GROUP BY 1), mf AS (SELECT b.ord, list(a.ord) AS l FROM every_row a JOIN {rows} b ON a.f = b.f AND a.ord < b.ord GROUP BY 1),
+mt AS (SELECT b.ord, list(a.ord) AS l FROM every_row a JOIN {rows} b ON a.bucket = b.bucket AND a.ord < b.ord AND len(a.s) > 0 AND len(b.s) > 0 AND {jac} GROUP BY 1),
+row_of AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ord) AS n, ord, coalesce(mu.l, []) AS lu, coalesce(mf.l, []) AS lf, coalesce(mt.l, []) AS lt FROM {rows} LEFT JOIN mu USING (ord) LEFT JOIN mf USING (ord) LEFT JOIN mt USING (ord)),
+fold AS (SELECT CAST(0 AS BIGINT) AS n, (SELECT coalesce(list(ord), []) FROM {stored}) AS kept
+  UNION ALL SELECT r.n, CASE WHEN list_has_any(kept, list_concat(lu, lf, lt)) THEN kept ELSE list_append(kept, ord) END FROM fold JOIN row_of r ON r.n = fold.n + 1),
+fin AS (SELECT kept FROM fold ORDER BY n DESC LIMIT 1),
+hit AS (SELECT ord, list_min(list_intersect(lu, kept)) AS iu, list_min(list_intersect(lf, kept)) AS jf, list_min(list_intersect(lt, kept)) AS jt FROM row_of, fin),
+v AS (SELECT ord, CASE WHEN iu IS NOT NULL THEN 'url' WHEN jf IS NOT NULL THEN 'content' WHEN jt IS NOT NULL THEN 'title' ELSE 'none' END AS match_type, coalesce(iu, jf, jt) AS matched FROM hit)"""
+
+
+@query(f"""WITH RECURSIVE {ARTICLE_SQL}{_TITLES}, k AS MATERIALIZED (SELECT article_id AS ord, {_URL_KEY} AS u, {_FINGERPRINT} AS f, coalesce(b, lower(substring(title, 1, 5))) AS bucket, coalesce(ws.s, []) AS s
+  FROM article LEFT JOIN (SELECT article_id, s FROM ws) ws USING (article_id) LEFT JOIN bk USING (article_id)),
+no_row AS (SELECT * FROM k WHERE false), {sql_fold('k', 'no_row')}
+SELECT ord AS article_id, match_type, coalesce(matched, -1) AS matched_id FROM v""")
 def ingest_verdict(spark, sf_dir):
-    return dedupe.verdicts(reliable(dedupe.keyed(articles(spark, sf_dir)))).withColumn("matched_id", F.coalesce("matched_id", F.lit(-1)))
+    return dedupe.verdicts(dedupe.keyed(articles(spark, sf_dir))).withColumn("matched_id", F.coalesce("matched_id", F.lit(-1))).drop("in_batch")
 
 
 @query("""WITH k AS (SELECT source AS source_name, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY md5(text)) THEN 'content' ELSE 'none' END AS m FROM documents)
