@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,18 +72,65 @@ def probed(titles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """titles (title, id, ...) by each bucket that they probe (a, ta, bucket), and by their own (b, tb, bucket)."""
     bucket = text.bucket_key(F.col("title"), config.CLUSTER_BUCKET_STOPS)
     near = F.filter(F.slice(F.split(F.lower("title"), " "), 1, 3), lambda w: F.length(w) > 3)
-    rows = titles.select("id", "title", bucket.alias("bucket"), F.array_distinct(F.concat(F.array(bucket), near)).alias("probes"), F.array_distinct(text.tokens(F.col("title"))).alias("t"))
+    rows = titles.select("id", bucket.alias("bucket"), F.array_distinct(F.concat(F.array(bucket), near)).alias("probes"), F.array_distinct(text.tokens(F.col("title"))).alias("t"))
+    rows = reliable(rows.select("id", "bucket", "probes", "t"))  # read several times
     a = rows.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.explode("probes").alias("bucket"))
     return a, rows.select(F.col("id").alias("b"), F.col("t").alias("tb"), "bucket")
 
 
+#: Postings of a token in a bucket that one task compares with as many others.
+_BLOCK = 2000
+
+
+def _postings(rows: DataFrame, side: str, least: float) -> DataFrame:
+    """(side, bucket, token, at, n, t): each title's tokens in order, once for each token of its prefix with its place. The
+    order is the alphabet's, but the bucket's own word, which most of its titles have, comes last."""
+    own = lambda t: t == F.col("bucket")
+    order = F.concat(F.filter(F.array_sort(f"t{side}"), lambda t: ~own(t)), F.filter(f"t{side}", own))
+    lists = rows.where(F.size(f"t{side}") > 0).select(side, "bucket", order.alias(f"t_{side}"), F.size(f"t{side}").alias(f"n_{side}"))
+    # two sets with J >= least share one of their first size - ceil(least * size) + 1 tokens
+    n = F.col(f"n_{side}")
+    prefix = F.slice(f"t_{side}", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+    return lists.select(side, "bucket", f"n_{side}", f"t_{side}", F.posexplode(prefix).alias(f"at_{side}", "token"))
+
+
+def bucket_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) of a's titles (a, ta, bucket) and b's (b, tb, bucket) of one bucket with token Jaccard at or above
+    `least` (over 0), each once for a bucket.
+
+    Only titles that share a token of both prefixes meet, if their sizes and the places of that token leave room for
+    enough common ones; the first common token alone makes the pair. The postings of a hot token are dealt as pairs of
+    blocks: each block of a's meets each of b's in a task of its own.
+    """
+    x, y = _postings(a, "a", least), _postings(b, "b", least)
+    count = lambda rows, na, nb: rows.select("bucket", "token", F.lit(na).alias("na"), F.lit(nb).alias("nb"))
+    sizes = count(x, 1, 0).union(count(y, 0, 1)).groupBy("bucket", "token").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    hot = sizes.where((F.greatest("na", "nb") > _BLOCK) & (F.least("na", "nb") > 0))
+    hot = reliable(hot.select("bucket", "token", F.ceil(F.col("na") / _BLOCK).alias("ka"), F.ceil(F.col("nb") / _BLOCK).alias("kb")))
+
+    def dealt(rows: DataFrame, side: str, own: str, other: str) -> DataFrame:
+        rows, mine, theirs = rows.join(hot, ["bucket", "token"], "left"), F.coalesce(f"k{side}", F.lit(1)), F.coalesce("ka" if side == "b" else "kb", F.lit(1))
+        return rows.withColumn(own, F.pmod(F.xxhash64(side), mine)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1))).drop("ka", "kb")
+
+    keys = ["bucket", "token"]
+    if not hot.isEmpty():
+        x, y, keys = dealt(x, "a", "i", "j"), dealt(y, "b", "j", "i"), [*keys, "i", "j"]
+    need = F.ceil(least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9) & (room >= need)
+    met = x.join(y, keys).where(enough)  # an inner join's filter is its condition
+    both = met.select("a", "b", "token", "n_a", "n_b", F.array_intersect("t_a", "t_b").alias("both")).where(F.get("both", F.lit(0)) == F.col("token"))
+    share = F.size("both") / (F.col("n_a") + F.col("n_b") - F.size("both"))
+    return both.select("a", "b", share.alias("jaccard")).where(F.col("jaccard") >= least)
+
+
 def candidate_pairs(titles: DataFrame, least: float = 0.3) -> DataFrame:
     """(a, b, jaccard) of distinct titles, a < b, where b's bucket is one that a probes: its own, or one of its first
     three space-split words longer than three characters; or the reverse. An article probes only greater ones, so a title
     probes those whose greatest article is above its smallest."""
     a, b = probed(titles)
-    pairs = a.join(b, "bucket").join(titles.selectExpr("id b", "last"), "b").where("a <> b and a < last").withColumn("jaccard", text.jaccard(F.col("ta"), F.col("tb")))
-    return pairs.where(F.col("jaccard") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard").distinct()
+    pairs = bucket_pairs(a, b, least).join(titles.selectExpr("id b", "last"), "b").where("a <> b and a < last")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard").distinct()
 
 
 def components(links: DataFrame, save: Callable[[DataFrame], DataFrame] = reliable) -> DataFrame:
@@ -106,46 +157,85 @@ def components(links: DataFrame, save: Callable[[DataFrame], DataFrame] = reliab
 
 
 def story_links(docs: DataFrame, rules: config.Clustering = config.Clustering()) -> DataFrame:
-    """(a, b) of articles of one story: title cosine above 0.9, or the combined similarity at the threshold.
+    """(a, b) of articles of one story: title cosine above 0.9, or the combined similarity at the threshold; not all of
+    them, but enough that their components are the same.
 
-    Works on distinct titles; only titles whose cosine leaves the decision to the content are expanded to articles.
+    Articles that share a title with tokens are one story, chained to the title's first. So one link of two titles is
+    enough, and where their contents decide, each different content of a title stands once, as its smallest article.
     """
     titles = reliable(distinct_titles(docs))
     scored = reliable(cosine(candidate_pairs(titles, rules.min_jaccard), title_vectors(titles.selectExpr("id article_id", "title")), "title_cosine"))
     sure = scored.where("title_cosine > 0.9").select("a", "b")
     # with content cosine at most 1, 0.7 t + 0.3 reaches the threshold only from here on
-    least = (rules.same_story - 0.3) / 0.7
-    open_ = scored.where((F.col("title_cosine") <= 0.9) & (F.col("title_cosine") >= least))
+    open_ = scored.where((F.col("title_cosine") <= 0.9) & (F.col("title_cosine") >= (rules.same_story - 0.3) / 0.7)).select("a", "b", "title_cosine")
     named = docs.join(titles.select("title", F.col("id").alias("title_id")), "title").select("article_id", "title_id", "content")
-    x = named.selectExpr("article_id a_id", "title_id a", "length(content) la")
-    y = named.selectExpr("article_id b_id", "title_id b", "length(content) lb")
-    members = open_.join(x, "a").join(y, "b")
-    long_ = (F.col("la") > 100) & (F.col("lb") > 100)
-    pairs = reliable(members.where(long_).selectExpr("a_id a", "b_id b", "title_cosine"))
-    short = members.where(~long_).where(F.col("title_cosine") >= rules.same_story).selectExpr("a_id a", "b_id b")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("article_id")).distinct()
-    total = docs.agg(F.count("*").alias("docs"))
-    vectors = content_vectors(docs.join(need, "article_id", "left_semi"), idf_table(docs), total)
+    decided = open_.select(F.explode(F.array("a", "b")).alias("title_id")).distinct()
+    body = F.coalesce("content", F.lit(""))
+    texts = named.join(decided, "title_id", "left_semi").groupBy("title_id", F.sha2(body, 256)).agg(F.min("article_id").alias("article_id"), F.length(F.first(body)).alias("chars"))
+    texts = reliable(texts.select("title_id", "article_id", "chars"))
+    brief = texts.where("chars <= 100").select("title_id").distinct()
+    near = open_.where(F.col("title_cosine") >= rules.same_story)
+    short = near.join(brief.withColumnRenamed("title_id", "a"), "a", "left_semi").union(near.join(brief.withColumnRenamed("title_id", "b"), "b", "left_semi").select("a", "b", "title_cosine"))
+    long_ = texts.where("chars > 100")
+    vectors = reliable(content_vectors(docs.join(long_.select("article_id"), "article_id", "left_semi"), idf_table(docs), docs.agg(F.count("*").alias("docs"))))
+    members = long_.join(vectors, "article_id").select("title_id", "article_id", "term", "w")
+    pairs = reliable(content_candidates(open_.withColumn("least", (rules.same_story - 0.7 * F.col("title_cosine")) / 0.3), members))
     combined = cosine(pairs, vectors, "content_cosine").where(0.7 * F.col("title_cosine") + 0.3 * F.col("content_cosine") >= rules.same_story)
-    # articles that share a title with tokens are one story: chained to the title's first
     has_tokens = titles.where(F.size(text.tokens(F.col("title"))) > 0).select(F.col("id").alias("title_id"))
     chain = named.join(has_tokens, "title_id", "left_semi").where("article_id <> title_id").selectExpr("title_id a", "article_id b")
-    return sure.union(short).union(combined.select("a", "b")).union(chain)
+    return sure.union(short.select("a", "b")).union(combined.select("a", "b")).union(chain)
 
 
-#: Ids that are hashed together for a cluster's id.
-_ID_CHUNK = 10_000
+def content_candidates(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, title_cosine) of members (article_id) of the two titles of pairs (a, b, title_cosine, least) whose cosine may
+    reach `least`; members: (title_id, article_id, term, w).
 
-
-def cluster_ids(group: DataFrame, chunk: int = _ID_CHUNK) -> DataFrame:
-    """(component, cluster_id) of group (node, component): 16 digits of the md5 of the sorted node ids. A component of more
-    than `chunk` nodes is dealt by hash into parts, and the parts' digests are hashed, so no group gathers all its nodes."""
-    n = group.groupBy("component").agg(F.ceil(F.count("*") / chunk).alias("_parts"))
-    rows = group.join(n, "component").withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
-    digest = lambda x: F.md5(F.array_join(F.array_sort(x), "|"))
-    parts = rows.groupBy("component", "_part").agg(digest(F.collect_list(F.col("node").cast("string"))).alias("d"))
-    whole = parts.groupBy("component").agg(F.collect_list("d").alias("d"))
-    return whole.select("component", F.substring(F.when(F.size("d") == 1, F.get("d", F.lit(0))).otherwise(digest(F.col("d"))), 1, 16).alias("cluster_id"))
+    A member's terms go by descending weight; its head is the terms before the rest's norm falls below the least bound of
+    its title. Only a member that has a term of the head can be near enough, and no nearer than the head's products and
+    the rest's norm together.
+    """
+    unit = members.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("article_id"))))
+    bound = pairs.groupBy(F.col("a").alias("title_id")).agg(F.min("least").alias("bound"))
+    down = Window.partitionBy("article_id").orderBy(F.desc("u"), "term")
+    rest = F.sum(F.col("u") * F.col("u")).over(down.rowsBetween(0, Window.unboundedFollowing))  # of this term and those after
+    after = F.coalesce(F.sum(F.col("u") * F.col("u")).over(down.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    head = unit.join(bound, "title_id").withColumns({"rest": F.sqrt(rest), "after": F.sqrt(after)}).where(F.col("rest") >= F.col("bound") - 1e-9)
+    x = head.select(F.col("title_id").alias("ta"), F.col("article_id").alias("a"), "term", F.col("u").alias("ua"), "after")
+    y = unit.select(F.col("title_id").alias("tb"), F.col("article_id").alias("b"), "term", F.col("u").alias("ub"))
+    asked = pairs.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "title_cosine", "least")
+    met = asked.join(x, "ta").join(y, ["tb", "term"]).groupBy("a", "b", "title_cosine", "least").agg(F.sum(F.col("ua") * F.col("ub")).alias("dot"))
+    tails = head.groupBy(F.col("article_id").alias("a")).agg(F.min("after").alias("tail"))
+    return met.join(tails, "a").where(F.col("dot") + F.col("tail") >= F.col("least") - 1e-9).select("a", "b", "title_cosine")
+
+
+def cluster_ids(group: DataFrame) -> DataFrame:
+    """(component, cluster_id) of group (node, component): 16 digits of the md5 of the sorted node ids. A task reads its
+    components' ids in order and keeps one digest, so a component of any size takes constant memory."""
+    kind = dict(group.dtypes)["component"]
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, md5 = None, hashlib.md5()
+        line = lambda: pa.RecordBatch.from_arrays([pa.array([last]).cast(schema), pa.array([md5.hexdigest()[:16]])], ["component", "cluster_id"])
+        for batch in batches:
+            schema = batch.schema.field(0).type
+            component, nodes = batch.column(0), batch.column(1)
+            edges = [0, *[i for i in np.flatnonzero(~pc.equal(component[1:], component[:-1]).to_numpy(zero_copy_only=False)) + 1], len(component)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                now, text_ = component[i].as_py(), "|".join(nodes[i:j].to_pylist())
+                if last is not None and now == last:
+                    md5.update(b"|")
+                else:
+                    if last is not None:
+                        yield line()
+                    last, md5 = now, hashlib.md5()
+                md5.update(text_.encode())
+        if last is not None:
+            yield line()
+
+    rows = group.select("component", F.col("node").cast("string").alias("node")).repartition("component").sortWithinPartitions("component", "node")
+    return rows.mapInArrow(digests, f"component {kind}, cluster_id string")
 
 
 def clusters(docs: DataFrame, rules: config.Clustering = config.Clustering()) -> DataFrame:
@@ -208,8 +298,8 @@ def cluster_members(members: DataFrame, best: DataFrame, docs: DataFrame) -> Dat
 def cluster_run(docs: DataFrame, group: DataFrame) -> DataFrame:
     """One row: articles, those in clusters, clusters, and duplicates (members beyond the first of each)."""
     n = group.agg(F.count("*").alias("assigned"), F.countDistinct("cluster_id").alias("clusters"))
-    total = docs.count()
-    return n.select(F.lit(total).cast("long").alias("articles"), "assigned", "clusters", (F.col("assigned") - F.col("clusters")).alias("duplicates"))
+    total = docs.agg(F.count("*").alias("articles"))
+    return n.join(F.broadcast(total)).select("articles", "assigned", "clusters", (F.col("assigned") - F.col("clusters")).alias("duplicates"))
 
 
 def with_clusters(df: DataFrame, group: DataFrame) -> DataFrame:
@@ -227,7 +317,7 @@ def _compared(batch: DataFrame, store: DataFrame, rules: config.Clustering) -> t
     batch, store = key(batch), key(store)
     titles = lambda df: df.groupBy("title").agg(F.min("article_id").alias("first")).withColumn("id", F.col("title"))
     a, b = probed(titles(batch))[0], probed(titles(store))[1]
-    pairs = a.join(b, "bucket").where((F.col("a") != F.col("b")) & (text.jaccard(F.col("ta"), F.col("tb")) >= rules.min_jaccard)).select("a", "b").distinct()
+    pairs = bucket_pairs(a, b, rules.min_jaccard).where("a <> b").select("a", "b").distinct()
     vectors = title_vectors(batch.select("title").union(store.select("title")).distinct().selectExpr("title article_id", "title"))
     scored = reliable(cosine(pairs, vectors, "title_cosine"))
     sure = scored.where("title_cosine > 0.9").join(titles(store).selectExpr("title b", "first store_id"), "b").selectExpr("a title", "store_id", "title_cosine score")

@@ -127,13 +127,17 @@ def test_daily_feed_log_and_expiry(spark, tmp_path):
     assert tuple(feeds.deleted_before(rows, cut).first()) == (1, 2)
 
 
-def test_clusters_of_many_nodes_hash_in_parts(spark):
-    group = spark.range(50).selectExpr("id node", "0L component").union(spark.range(60, 63).selectExpr("id", "60L"))
-    ids = {r.component: r.cluster_id for r in similarity.cluster_ids(group, 10).collect()}
-    assert ids[60] == hashlib.md5(b"60|61|62").hexdigest()[:16]
-    assert ids[0] != hashlib.md5("|".join(sorted(map(str, range(50)))).encode()).hexdigest()[:16] and len(ids[0]) == 16
-    again = {r.component: r.cluster_id for r in similarity.cluster_ids(group.repartition(7), 10).collect()}
-    assert again == ids and similarity.cluster_ids(group).where("component = 0").first().cluster_id == hashlib.md5("|".join(sorted(map(str, range(50)))).encode()).hexdigest()[:16]
+def test_cluster_ids_of_any_size(spark):
+    group = spark.range(30_000).selectExpr("id node", "0L component").union(spark.range(60, 63).selectExpr("id", "60L")).union(spark.range(7, 9).selectExpr("id", "7L"))
+    want = {0: range(30_000), 60: range(60, 63), 7: (7, 8)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)  # a cluster over many batches, and many a batch
+    try:
+        for rows in (group, group.repartition(7)):
+            ids = {r.component: r.cluster_id for r in similarity.cluster_ids(rows).collect()}
+            assert ids == {k: hashlib.md5("|".join(sorted(map(str, v))).encode()).hexdigest()[:16] for k, v in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert similarity.cluster_ids(group.where("false")).count() == 0
 
 
 def test_near_match_makes_or_joins_a_cluster(spark):
