@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,24 +150,35 @@ def retry_plan(log: DataFrame, as_of: Column, limit: int = 50) -> DataFrame:
 
 
 def cooldown(candidates: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Of candidates (key, ts, ...), those that a greedy fold sends: none within `seconds` of the last sent of its key.
+    """Of candidates (key, ts, ...), those that a greedy fold sends: none within `seconds` of the last sent of its key whose
+    send succeeded. With a column ok, a send that failed (ok false or null) starts no cooldown, so the next candidate is
+    free; without it every send succeeds.
 
-    Every candidate is folded, in order of time; a task reads its keys sorted and holds only the last sent time.
-    Candidates without a time are not sent.
+    Every candidate is folded, in order of time; a task reads its keys sorted, holds only the last success, and jumps from
+    it to the next free candidate by binary search. Candidates without a time are not sent.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = (), 0  # no key is ()
+        held, free = (), 0  # no key is (); free: from when on its candidates are sent
         for part in batches:
-            keep = []
-            for key, at in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                keep.append(key != held or at - last >= seconds * 1_000_000)
-                if keep[-1]:
-                    held, last = key, at
-            yield part.filter(pa.array(keep, pa.bool_()))
-
-    rows = candidates.where("ts is not null").select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    sent = rows.repartition("key").sortWithinPartitions("key", "at").mapInArrow(fold, rows.schema)
+            keys, at, ok = part.column(0), part.column(1).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
+            keep = np.zeros(len(at), bool)
+            same = pc.fill_null(pc.equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(~same) + 1).tolist(), len(at)]
+            for i, end in zip(edges, edges[1:], strict=False):
+                key = keys[i].as_py() if i < end else held
+                if key != held:
+                    held, free = key, np.iinfo(np.int64).min
+                while i < end and (i := i + int(np.searchsorted(at[i:end], free))) < end:
+                    keep[i] = True
+                    if ok[i]:
+                        free = int(at[i]) + seconds * 1_000_000
+                    i += 1
+            yield part.filter(pa.array(keep))
+
+    ok = F.coalesce("ok", F.lit(False)) if "ok" in candidates.columns else F.lit(True)
+    rows = candidates.where("ts is not null").select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), ok.alias("ok"))
+    sent = rows.repartition("key").sortWithinPartitions("key", "at", "ok").mapInArrow(fold, rows.schema)
     return sent.select("key", F.floor(F.col("at") / 1_000_000).alias("epoch"))
 
 

@@ -159,3 +159,13 @@ SELECT key, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM f""")
 def breaking_cooldown(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     return notify.cooldown(e.select(F.col("user_id").alias("key"), "ts"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT key, ts, bool_or(ok) AS ok FROM (SELECT user_id AS key, ts, event_id % 3 = 0 AS ok FROM events WHERE event_type = 'purchase') GROUP BY 1, 2),
+f AS (SELECT key, min({'ts': ts, 'ok': ok}) AS s FROM e GROUP BY 1
+  UNION ALL SELECT f.key, min({'ts': e.ts, 'ok': e.ok}) FROM f JOIN e ON e.key = f.key AND CASE WHEN f.s.ok THEN e.ts >= f.s.ts + INTERVAL 1 HOUR ELSE e.ts > f.s.ts END GROUP BY f.key)
+SELECT key, CAST(floor(epoch(s.ts)) AS BIGINT) AS epoch FROM f""")
+def breaking_after_success(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    e = e.groupBy(F.col("user_id").alias("key"), "ts").agg(F.bool_or(F.col("event_id") % 3 == 0).alias("ok"))
+    return notify.cooldown(e)

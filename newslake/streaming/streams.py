@@ -1,12 +1,14 @@
 """Structured Streaming forms of the stateful operators; each has a batch twin in operators.
 
-cooldown and read_history keep state by key and need Spark's RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+The cooldowns, trailing_rate and read_history keep state by key and need Spark's RocksDB state store (spark.sql.streaming.stateStore.providerClass).
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +30,54 @@ def quota(stream: DataFrame, most: int, width: str = "15 minutes", late: str = "
     return n.select("user_id", F.col("w.start").alias("window_start"), "n", (F.col("n") > most).alias("blocked"))
 
 
-def trailing_rate(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    n = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 minute", "10 seconds").alias("w"), "user_id").agg(F.count("*").alias("rate"))
-    return n.select("user_id", F.col("w.start").alias("window_start"), "rate")
+class _Trailing(StatefulProcessor):
+    """Of each event the number of the user's events in the `seconds` before its second and in that second. State: of each
+    second the count and, until they are told, the ids; seconds that no open one needs are removed.
+
+    A second's events are told once the watermark has passed it, as no more can come; a timer wakes the key then.
+    """
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "at long", "n long, ids array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list[int]] = {}
+        for part in rows:
+            for at, ids in part.groupby("at")["event_id"]:
+                new.setdefault(int(at), []).extend(ids.tolist())
+        for at, ids in new.items():
+            n, before = self.held.getValue((at,)) if self.held.containsKey((at,)) else (0, [])
+            self.held.updateValue((at,), (n + len(ids), [*before, *ids]))
+            self.handle.registerTimer((at + 1) * 1000)
+            self.handle.registerTimer((at + self.seconds + 2) * 1000)  # by then no event can need it
+        yield pd.DataFrame({"event_id": [], "user_id": [], "rate": []}, dtype="int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() // 1000
+        held = sorted((k[0], v[0], list(v[1] or [])) for k, v in self.held.iterator())
+        at, total = np.array([x[0] for x in held], np.int64), np.r_[0, np.cumsum([x[1] for x in held], dtype=np.int64)]
+        out: list[tuple[int, int]] = []
+        for i, (second, n, ids) in enumerate(held):
+            if ids and second < passed:
+                out += [(e, int(total[i + 1] - total[np.searchsorted(at, second - self.seconds)])) for e in ids]
+                self.held.updateValue((second,), (n, []))
+            if second < passed - self.seconds:
+                self.held.removeKey((second,))
+        yield pd.DataFrame({"event_id": [e for e, _ in out], "user_id": [key[0]] * len(out), "rate": [r for _, r in out]}, dtype="int64")
+
+    def close(self) -> None:
+        pass
+
+
+def trailing_rate(stream: DataFrame, seconds: int = 60, late: str = "1 hour") -> DataFrame:
+    """(event_id, user_id, rate): the user's requests of the last `seconds`, those of the event's own second included; in
+    append mode, an event once the watermark has passed its second. The batch twin is runs.trailing_rate."""
+    rows = stream.withWatermark("ts", late).select("event_id", "user_id", "ts", F.unix_timestamp("ts").alias("at"))
+    return rows.groupBy("user_id").transformWithStateInPandas(_Trailing(seconds), "event_id long, user_id long, rate long", "Append", "EventTime")
 
 
 def bookmark_state(stream: DataFrame) -> DataFrame:
@@ -79,6 +126,64 @@ def cooldown(stream: DataFrame, seconds: int = 3600) -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(_Cooldown(seconds), f"key {kind}, epoch long", "Append", "None")
 
 
+class _Confirmed(StatefulProcessor):
+    """Candidates and send results of a key. A candidate that is told waits for its result; those that come meanwhile queue.
+    A success starts the cooldown, a failure leaves the next candidate free. State: the last success, the time under way,
+    the queue."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "success long, way long")
+        self.queue = handle.getListState("queue", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        success, way = self.state.get() if self.state.exists() else (None, None)
+        queue = [x[0] for x in self.queue.get()] if self.queue.exists() else []
+        results: dict[int, bool] = {}
+        for part in rows:
+            for at, ok in zip(part["at"].tolist(), part["ok"].tolist(), strict=True):
+                if ok is None or ok != ok:
+                    queue.append(int(at))
+                else:
+                    results[int(at)] = results.get(int(at), False) or bool(ok)
+        queue.sort()
+        told = []
+        while True:
+            if way is not None:
+                if way not in results:
+                    break
+                success, way = (way, None) if results[way] else (success, None)
+            start = 0 if success is None else bisect.bisect_left(queue, success + self.seconds * 1_000_000)
+            queue = queue[start:]
+            if not queue:
+                break
+            way = queue.pop(0)
+            told.append(way)
+        self.state.update((success, way))
+        if queue:
+            self.queue.put([(x,) for x in queue])
+        else:
+            self.queue.clear()
+        yield pd.DataFrame({"key": [key[0]] * len(told), "at": told})
+
+    def close(self) -> None:
+        pass
+
+
+def confirmed_cooldown(candidates: DataFrame, results: DataFrame, seconds: int = 3600) -> DataFrame:
+    """(key, ts) of the candidates (key, ts) to be sent, given the results (key, ts of the candidate, ok) of those sent
+    before; in append mode. One send of a key is under way at a time. Candidates of one time are taken one by one, and have
+    one result. The batch twin is notify.cooldown with ok."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    rows = candidates.where("ts is not null").select("key", at, F.lit(None).cast("boolean").alias("ok"))
+    rows = rows.union(results.where("ts is not null").select("key", at, F.coalesce("ok", F.lit(False))))
+    kind = dict(rows.dtypes)["key"]
+    out = rows.groupBy("key").transformWithStateInPandas(_Confirmed(seconds), f"key {kind}, at long", "Append", "None")
+    return out.select("key", F.timestamp_micros("at").alias("ts"))
+
+
 class _History(StatefulProcessor):
     """A reader's latest read of each article, the `most` newest. State: one row an article."""
 
@@ -129,18 +234,3 @@ def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """The same into Parquet files, each row once; for streams in append mode."""
     q = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-
-
-def upsert_available(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> None:
-    """The same for streams in update mode: path/<n> holds the table after micro-batch n, the rows of a batch taking the
-    place of those with their keys. A batch that is run again writes the same folder again."""
-    spark = stream.sparkSession
-
-    def merge(batch: DataFrame, n: int) -> None:
-        rows = batch
-        if n > 0:
-            before = spark.read.schema(batch.schema).parquet(f"{path}/{n - 1}")
-            rows = before.join(batch.select(*keys).distinct(), keys, "left_anti").select(*batch.columns).union(batch)
-        rows.write.mode("overwrite").parquet(f"{path}/{n}")
-
-    stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
