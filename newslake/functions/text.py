@@ -50,9 +50,14 @@ def make_summary(x: Column, most: int = 500) -> Column:
     )
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x computed once: the transform of one element binds it, where a filter would else build it for each use."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def keyword_hits(text: Column, keywords) -> Column:
-    """The keywords that text contains, in their order, as substrings."""
-    return F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(text, k))
+    """The keywords that text contains, in their order, as substrings; text is computed once."""
+    return bound(text, lambda x: F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(x, k)))
 
 
 def weighted_hits(text: Column, weights: dict[str, float]) -> Column:
@@ -71,7 +76,7 @@ def categorize(terms: Column) -> Column:
     """First category, in their fixed order, of which any term contains a keyword as a substring."""
     slugs = list(config.CATEGORY_KEYWORDS)
     places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for i, slug in enumerate(slugs) for k in config.CATEGORY_KEYWORDS[slug]])
-    hit = F.filter(places, lambda p: F.exists(terms, lambda t: F.contains(F.lower(t), p["k"])))
+    hit = bound(F.transform(terms, lambda t: F.lower(t)), lambda low: F.filter(places, lambda p: F.exists(low, lambda t: F.contains(t, p["k"]))))
     return F.coalesce(F.get(F.array(*map(F.lit, slugs)), F.array_min(F.transform(hit, lambda p: p["i"]))), F.lit("technology"))
 
 
@@ -160,7 +165,7 @@ def sentences(content: Column) -> Column:
 
 def extractive_summary(content: Column) -> Column:
     text = F.substring(F.array_join(F.slice(sentences(content), 1, 3), " "), 1, 300)
-    return F.when(text == "", "Summary not available.").otherwise(text)
+    return bound(text, lambda x: F.when(x == "", "Summary not available.").otherwise(x))
 
 
 def keyword_fingerprint(docs, content: str = "content", id_col: str = "article_id"):
@@ -173,11 +178,6 @@ def keyword_fingerprint(docs, content: str = "content", id_col: str = "article_i
     return docs.select(id_col).join(top, id_col, "left").select(id_col, F.substring(F.sha2(F.coalesce(joined, F.lit("")), 256), 1, 32).alias("keyword_fp"))
 
 
-def bound(x: Column, f) -> Column:
-    """f(x) with x computed once: the transform of one element binds it, where a filter would else build it for each use."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def tech_score(title: Column, summary: Column, content: Column, source: Column, extra_high=()) -> Column:
     """Hits of each keyword class by weight, less those against, 5 more for a tech source; over 30, between 0 and 1."""
     name = F.lower(source)
@@ -200,12 +200,14 @@ def is_tech(score: Column) -> Column:
 def tech_keywords(title: Column, summary: Column, content: Column, extra_high=()) -> Column:
     """The first ten distinct keywords that count for tech."""
     keywords = tuple(dict.fromkeys((*config.TECH_HIGH, *extra_high, *config.TECH_MEDIUM, *config.TECH_LOW)))
-    return F.slice(bound(F.lower(F.concat_ws(" ", title, summary, content)), lambda x: keyword_hits(x, keywords)), 1, 10)
+    return F.slice(keyword_hits(F.lower(F.concat_ws(" ", title, summary, content)), keywords), 1, 10)
 
 
 def why_it_matters(content: Column) -> Column:
-    found = F.slice(keyword_hits(F.lower(content), config.SUMMARY_KEYWORDS), 1, 3)
-    return F.when(F.size(found) > 0, F.concat(F.lit("This relates to "), F.array_join(found, ", "), F.lit(" in tech."))).otherwise("This is a notable development in the tech industry.")
+    def sentence(found: Column) -> Column:
+        return F.when(F.size(found) > 0, F.concat(F.lit("This relates to "), F.array_join(found, ", "), F.lit(" in tech."))).otherwise("This is a notable development in the tech industry.")
+
+    return bound(F.slice(keyword_hits(F.lower(content), config.SUMMARY_KEYWORDS), 1, 3), sentence)
 
 
 def summary_title(title: Column) -> Column:
