@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -60,6 +60,36 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once: the transform of one element binds it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+#: Elements that running() takes at a time.
+_RUN = 256
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """The array of op's running results over an array, each element's own included; op is associative, with this zero.
+
+    An aggregate that appends copies its array at each step, so it is done in runs, and over the runs' totals.
+    """
+
+    def grow(xs: Column, of: Callable[[Column], Column]) -> Column:
+        start = F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("out"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct(op(acc["at"], of(x)).alias("at"), F.concat(acc["out"], F.array(op(acc["at"], of(x)))).alias("out")))
+
+    def joined(inside: Column) -> Column:
+        bases = F.concat(F.array(zero), grow(inside, lambda x: x["at"])["out"])
+        return F.flatten(F.zip_with(inside, F.slice(bases, F.lit(1), F.size(inside)), lambda c, b: F.transform(c["out"], lambda v: op(b, v))))
+
+    def runs(xs: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(xs) / _RUN).cast("int") - 1, F.lit(0))
+        return bound(F.transform(F.sequence(F.lit(0), last), lambda j: grow(F.slice(xs, j * _RUN + 1, F.lit(_RUN)), lambda x: x)), joined)
+
+    return bound(values, runs)
+
+
 def private(name: str) -> str:
     """A column name that cannot clash with the caller's."""
     return f"_{name}_{uuid.uuid4().hex[:8]}"

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newslake.llm.common import private, saved
+from newslake.llm.common import bound, private, running, saved
 
 #: Kinds in their order, with pattern and least length; group 0 counts, for assign group 2.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -53,19 +53,18 @@ class Models:
 def _zipped(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m>> of the leftmost non-overlapping matches: their code point span and text.
 
-    split and regexp_extract_all walk the same matches, so starts are the running sum of gaps and matches.
+    split and regexp_extract_all walk the same matches, so ends are the running sum of gaps and matches.
     """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("spans"))
+    def spans(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        lengths = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m))
+        ends = running(lengths, lambda a, b: a + b, F.lit(0))
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))
 
-    start = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<s:int,e:int,m:string>>))")
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m"))
+    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
     # most texts have no match and skip the rest
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(start["spans"])
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, spans(found)).otherwise(none))
 
 
 def _kind(spans: Column, kind: str) -> Column:
@@ -173,27 +172,47 @@ def model_spans(text: Column, models: Models) -> Column:
     return _kind(F.filter(_zipped(text, CANDIDATE), lambda x: _mean_ratio(x["m"], models.ratios) > models.threshold), "random")
 
 
-def all_spans(text: Column, models: Models) -> tuple[dict[str, Column], Column]:
-    """Base spans by kind, and the models' spans that no base span overlaps."""
-    base = base_spans(text)
-    flat = F.concat(*base.values())
-    extra = F.filter(model_spans(text, models), lambda x: ~F.exists(flat, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return base, extra
+def _free(base: Column, extra: Column) -> Column:
+    """The spans of extra (kind random) that no span of base overlaps. In order of start, an extra span is free if the
+    greatest end of the base spans before it and the least start of those after it leave it so."""
+
+    def kept(spans: Column) -> Column:
+        is_base = lambda x: x["k"] < KINDS.index("random")
+        ends = running(F.transform(spans, lambda x: F.when(is_base(x), x["e"]).otherwise(F.lit(-1))), F.greatest, F.lit(-1))
+        most = F.lit(2**31 - 1)
+        starts = F.reverse(running(F.transform(F.reverse(spans), lambda x: F.when(is_base(x), x["s"]).otherwise(most)), F.least, most))
+        rows = F.arrays_zip(spans.alias("x"), ends.alias("before"), starts.alias("after"))
+        free = F.filter(rows, lambda r: ~is_base(r["x"]) & (r["before"] <= r["x"]["s"]) & (r["after"] >= r["x"]["e"]))
+        return F.transform(free, lambda r: r["x"])
+
+    none = F.expr("cast(array() as array<struct<s:int,k:int,e:int,m:string>>)")
+    whole = lambda x: F.when(F.size(x) > 0, bound(F.array_sort(F.concat(base, x)), kept)).otherwise(none)
+    return bound(extra, whole)
+
+
+def all_spans(text: Column, models: Models) -> Column:
+    """struct of the base spans by kind, and extra: the models' spans that no base span overlaps."""
+    kinds = KINDS[:-1]
+
+    def whole(b: Column) -> Column:
+        return F.struct(*[b[k].alias(k) for k in kinds], _free(F.concat(*[b[k] for k in kinds]), model_spans(text, models)).alias("extra"))
+
+    return bound(F.struct(*[v.alias(k) for k, v in base_spans(text).items()]), whole)
 
 
 def scan(docs: DataFrame, models: Models | None = None, rules: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_assign, n_access, n_hex, base_sha256, spans, found array<struct<s, k, e, m>>."""
     models = train(labelled_samples(docs, text_col, rules), rules) if models is None else models
-    base, extra = all_spans(F.coalesce(F.col(text_col), F.lit("")), models)
-    names = {k: private(k) for k in (*base, "extra")}
-    rows = docs.select(F.col(id_col), *[v.alias(names[k]) for k, v in base.items()], extra.alias(names["extra"]))
-    flat = F.concat(*[F.col(names[k]) for k in base])
+    spans = private("spans")
+    rows = docs.select(F.col(id_col), all_spans(F.coalesce(F.col(text_col), F.lit("")), models).alias(spans))
+    flat = F.concat(*[F.col(f"{spans}.{k}") for k in KINDS[:-1]])
+    every = F.concat(flat, F.col(f"{spans}.extra"))
     return rows.select(
         id_col,
-        *[F.size(names[k]).cast("long").alias(f"n_{k}") for k in base],
+        *[F.size(f"{spans}.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:-1]],
         F.sha2(digest(flat), 256).alias("base_sha256"),
-        digest(F.concat(flat, names["extra"])).alias("spans"),
-        F.array_sort(F.concat(flat, names["extra"])).alias("found"),
+        digest(every).alias("spans"),
+        F.array_sort(every).alias("found"),
     )
 
 
@@ -201,7 +220,6 @@ def redact(docs: DataFrame, models: Models | None = None, rules: Threshold = Thr
     """docs with every span's text replaced by mask (overlapping spans by one) and count_col brought up to date."""
     models = train(labelled_samples(docs, text_col, rules), rules) if models is None else models
     name = private("spans")
-    base, extra = all_spans(F.coalesce(F.col(text_col), F.lit("")), models)
     text = F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:
@@ -210,7 +228,8 @@ def redact(docs: DataFrame, models: Models | None = None, rules: Threshold = Thr
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
 
     start = F.expr("named_struct('at', 0, 'out', cast(array() as array<string>))")
-    spans = F.array_sort(F.concat(*base.values(), extra))
+    found = all_spans(F.coalesce(text, F.lit("")), models)
+    spans = bound(found, lambda x: F.array_sort(F.concat(*[x[k] for k in (*KINDS[:-1], "extra")])))
     clean = F.aggregate(F.col(name), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     out = docs.withColumn(name, spans).withColumn(text_col, F.when(F.size(name) > 0, clean).otherwise(text)).drop(name)
     return out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)) if count_col in docs.columns else out

@@ -100,3 +100,34 @@ def test_samples_and_empty_tables(spark, world):
     long_text = "word " * 200_000 + "AKIA" + "Q" * 16
     one = spark.createDataFrame([(1, long_text)], "doc_id long, text string")
     assert secrets.scan(one, models).first().spans == f"access:{len(long_text) - 20}:{len(long_text)}"
+
+
+def test_running_results(spark):
+    from pyspark.sql import functions as F
+
+    from newslake.llm.common import running
+
+    r = random.Random(4)
+    rows = [[r.randrange(-9, 10) for _ in range(n)] for n in (0, 1, 2, 255, 256, 257, 512, 1000)]
+    df = spark.createDataFrame([(x,) for x in rows], "x array<int>")
+    got = df.select("x", running(F.col("x"), lambda a, b: a + b, F.lit(0)).alias("sums"), running(F.col("x"), F.greatest, F.lit(-99)).alias("most")).collect()
+    for x in got:
+        assert x.sums == [sum(x.x[: i + 1]) for i in range(len(x.x))] and x.most == [max(x.x[: i + 1]) for i in range(len(x.x))]
+
+
+def test_many_spans_of_one_text(spark, world):
+    """Time follows the number of spans, of fixed patterns and of the models alike."""
+    import time
+
+    _, models = world
+    r = random.Random(9)
+    took = {}
+    for n in (2000, 8000):
+        parts = [f"{r.getrandbits(64):016x}" if i % 2 else "".join(r.choice(ALPHABETS["base62"]) for _ in range(24)) for i in range(n)]
+        docs = spark.createDataFrame([(1, " ".join(parts))], "doc_id long, text string")
+        secrets.scan(docs, models).collect()
+        began = time.time()
+        row = secrets.scan(docs, models).first()
+        took[n] = time.time() - began
+        assert row.n_hex == n // 2 and len(row.found) > 0.95 * n
+    assert took[8000] < 8 * took[2000] + 2
