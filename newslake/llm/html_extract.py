@@ -1,11 +1,12 @@
 """Main text of HTML pages by a minimum cut between content and boilerplate.
 
 A page becomes a row of text blocks. A block's terminal capacities are the costs of its two labels, in nats: what its
-elements say for sure (article, navigation, class and id words, ...) and the log-odds of a logistic classifier over its
-length, links, punctuation and kind. The classifier is trained on the blocks that elements do mark, without seeing those
-marks, so it can judge blocks and pages that have none. Blocks that follow each other, the closer in the element tree
-the more, and blocks of one parent element are tied by smoothness edges. The minimum cut labels the blocks; content
-blocks are joined in page order.
+elements say (article, navigation, class and id words, ...) and the log-odds of a logistic classifier over its length,
+links, punctuation and kind. The classifier is trained on the blocks that elements do mark, without seeing those marks,
+so it can judge blocks and pages that have none. Blocks that follow each other, the closer in the element tree the more,
+and blocks of one parent element are tied by smoothness edges. The minimum cut labels the blocks; content blocks are
+joined in page order. Being in or outside an article is evidence of the classifier's and the edges' own scale, so the cut
+may overrule it (a list of links in an article goes); only a mark of boilerplate outweighs all others together.
 
 The classifier is fitted on a bounded sample, about `Costs.sample` pages of least hash; of these only counts of blocks by
 cell of features (a few hundred) leave a task. Without marked blocks of both labels its weights are 0.
@@ -13,7 +14,8 @@ cell of features (a few hundred) leave a task. Without marked blocks of both lab
 Null and empty html gives an empty text. Pages are read whole. Unclosed comments, scripts and other raw elements are taken
 to the page's end, as browsers do. What a head can hold has no text but its raw elements', and other text or elements end
 it, so head tags need no rule. Buttons, selects, objects and drawings are left out; one without its end tag is left out up
-to the next block's tag. Each row is extracted by itself, so repeated rows need no rule; equal costs are settled as content.
+to the next block's tag. Each row is extracted by itself, so repeated rows need no rule; equal costs are settled as content, so a page of which nothing is known is
+content.
 An empty table gives no rows. Extra columns are dropped, whatever their names.
 """
 
@@ -61,10 +63,14 @@ _GOOD_WORDS = frozenset("article content post entry story main body text".split(
 
 @dataclass(frozen=True)
 class Costs:
-    """All in nats. sure: of what elements mark; most: bound of the classifier's log-odds; near, sibling: edges between
-    blocks in a row and of one parent; sample: pages that the classifier learns from."""
-
-    sure: float = 12.0
+    """All in nats. bad: of a mark of boilerplate; article, outside, good: of a block in an article, outside the page's
+    articles, and with a good word on a page without one; most: bound of the classifier's log-odds; near, sibling: edges
+    between blocks in a row and of one parent; sample: pages that the classifier learns from."""
+
+    bad: float = 6.0
+    article: float = 2.5
+    outside: float = 3.0
+    good: float = 1.5
     most: float = 3.0
     near: float = 1.0
     sibling: float = 0.5
@@ -84,7 +90,7 @@ class _Element:
         bad_words = words & _BAD_WORDS
         if own_article or name in ("body", "html"):
             bad_words = set()
-        elif inside and name in ("header", "h1", "h2", "h3"):
+        elif inside:  # of the article, not of the page
             bad_words -= {"header", "banner", "masthead"}
         self.bad = int(at.bad if at else 0) + (name in _BAD_TAGS) + bool(bad_words)
         self.page_header = bool(at and at.page_header) or (name == "header" and not inside)
@@ -220,6 +226,20 @@ def marks(blocks: list[tuple[str, int, _Element]]) -> list[int]:
     return [-1 if e.bad or e.page_header else 1 if e.article else -1 if article else int(e.good) for _, _, e in blocks]
 
 
+def evidence_of(blocks: list[tuple[str, int, _Element]], costs: Costs) -> list[float]:
+    """What the marks say of each block, above 0 for content."""
+    article = any(e.article and not e.bad for _, _, e in blocks)
+    out = []
+    for _, _, e in blocks:
+        if e.bad or e.page_header:
+            out.append(-costs.bad)
+        elif e.article:
+            out.append(costs.article)
+        else:
+            out.append(-costs.outside if article else costs.good * e.good)
+    return out
+
+
 def log_odds(counts: np.ndarray, ridge: float = Costs.ridge) -> np.ndarray:
     """Log-odds of content by cell: a ridge logistic regression on (cell, label) counts, both labels weighted alike."""
     x, total = _features(), counts.sum(axis=0)
@@ -287,16 +307,28 @@ def min_cut(evidence: list[float], edges: list[tuple[int, int, float]]) -> list[
         for a, b in path:
             room[a][b] -= flow
             room[b][a] = room[b].get(a, 0.0) + flow
+    # of the least cuts that with the most content: what can't reach the sink
+    back: dict[int, list[int]] = {}
+    for i, to in room.items():
+        for j, w in to.items():
+            if w > 1e-9:
+                back.setdefault(j, []).append(i)
+    reaches, queue = {n + 1}, deque([n + 1])
+    while queue:
+        for i in back.get(queue.popleft(), ()):
+            if i not in reaches:
+                reaches.add(i)
+                queue.append(i)
     for i in left:
-        label[i] = i in came
+        label[i] = i not in reaches
     return label
 
 
-def labelled(blocks: list[tuple[str, int, _Element]], sure: list[int], odds: np.ndarray, costs: Costs = Costs()) -> list[bool]:
-    """True by block that the minimum cut calls content."""
+def labelled(blocks: list[tuple[str, int, _Element]], said: list[float], odds: np.ndarray, costs: Costs = Costs()) -> list[bool]:
+    """True by block that the minimum cut calls content; said: the marks' evidence."""
     evidence, edges, last = [], [], {}
-    for i, ((text, linked, e), mark) in enumerate(zip(blocks, sure, strict=True)):
-        evidence.append(costs.sure * mark + min(costs.most, max(-costs.most, float(odds[cell_of(text, linked, e)]))))
+    for i, ((text, linked, e), mark) in enumerate(zip(blocks, said, strict=True)):
+        evidence.append(mark + min(costs.most, max(-costs.most, float(odds[cell_of(text, linked, e)]))))
         parent = e.parent.n if e.parent else 0
         if i:
             before = blocks[i - 1][2]
@@ -314,7 +346,7 @@ NO_ODDS = np.zeros(int(np.prod(_CELL)))
 
 def main_text(page: str, odds: np.ndarray = NO_ODDS, costs: Costs = Costs()) -> str:
     blocks = blocks_of(page)
-    return " ".join(b[0] for b, good in zip(blocks, labelled(blocks, marks(blocks), odds, costs), strict=True) if good)
+    return " ".join(b[0] for b, good in zip(blocks, labelled(blocks, evidence_of(blocks, costs), odds, costs), strict=True) if good)
 
 
 def train(pages: DataFrame, html_col: str = "html", costs: Costs = Costs()) -> np.ndarray:

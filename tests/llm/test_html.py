@@ -9,10 +9,10 @@ import pytest
 from newslake.llm import html_extract as H
 
 
-def marked_page(r):
+def marked_page(r, lengths=(2, 15, 20, 30, 60, 90)):
     prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n)).capitalize() + "."
     links = "".join(f"<li><a href=/{k}>{prose(1)}</a></li>" for k in range(r.randint(4, 7)))
-    body = "".join(f"<p>{prose(r.choice((2, 30, 60, 90)))}</p>" for _ in range(r.randint(3, 8)))
+    body = "".join(f"<p>{prose(r.choice(lengths))}</p>" for _ in range(r.randint(3, 8)))
     return f"<html><head><title>t</title></head><body><nav><ul>{links}</ul></nav><div class=ad>{prose(9)}</div><article><h1>{prose(5)}</h1>{body}</article><footer>&copy; {prose(6)}</footer>"
 
 
@@ -35,12 +35,12 @@ def test_labels_are_the_least_costly_of_all(odds):
             if r.random() < 0.3:
                 parts.append("</div>" if r.random() < 0.5 else "<div>")
         blocks = H.blocks_of("".join(parts))
-        sure = [r.choice((0, 0, 0, 1, -1)) for _ in blocks]
+        said = [r.choice((0.0, 0.0, 1.5, 2.5, -3.0, -6.0)) for _ in blocks]
 
         def cost(labels):
             total, last = 0.0, {}
-            for i, ((text, linked, e), mark, label) in enumerate(zip(blocks, sure, labels, strict=True)):
-                net = costs.sure * mark + np.clip(odds[H.cell_of(text, linked, e)], -costs.most, costs.most)
+            for i, ((text, linked, e), mark, label) in enumerate(zip(blocks, said, labels, strict=True)):
+                net = mark + np.clip(odds[H.cell_of(text, linked, e)], -costs.most, costs.most)
                 total += max(net, 0) if not label else max(-net, 0)
                 parent = e.parent.n
                 if i:
@@ -52,14 +52,16 @@ def test_labels_are_the_least_costly_of_all(odds):
                 last[parent] = i
             return total
 
-        assert cost(H.labelled(blocks, sure, odds)) == pytest.approx(min(cost(x) for x in itertools.product([False, True], repeat=len(blocks))))
+        assert cost(H.labelled(blocks, said, odds)) == pytest.approx(min(cost(x) for x in itertools.product([False, True], repeat=len(blocks))))
 
 
-def test_cut_mends_the_classifier_where_marks_are_hidden(odds):
+def test_cut_mends_the_classifier_where_marks_are_hidden(spark):
+    r, lengths = random.Random(1), (2, 30, 60, 90)
+    odds = H.train(spark.createDataFrame([(k, marked_page(r, lengths), "x") for k in range(300)], "page_id long, html string, cell string"))
     r = random.Random(3)
     alone = cut = changed = n = 0
     for _ in range(200):
-        blocks = H.blocks_of(marked_page(r))
+        blocks = H.blocks_of(marked_page(r, lengths))
         truth = [m > 0 for m in H.marks(blocks)]
         own = [odds[H.cell_of(*b)] >= 0 for b in blocks]
         with_cut = H.labelled(blocks, [0] * len(blocks), odds)
@@ -88,3 +90,45 @@ def test_tables(spark, odds):
     assert next(x for x in got if x[0] == 5)[2] == " ".join(["word"] * 20_000)
     assert H.extract(df.limit(0)).count() == 0 and H.extract(df).columns == ["page_id", "url", "text", "n_chars"]
     assert (H.train(df.limit(0)) == 0).all()
+
+
+STORY = "The council met on Tuesday evening and spoke at length about the bridge, its cost and the years that it will take. "
+LINKS = "<ul>" + "".join(f"<li><a href=/{k}>More about {k}</a></li>" for k in ("roads", "rivers", "towns", "trade", "trains")) + "</ul>"
+#: (page, its main text), labelled by hand.
+BY_HAND = [
+    (f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Bridge</h1><p>{STORY}</p>{LINKS}<p>{STORY}</p></article></body>", f"Bridge {STORY}{STORY}"),
+    (f"<body><article><div class='entry-header'><h1>Bridge</h1></div><p>{STORY}</p></article></body>", f"Bridge {STORY}"),
+    (f"<body><main><h1>Bridge</h1><p>{STORY}</p><p>Yes.</p><p>{STORY}</p><section class='more-stories'><article>{LINKS}</article></section></main></body>", f"Bridge {STORY}Yes. {STORY}"),
+    (f"<body><main><div class='tabs'>{LINKS}</div><h1>Bridge</h1><p>{STORY}</p></main></body>", f"Bridge {STORY}"),
+    (f"<body><div class='post'><p>{STORY}</p>{LINKS}</div></body>", STORY),
+    (f"<body><div><h1>Bridge</h1><p>{STORY}</p></div>{LINKS}<p>&copy; The paper</p></body>", f"Bridge {STORY}"),
+    (f"<body><article><p>{STORY}</p><ul><li>the cost</li><li>the years it takes.</li></ul><p class='ad'>{STORY}</p><p>{STORY}</p></article></body>", f"{STORY}the cost the years it takes. {STORY}"),
+]
+
+
+def test_the_cut_overrules_marks_of_pages_labelled_by_hand(odds):
+    flat = lambda x: " ".join(x.split())
+    by_marks = changed = 0
+    for page, truth in BY_HAND:
+        assert H.main_text(page, odds) == flat(truth)
+        blocks = H.blocks_of(page)
+        said = H.evidence_of(blocks, H.Costs())
+        by_marks += flat(" ".join(b[0] for b, x in zip(blocks, said, strict=True) if x >= 0)) == flat(truth)
+        changed += sum((x >= 0) != y for x, y in zip(said, H.labelled(blocks, said, odds), strict=True))
+    assert changed >= 20 and by_marks <= 2  # of seven pages
+
+
+def test_pages_without_marks_or_training(spark):
+    bare = "<body><div><h1>Title</h1><p>Some text of the page.</p></div></body>"
+    assert H.main_text(bare) == "Title Some text of the page."
+    df = spark.createDataFrame([(1, "u", bare)], "page_id long, url string, html string")
+    assert H.extract(df).first().text == "Title Some text of the page."
+    head = "<article><div class=\"entry-header\"><h1>Title</h1></div><p>Text.</p></article>"
+    assert H.main_text(head) == "Title Text."
+
+
+def test_ties_of_a_cut_are_content():
+    assert H.min_cut([0.0, 0.0], [(0, 1, 1.0)]) == [True, True]
+    # both labels of the middle cost the same
+    assert H.min_cut([5.0, 0.0, -5.0], [(0, 1, 1.0), (1, 2, 1.0)]) == [True, True, False]
+    assert H.min_cut([0.5, -0.5, 0.5, -0.5], [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)]) == [True] * 4
