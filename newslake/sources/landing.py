@@ -21,18 +21,29 @@ def _filled(*columns: Column) -> Column:
 
 def news_json(spark: SparkSession, path: str, name: str, author: bool = True) -> DataFrame:
     """Rows with a title and a url; content falls back to the description, the source's name to `name`."""
-    a = spark.read.schema(NEWS).option("multiLine", True).json(path).select(F.explode("articles").alias("a"))
+    return news_rows(spark.read.schema(NEWS).option("multiLine", True).json(path), name, author)
+
+
+def news_rows(payloads: DataFrame, name: str, author: bool = True, bad: str | None = None) -> DataFrame:
+    """The same of parsed payloads; with bad, the column of unparsed text, rows that have it stay and have it alone."""
+    a = payloads.select(F.explode_outer("articles").alias("a"), *([bad] if bad else []))
     rows = a.select(
-        "a.title", "a.url", _filled(F.col("a.content"), F.col("a.description")).alias("content"), _filled(F.col("a.description")).alias("summary"),
+        *([bad] if bad else []), "a.title", "a.url", _filled(F.col("a.content"), F.col("a.description")).alias("content"), _filled(F.col("a.description")).alias("summary"),
         F.coalesce(F.when(F.col("a.source.name") != "", F.col("a.source.name")), F.lit(name)).alias("source_name"),
         (F.col("a.author") if author else F.lit(None).cast("string")).alias("author"), F.coalesce("a.urlToImage", "a.image").alias("image_url"),
         F.try_to_timestamp("a.publishedAt").alias("published_at"), F.array(F.lit("technology")).alias("categories"),
     )
-    return rows.where("coalesce(title, '') <> '' and coalesce(url, '') <> ''")
+    whole = (F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "")
+    return rows.where(whole | F.col(bad).isNotNull() if bad else whole)
 
 
 def link_items(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(ITEM).json(path).where("type = 'story' and coalesce(url, '') <> ''")
+    return item_rows(spark.read.schema(ITEM).json(path))
+
+
+def item_rows(items: DataFrame) -> DataFrame:
+    """The same of parsed items."""
+    rows = items.where("type = 'story' and coalesce(url, '') <> ''")
     return rows.select(
         F.col("id").alias("item_id"), F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("Untitled")).alias("title"), "url", _filled(F.col("text")).alias("content"),
         F.substring(_filled(F.col("text")), 1, 300).alias("summary"), F.timestamp_seconds("time").alias("published_at"), F.col("by").alias("author"),
