@@ -27,10 +27,23 @@ def page_info(df: DataFrame, page: int, limit: int, most: int = 50) -> DataFrame
     return total.select("total", F.ceil(F.col("total") / limit).alias("total_pages"), (F.lit(page * limit) < F.col("total")).alias("has_more"), F.lit(page > 1).alias("has_previous"))
 
 
-def keyset_page(df: DataFrame, field: str, value, last_id, limit: int, id_col: str = "article_id") -> DataFrame:
-    """Rows after (value, last_id) in descending order, one more than the limit to tell whether there are more."""
-    after = (F.col(field) < value) | ((F.col(field) == value) & (F.col(id_col) < last_id)) if last_id is not None else F.lit(True)
-    return df.where(after).orderBy(F.desc(field), F.desc(id_col)).limit(limit + 1)
+def keyset_page(df: DataFrame, field: str, value, last_id, limit: int, id_col: str = "article_id", ascending: bool = False) -> DataFrame:
+    """Rows after (value, last_id) in descending order (or ascending), one more than the limit to tell whether there are
+    more. A previous cursor is read in the other direction than its page's."""
+    x, i = F.col(field), F.col(id_col)
+    past = (x > value) | ((x == value) & (i > last_id)) if ascending else (x < value) | ((x == value) & (i < last_id))
+    order = (F.asc(field), F.asc(id_col)) if ascending else (F.desc(field), F.desc(id_col))
+    return df.where(past if last_id is not None else F.lit(True)).orderBy(*order).limit(limit + 1)
+
+
+def keyset_cursors(page: DataFrame, field: str, limit: int, has_cursor: bool, id_col: str = "article_id", ascending: bool = False) -> DataFrame:
+    """One row of a keyset_page: has_more, the next cursor (next_value, next_id: the page's last row, null if that is the
+    end) and the previous one (prev_value, prev_id: its first row, to be read in the other direction; null without a cursor)."""
+    at = F.struct(F.col(field).alias("v"), F.col(id_col).alias("i"))
+    rows = page.agg(F.sort_array(F.collect_list(at), asc=ascending).alias("l"))  # limit + 1 rows
+    has_more = F.size("l") > limit
+    last, first = F.when(has_more, F.get("l", F.lit(limit - 1))), F.when(F.lit(has_cursor), F.get("l", F.lit(0)))
+    return rows.select(has_more.alias("has_more"), last["v"].alias("next_value"), last["i"].alias("next_id"), first["v"].alias("prev_value"), first["i"].alias("prev_id"))
 
 
 def article_filter(df: DataFrame, category: str | None = None, since: Column | None = None, until: Column | None = None, featured: bool | None = None, text: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslake.config import Ranking
-from newslake.functions.text import half_up, weighted_hits
+from newslake.functions.text import half_up, keyword_hits, weighted_hits
 
 
 def lookup(key: Column, values: dict[str, float], default: float) -> Column:
@@ -43,7 +43,7 @@ def authority_score(a: Column) -> Column:
 
 
 def signals(articles: DataFrame, as_of: Column, config: Ranking = Ranking()) -> DataFrame:
-    """articles with raw_* columns. Optional input columns: tags, hn_score, related_count."""
+    """articles with raw_* columns, raw_keywords the matched ones in the dictionary's order. Optional input columns: tags, hn_score, related_count."""
     have = set(articles.columns)
     tags = F.array_join("tags", " ") if "tags" in have else F.lit(None)
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring(F.coalesce("content", F.lit("")), 1, 2000), tags))
@@ -53,6 +53,7 @@ def signals(articles: DataFrame, as_of: Column, config: Ranking = Ranking()) ->
         "raw_hn_score": F.coalesce("hn_score", F.lit(0)) if "hn_score" in have else F.lit(0),
         "raw_age_hours": age,
         "raw_keyword_weight": weighted_hits(text, config.keywords),
+        "raw_keywords": keyword_hits(text, config.keywords),
         "raw_authority": lookup(F.col("source_name"), config.authorities, 50.0),
         "raw_boost": lookup(F.col("category_slug"), config.boosts, 1.0),
     })

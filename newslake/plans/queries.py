@@ -99,6 +99,11 @@ def rank_scores(spark, sf_dir):
     return scored(spark, sf_dir).select("article_id", "final_score")
 
 
+@query(f"WITH {ARTICLE_SQL}, t AS (SELECT article_id, lower(concat_ws(' ', coalesce(title, ''), substring(coalesce(content, ''), 1, 2000))) AS low FROM article) SELECT article_id, array_to_string(list_filter([{', '.join(map(quoted, config.KEYWORD_WEIGHTS))}], lambda k: contains(low, k)), ',') AS keywords FROM t")
+def rank_keywords(spark, sf_dir):
+    return ranking.signals(bare_articles(spark, sf_dir), as_of()).select("article_id", F.array_join("raw_keywords", ",").alias("keywords"))
+
+
 _COMPONENTS = ("source", "keyword", "recency", "engagement", "authority")
 
 
@@ -145,6 +150,26 @@ def keyset_page(spark, sf_dir):
     return feeds.keyset_page(bare_articles(spark, sf_dir), "published_at", at, 500, 20).select("article_id", day("published_at").alias("published"))
 
 
+_PAGE_SQL = f"WITH {ARTICLE_SQL}, p AS (SELECT article_id, published_at FROM article WHERE published_at < {NOW} - INTERVAL 10 HOUR OR (published_at = {NOW} - INTERVAL 10 HOUR AND article_id < 500) ORDER BY published_at DESC, article_id DESC LIMIT 21), o AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, article_id DESC) AS n FROM p)"
+
+
+@query(f"{_PAGE_SQL} SELECT (SELECT count(*) > 20 FROM p) AS has_more, {sql_day('l.published_at')} AS next_value, l.article_id AS next_id, {sql_day('f.published_at')} AS prev_value, f.article_id AS prev_id FROM o f LEFT JOIN o l ON l.n = 20 AND (SELECT count(*) > 20 FROM p) WHERE f.n = 1")
+def keyset_cursors(spark, sf_dir):
+    page = feeds.keyset_page(bare_articles(spark, sf_dir), "published_at", as_of() - F.expr("INTERVAL 10 HOURS"), 500, 20)
+    out = feeds.keyset_cursors(page, "published_at", 20, True)
+    return out.withColumns({c: day(c) for c in ("next_value", "prev_value")})
+
+
+@query(f"{_PAGE_SQL}, f AS (SELECT * FROM o WHERE n = 1) SELECT a.article_id, {sql_day('a.published_at')} AS published FROM article a, f WHERE a.published_at > f.published_at OR (a.published_at = f.published_at AND a.article_id > f.article_id) ORDER BY a.published_at, a.article_id LIMIT 21")
+def keyset_previous(spark, sf_dir):
+    """The page before, by the previous cursor read upwards."""
+    rows = bare_articles(spark, sf_dir)
+    page = feeds.keyset_page(rows, "published_at", as_of() - F.expr("INTERVAL 10 HOURS"), 500, 20)
+    at = feeds.keyset_cursors(page, "published_at", 20, True).first()
+    before = feeds.keyset_page(rows, "published_at", F.lit(at["prev_value"]), at["prev_id"], 20, ascending=True)
+    return before.select("article_id", day("published_at").alias("published"))
+
+
 @query(f"WITH {ARTICLE_SQL} SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages, 150 < count(*) AS has_more, TRUE AS has_previous FROM article")
 def page_info(spark, sf_dir):
     return feeds.page_info(bare_articles(spark, sf_dir), 3, 50)
