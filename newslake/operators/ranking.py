@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newslake.config import Ranking
 from newslake.functions.text import half_up, keyword_hits, weighted_hits
+from newslake.operators.checkpoints import reliable
 
 
 def lookup(key: Column, values: dict[str, float], default: float) -> Column:
@@ -104,3 +105,16 @@ def ranking_job(articles: DataFrame, as_of: Column, config: Ranking = Ranking())
     df = window_scan(articles, as_of, int(config.max_age_hours))
     df = cluster_sizes(df) if "cluster_id" in df.columns else df
     return rank_scores(df, as_of, config).withColumn("score", half_up(F.col("final_score") * 100))
+
+
+def ranking_run(articles: DataFrame, as_of: Column, config: Ranking = Ranking(), top: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(changes to store: article_id, score, is_featured of the rows where either differs; the day's feed: article_id,
+    final_score, rank). Without an article in the window nothing changes."""
+    scored = reliable(ranking_job(articles, as_of, config).select("article_id", "final_score", F.col("score").cast("double").alias("_score")))
+    feed = reliable(top_ranked(scored, top).select("article_id", "final_score", F.col("rank").cast("long").alias("rank")))
+    first = F.broadcast(feed.where("rank = 1").select(F.col("article_id").alias("_top")))
+    rows = articles.select("article_id", "published_at", "score", F.coalesce("is_featured", F.lit(False)).alias("is_featured"))
+    now = featured(rows.join(first), F.col("_top"), as_of).select("article_id", F.col("is_featured").alias("_flag"))
+    new = rows.join(now, "article_id").join(scored, "article_id", "left").withColumn("_new", F.coalesce("_score", "score"))
+    differs = ~F.col("_new").eqNullSafe(F.col("score")) | (F.col("_flag") != F.col("is_featured"))
+    return new.where(differs).select("article_id", F.col("_new").alias("score"), F.col("_flag").alias("is_featured")), feed

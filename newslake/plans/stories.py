@@ -8,6 +8,7 @@ from newslake import config
 from newslake.operators import notify, ranking, serving, similarity
 from newslake.operators.checkpoints import reliable
 from newslake.plans.queries import _BOOST, _CLUSTER_KEY, _COSINE, _IDF, _KEEP, _PAIRS, NOW, RULES, SCORED_SQL, _sql_tokens, day, query, rounded, sql_day, sql_lookup, sql_rounded
+from newslake.sources import files, sinks, store
 from newslake.views import ARTICLE_SQL, articles, as_of, table
 
 #: The 72-hour window as the articles that the SQL of pairs works on.
@@ -102,6 +103,25 @@ def ranking_job(spark, sf_dir):
     return out.select("article_id", "final_score", F.col("score").cast("double").alias("score"))
 
 
+@query(f"""{_LINKS}, rel AS (SELECT article.*, coalesce(n, 1) AS related FROM article LEFT JOIN mem m USING (article_id) LEFT JOIN (SELECT cluster_id, count(*) AS n FROM mem GROUP BY 1) z ON z.cluster_id = m.cluster_id)
+{SCORED_SQL.replace('FROM article', 'FROM rel').replace(_SOURCES, _BY_SIZE).replace('comp AS (', 'parts AS (').replace('FROM comp)', 'FROM parts)')}, every AS (SELECT doc_id AS article_id, TIMESTAMP '{config.AS_OF}' - INTERVAL '1' MINUTE * CAST((doc_id * 37) % 5760 AS INT) AS pub FROM documents),
+feed AS (SELECT article_id, row_number() OVER (ORDER BY final_score DESC, article_id) AS rank FROM scored), top AS (SELECT article_id AS top_id FROM feed WHERE rank = 1)
+SELECT e.article_id, coalesce(floor(final_score * 100 + 0.5), CAST(e.article_id * 13 % 101 AS DOUBLE)) AS score, CASE WHEN pub >= TIMESTAMP '{config.AS_OF}' - INTERVAL 24 HOUR THEN e.article_id = top_id ELSE e.article_id % 50 = 0 OR e.article_id = top_id END AS is_featured,
+  CASE WHEN rank <= 10 THEN rank END AS rank, CASE WHEN rank <= 10 THEN strftime(TIMESTAMP '{config.AS_OF}', '%Y-%m-%d') END AS feed_date FROM every e LEFT JOIN scored s USING (article_id) LEFT JOIN feed f USING (article_id), top""")
+def ranking_stored(spark, sf_dir):
+    """The whole run on a store by day: clusters, ranks, scores and featured flags of the rows that change, the daily feed."""
+    path, feeds = files.scratch(spark, "articles"), files.scratch(spark, "feeds")
+    i = F.col("article_id")
+    store.append(articles(spark, sf_dir).withColumns({"score": ((i * 13) % 101).cast("double"), "is_featured": i % 50 == 0}), path)
+    group = reliable(similarity.clusters(store.window(spark, path, as_of(), 72).drop(store.DAY)))
+    rows = similarity.with_clusters(spark.read.parquet(path).drop(store.DAY), group)
+    changes, feed = ranking.ranking_run(rows, as_of(), RULES)
+    store.update(spark, path, changes, "article_id", ["score", "is_featured"])
+    sinks.write_daily_feed(feed, F.to_date(as_of()), feeds)
+    top = spark.read.parquet(feeds).select("article_id", "rank", F.col("feed_date").cast("string").alias("feed_date"))
+    return spark.read.parquet(path).select("article_id", "score", "is_featured").join(top, "article_id", "left")
+
+
 _CUT = "TIMESTAMP '2024-01-30 12:00:00'"
 _DECIDE = f"""WITH {ARTICLE_SQL.replace('article AS', 'whole AS')}, article AS (SELECT * FROM whole WHERE published_at < {_CUT}), batch AS (SELECT * FROM whole WHERE published_at >= {_CUT}),
 {_IDF}, every AS (SELECT *, 0 AS part FROM article UNION ALL SELECT *, 1 FROM batch),
