@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newslake import config
+from newslake.functions import keywords
 
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 
@@ -185,11 +186,14 @@ def tech_score(title: Column, summary: Column, content: Column, source: Column,
     for s in config.TECH_SOURCES:
         trusted = trusted | F.contains(name, F.lit(s))
 
-    def points(x: Column) -> Column:
-        plus = weighted_hits(x, dict.fromkeys((*config.TECH_HIGH, *extra_high), 3.0)) + weighted_hits(x, dict.fromkeys(config.TECH_MEDIUM, 2.0)) + weighted_hits(x, dict.fromkeys(config.TECH_LOW, 1.0))
-        return plus - weighted_hits(x, dict.fromkeys(config.NON_TECH, 2.0))
-
-    raw = bound(F.lower(F.concat_ws(" ", title, summary, content)), points) + F.when(trusted, 5.0).otherwise(0.0)
+    # a keyword of two classes counts for both
+    weights: dict[str, float] = {}
+    for words_, w in (((*config.TECH_HIGH, *extra_high), 3.0), (config.TECH_MEDIUM, 2.0), (config.TECH_LOW, 1.0), (config.NON_TECH, -2.0)):
+        for k in dict.fromkeys(words_):
+            weights[k] = weights.get(k, 0.0) + w
+    hits = keywords.places(F.lower(F.concat_ws(" ", title, summary, content)), tuple(weights))
+    points = F.array(*map(F.lit, weights.values()))
+    raw = F.aggregate(hits, F.lit(0.0), lambda acc, i: acc + F.get(points, i)) + F.when(trusted, 5.0).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw / 30))
 
 
@@ -199,8 +203,9 @@ def is_tech(score: Column) -> Column:
 
 def tech_keywords(title: Column, summary: Column, content: Column, extra_high=()) -> Column:
     """The first ten distinct keywords that count for tech."""
-    keywords = tuple(dict.fromkeys((*config.TECH_HIGH, *extra_high, *config.TECH_MEDIUM, *config.TECH_LOW)))
-    return F.slice(keyword_hits(F.lower(F.concat_ws(" ", title, summary, content)), keywords), 1, 10)
+    names = tuple(dict.fromkeys((*config.TECH_HIGH, *extra_high, *config.TECH_MEDIUM, *config.TECH_LOW)))
+    hits = keywords.places(F.lower(F.concat_ws(" ", title, summary, content)), names)
+    return F.transform(F.slice(hits, 1, 10), lambda i: F.get(F.array(*map(F.lit, names)), i))
 
 
 def why_it_matters(content: Column) -> Column:
