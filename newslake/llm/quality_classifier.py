@@ -6,7 +6,8 @@ from Mahalanobis distances with the Cholesky factors of both classes, which are
 
 Null and empty texts have all statistics 0 and get a score like any other. Texts are measured whole. Rows that repeat
 a doc_id are scored each for itself; a label counts once for each of its document's rows, and null labels count for
-none. Without labels of both classes every score is 0.5. Extra columns are not touched.
+none. Without labels of both classes every score is 0.5. An empty table gives no rows, an empty label table scores of
+0.5. Equal scores need no rule, as each row is judged by the threshold alone. Extra columns are not touched.
 """
 
 from __future__ import annotations

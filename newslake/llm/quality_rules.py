@@ -1,7 +1,8 @@
 """Quality rules: zstandard compression bands over whole texts and fixed chunks, beside plain text counts.
 
-Empty or null text has no words, so it fails the base rule. Ties and repeated rows are judged row by row.
-Very long texts are judged whole. Extra columns pass through unchanged, whatever their names.
+Empty or null text has no words, so it fails the base rule. Ties, equal and null ids and repeated rows are judged row
+by row; a ratio on a band's edge is inside the band. An empty table gives no rows. Very long texts are judged whole.
+Extra columns pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
