@@ -95,14 +95,14 @@ def _without(rows: DataFrame, held: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def first_stored(rows: DataFrame, near: DataFrame, save: Callable[[DataFrame], DataFrame] = reliable) -> DataFrame:
-    """Of rows (id, u, f, t) those that a fold in order of id stores: a row is stored if no row stored before it has its
+    """Of rows (id, u, f, t; saved) those that a fold in order of id stores: a row is stored if no row stored before it has its
     URL key u, its fingerprint f, its title t, or a title s near it (near: t, s, both ways). Null keys equal none.
 
     That is the first independent set of the rows' conflicts. In each round every row that is the least of all its keys
     is stored, and the open rows in conflict with those go; a hot key takes a row a task, and no pair of rows is made.
     Rounds follow the longest chain of rows each of which depends on the one before; they are few on real ids.
     """
-    open_ = save(rows.groupBy("u", "f", "t").agg(F.min("id").alias("id")))
+    open_ = rows.select("id", "u", "f", "t")
     done: list[DataFrame] = []
     while not open_.isEmpty():
         least = {k: open_.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("id").alias("id")) for k in ("u", "f", "t")}
@@ -125,7 +125,7 @@ def verdicts(batch: DataFrame, store: DataFrame | None = None) -> DataFrame:
     sets = rows.union(held).where("t is not null").groupBy("t").agg(F.first("bucket").alias("bucket"), F.first("w").alias("w"))
     pairs = reliable(set_pairs(sets.withColumnRenamed("t", "id")).select("a", "b"))
     near = pairs.selectExpr("a t", "b s").union(pairs.selectExpr("b t", "a s"))
-    kept = first_stored(_without(rows, held, near) if store is not None else rows, near)
+    kept = first_stored(reliable(_without(rows, held, near)) if store is not None else rows, near)
     seen = held.select(F.struct(F.lit(0).alias("part"), "id").alias("m"), "u", "f", "t").union(kept.select(F.struct(F.lit(1), "id"), "u", "f", "t"))
     least = {k: seen.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("m").alias(f"m{k}")) for k in ("u", "f", "t")}
     reach = least["t"].union(near.join(least["t"].withColumnRenamed("t", "s"), "s").select("t", "mt"))
