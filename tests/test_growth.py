@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from newslake.functions import text
 from newslake.operators import dedupe, similarity
 
 
@@ -25,3 +28,9 @@ def test_long_titles_share_bits_of_the_sketch(spark):
     jaccard = lambda v, w: len(v & w) / len(v | w)
     want = {(i, j): jaccard(set(v), set(w)) for i, _, v in sets for j, _, w in sets if i < j and jaccard(set(v), set(w)) >= 0.4}
     assert got == want and 0 < len(want) < 276
+
+
+def test_ngrams_clean_the_title_once(spark):
+    """Not once for each n-gram."""
+    df = spark.createDataFrame([("Ab  cD",)], "x string").select(text.char_ngrams(F.col("x")).alias("g"))
+    assert plan(df).count("regexp_replace") == 1 and df.first().g == ["ab ", "b c", " cd"]
