@@ -34,3 +34,22 @@ def test_ngrams_clean_the_title_once(spark):
     """Not once for each n-gram."""
     df = spark.createDataFrame([("Ab  cD",)], "x string").select(text.char_ngrams(F.col("x")).alias("g"))
     assert plan(df).count("regexp_replace") == 1 and df.first().g == ["ab ", "b c", " cd"]
+
+
+def test_title_cosines_come_with_the_pairs(spark):
+    """Repeated and boosted terms included; no row a pair and term is joined after the titles met."""
+    docs = spark.createDataFrame([(1, "Storm storm ai hits coast towns"), (2, "Storm hits hits hits coast towns again"), (3, "Storm ai ai coast towns")], "article_id long, title string")
+    titles = similarity.distinct_titles(docs)
+    got = {(r.a, r.b): r.cosine for r in similarity.candidate_pairs(titles).collect()}
+    vectors = similarity.title_vectors(titles.selectExpr("id article_id", "title"))
+    want = {(r.a, r.b): r.c for r in similarity.cosine(spark.createDataFrame(list(got), "a long, b long"), vectors, "c").collect()}
+    assert len(got) == 3 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_both_sides_of_a_duplicate_decision_may_use_an_id(spark):
+    long_ = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    frame = lambda rows: spark.createDataFrame(rows, "article_id long, title string, content string, source_url string")
+    store = frame([(1, "Storm hits coast towns tonight again", long_("a"), "https://s.com/1"), (2, "Quantum chips ship early", long_("b"), "https://s.com/2")])
+    batch = frame([(2, "Storm hits coast towns tonight badly", long_("a"), "https://n.com/2"), (1, "Quantum chips ship early", long_("b"), "https://n.com/1")])
+    got = {r.article_id: (r.matched_id, r.match_type) for r in similarity.duplicate_decisions(batch, store).collect()}
+    assert got == {2: (1, "near"), 1: (2, "exact")}
