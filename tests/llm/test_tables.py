@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newslake.llm import decontaminate, lm_scoring, ngram_join
+from newslake.llm import common, decontaminate, lm_scoring, ngram_join
 
 LONG = "long text of words " * 60_000
 
@@ -70,3 +70,14 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     assert sorted(x.doc_id or 0 for x in docs.collect()) == [0, 1]
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path / "full")).collect()} == {None, 1}
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_shuffle_files_go_where_the_session_does_not_say_so(spark):
+    assert common._CLEANUP not in dict(spark.sparkContext.getConf().getAll())
+    before = spark.conf.get(common._CLEANUP)
+    with common.tidy(spark):
+        assert spark.conf.get(common._CLEANUP) == "true"
+        with common.tidy(spark):
+            assert spark.conf.get(common._CLEANUP) == "true"
+        assert spark.conf.get(common._CLEANUP) == "true"
+    assert spark.conf.get(common._CLEANUP) == before
