@@ -53,3 +53,20 @@ def test_both_sides_of_a_duplicate_decision_may_use_an_id(spark):
     batch = frame([(2, "Storm hits coast towns tonight badly", long_("a"), "https://n.com/2"), (1, "Quantum chips ship early", long_("b"), "https://n.com/1")])
     got = {r.article_id: (r.matched_id, r.match_type) for r in similarity.duplicate_decisions(batch, store).collect()}
     assert got == {2: (1, "near"), 1: (2, "exact")}
+
+
+def _vector_texts(monkeypatch):
+    """Lists of the ids whose contents become vectors, one a call."""
+    seen, plain = [], similarity.content_vectors
+    monkeypatch.setattr(similarity, "content_vectors", lambda docs, *rest: seen.append({r.article_id for r in docs.select("article_id").collect()}) or plain(docs, *rest))
+    return seen
+
+
+def test_decided_rows_and_far_titles_are_not_compared(spark, monkeypatch):
+    seen = _vector_texts(monkeypatch)
+    body, names = "steel copper timber prices rise again " * 5, "article_id long, title string, content string, source_url string"
+    store = spark.createDataFrame([(1, "market steel copper timber prices rise", body, "http://a/1"), (2, "market steel quarry", body, "http://a/2"), (3, "market steel copper timber prices fall", "other words here " * 9, "http://a/3")], names)
+    batch = spark.createDataFrame([(11, "market steel copper timber prices rise", body, "http://b/1"), (12, "market steel copper timber prices", body, "http://a/2"), (13, "market steel copper timber quotas rise", body, "http://b/3")], names)
+    got = {r.article_id: (r.action, r.matched_id) for r in similarity.duplicate_decisions(batch, store).collect()}
+    assert got == {11: ("skip", 1), 12: ("skip", 2), 13: ("create_cluster", 1)}
+    assert seen == [{"n13", "s1", "s3"}]
