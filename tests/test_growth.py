@@ -70,3 +70,13 @@ def test_decided_rows_and_far_titles_are_not_compared(spark, monkeypatch):
     got = {r.article_id: (r.action, r.matched_id) for r in similarity.duplicate_decisions(batch, store).collect()}
     assert got == {11: ("skip", 1), 12: ("skip", 2), 13: ("create_cluster", 1)}
     assert seen == [{"n13", "s1", "s3"}]
+
+
+def test_titles_that_are_joined_already_need_no_contents(spark, monkeypatch):
+    """The first and last title are near, but both are surely linked to the one between."""
+    seen, words = _vector_texts(monkeypatch), [f"word{i}x" for i in range(13)]
+    docs = spark.createDataFrame([(k, " ".join(["market", *words[k : k + 11]]), f"steel copper timber prices {k} " * 9) for k in range(3)], "article_id long, title string, content string")
+    cosines = {(r.a, r.b): r.cosine for r in similarity.candidate_pairs(similarity.distinct_titles(docs)).collect()}
+    assert cosines[0, 1] > 0.9 and cosines[1, 2] > 0.9 and 0.8 < cosines[0, 2] < 0.9
+    assert similarity.clusters(docs).select("cluster_id").distinct().count() == 1
+    assert seen == [set()]
